@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.session import ship_package
 
-from . import token_orc
+from . import decontaminate, langid, token_orc
+from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,8 +26,20 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokenised(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents, learnt from the two thirds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, ~held_out("doc_id"))
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents within any occurrence of a benchmark window."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_orc,)}
+    return {f.__name__: f for f in (op1_token_orc, op9_language_id, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

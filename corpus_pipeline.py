@@ -3,20 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.llm import queries as q
-from barloom.llm import token_orc
-from barloom.llm.common import written
+from barloom.llm import decontaminate, langid, token_orc
+from barloom.llm.common import held_out, written
 from barloom.session import ship_package
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null, empty or letterless texts. All others stay as they are."""
+    ship_package(spark)
+    model = langid.learn(docs, ~held_out("doc_id"))
+    return langid.predict(docs, model, docs.columns).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a window of a benchmark item stands."""
+    return decontaminate.clean(docs, q.table(spark, sf_dir, "benchmark"))
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents; returns their digests."""
     ship_package(spark)
     return token_orc.tokenised(docs, q.TOKENIZER)
 
 
-STAGES = [("token-ID output", token_output)]
+STAGES = [("language ID", language_id), ("benchmark decontamination", decontamination), ("token-ID output", token_output)]
 #: Tokenizers are beyond SQL.
 ORACLE_SQL = None
 
