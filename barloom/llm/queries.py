@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.session import ship_package
 
-from . import decontaminate, langid, token_orc
-from .common import held_out
+from . import chat, decontaminate, langid, mixing, token_orc
+from .common import held_out, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +27,31 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokenised(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted in windows and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.conversation_digests(written(chat.windows(turns.unionByName(extra)), "chat"))
+
+
+#: Weights by domain, by domain and language, and by domain, language and source.
+MIX_WEIGHTS = {("web",): 5, ("books",): 3, ("code",): 2, ("web", "en"): 4, ("books", "en"): 2, ("code", "en"): 3, ("web", "en", "src0"): 2}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 2, 7
+
+
+def domain() -> Column:
+    """A domain for each source, by the number in its name."""
+    k = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long"), F.lit(0)) % 3
+    return F.when(k == 0, "web").when(k == 1, "books").otherwise("code")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document goes into a mixture of four fifths of all tokens."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), domain(), MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
+    return mixed.select("doc_id", "__leaf.domain", "__leaf.lang", "__leaf.source", F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted languages of all documents, learnt from the two thirds that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -39,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_orc, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_orc, op4_chat_windows, op7_mixing, op9_language_id, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

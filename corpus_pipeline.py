@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import queries as q
-from barloom.llm import decontaminate, langid, token_orc
+from barloom.llm import decontaminate, langid, mixing, token_orc
 from barloom.llm.common import held_out, written
 from barloom.session import ship_package
 
@@ -23,13 +23,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, q.table(spark, sf_dir, "benchmark"))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of all tokens takes them; a leaf over its target loses rows, one under it repeats them."""
+    return mixing.repeated(mixing.mix(docs, q.domain(), q.MIX_WEIGHTS, 100, q.MIX_EPOCHS, q.MIX_SEED), docs.columns)
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents; returns their digests."""
     ship_package(spark)
     return token_orc.tokenised(docs, q.TOKENIZER)
 
 
-STAGES = [("language ID", language_id), ("benchmark decontamination", decontamination), ("token-ID output", token_output)]
+STAGES = [("language ID", language_id), ("benchmark decontamination", decontamination), ("mixing", mixture), ("token-ID output", token_output)]
 #: Tokenizers are beyond SQL.
 ORACLE_SQL = None
 
