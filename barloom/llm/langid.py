@@ -10,13 +10,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices
 
 UNKNOWN = "und"
-#: Labelled texts to learn from, for each language at most; whole texts are counted.
+#: Labelled texts to learn from, for each language, in expectation; whole texts are counted.
 TEXTS_PER_LANGUAGE = 400
 #: Languages that a model may have at most; more are an error, for each adds to the model that all tasks hold.
 MAX_LANGUAGES = 256
@@ -25,6 +25,7 @@ PARTS = 1 << 16
 #: Bytes to which a text's evidence is scaled for the score.
 EVIDENCE_BYTES = 32.0
 _START = 0x0A
+_DRAW = 1 << 40
 
 
 def _grams(langs: list[str]):
@@ -109,16 +110,19 @@ def freeze(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray)
 def learn(docs: DataFrame, labelled: Column, texts_per_language: int = TEXTS_PER_LANGUAGE, seed: int = 9) -> Model | None:
     """A model from rows of ``docs`` (doc_id, text, lang) for which ``labelled`` holds; None without such rows.
 
-    At most ``texts_per_language`` whole texts of each language count, chosen by a hash of the id; that bounds the
-    counts, which come to the driver. Null and empty texts and null languages teach nothing.
+    Of a language with more than ``texts_per_language`` texts, that many count, give or take the chance of a hash of
+    id and text: each is taken or not on its own, so nothing is sorted or gathered. The sample bounds the counts,
+    which come to the driver. Null and empty texts and null languages teach nothing.
     """
-    rows = docs.where(labelled & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").alias("lang"), "text", F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")).alias("h"))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
+    rows = docs.where(labelled & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").alias("lang"), "text", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), "text"), F.lit(_DRAW)).alias("h"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not langs:
+    if not sizes:
         return None
-    few = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= texts_per_language)
+    langs = sorted(sizes)
+    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(_DRAW, _DRAW * texts_per_language // sizes[k]))))
+    few = rows.where(F.col("h") < F.element_at(share, F.col("lang")))
     counts = few.select("lang", "text").mapInArrow(_grams(langs), "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = counts.sort_values(["l", "gram"])
     return freeze(langs, counts["l"].to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy())
