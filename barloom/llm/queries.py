@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import ship_package
 
-from . import chat, decontaminate, langid, mixing, token_orc
+from . import chat, decontaminate, langid, license_scan, mixing, token_orc
 from .common import held_out, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokenised(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses in all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that says control strings, formatted in windows and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -65,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_orc, op4_chat_windows, op7_mixing, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op4_chat_windows, op7_mixing, op9_language_id, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
