@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import ship_package
 
-from . import chat, decontaminate, langid, license_scan, mixing, token_orc
+from . import chat, decontaminate, langid, license_scan, mixing, secret_scan, token_orc
 from .common import held_out, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "__leaf.domain", "__leaf.lang", "__leaf.source", F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, as counts and spans."""
+    return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted languages of all documents, learnt from the two thirds that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -70,7 +75,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op4_chat_windows, op7_mixing, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op4_chat_windows, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
