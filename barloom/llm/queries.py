@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import ship_package
 
-from . import chat, decontaminate, imatch, langid, license_scan, mixing, secret_scan, token_orc
+from . import chat, decontaminate, imatch, langid, license_scan, mixing, parity_join, secret_scan, token_orc
 from .common import held_out, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(table(spark, sf_dir, "documents"))
 
 
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of word shingles."""
+    return parity_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 #: Weights by domain, by domain and language, and by domain, language and source.
 MIX_WEIGHTS = {("web",): 5, ("books",): 3, ("code",): 2, ("web", "en"): 4, ("books", "en"): 2, ("code", "en"): 3, ("web", "en", "src0"): 2}
 MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 2, 7
@@ -80,7 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op4_chat_windows, op5_imatch, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import queries as q
-from barloom.llm import decontaminate, langid, mixing, token_orc
+from barloom.llm import decontaminate, langid, mixing, parity_join, token_orc
 from barloom.llm.common import held_out, written
 from barloom.session import ship_package
 
@@ -18,6 +18,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, docs.columns).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    ship_package(spark)
+    return parity_join.first_of_groups(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of a benchmark item stands."""
     return decontaminate.clean(docs, q.table(spark, sf_dir, "benchmark"))
@@ -34,7 +40,13 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_orc.tokenised(docs, q.TOKENIZER)
 
 
-STAGES = [("language ID", language_id), ("benchmark decontamination", decontamination), ("mixing", mixture), ("token-ID output", token_output)]
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixture),
+    ("token-ID output", token_output),
+]
 #: Tokenizers are beyond SQL.
 ORACLE_SQL = None
 
