@@ -44,7 +44,7 @@ def samples(spark: SparkSession, n: int = SAMPLES, seed: str = "8") -> DataFrame
     i = F.col("id")
     digest = lambda salt: F.sha2(F.concat_ws("|", F.lit(seed), F.lit(salt), i), 256)
     pick = lambda salt, k: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), i), F.lit(k))
-    b64 = F.rtrim(F.lit("="), F.base64(F.unhex(digest("a"))))
+    b64 = F.rtrim(F.base64(F.unhex(digest("a"))), F.lit("="))
     plain = F.regexp_replace(F.concat(b64, F.base64(F.unhex(digest("b")))), "[+/=]", "")
     form = F.array(b64, plain, F.translate(b64, "+/", "-_"), F.substring(digest("c"), 1, 40), F.upper(plain), F.lower(plain))
     random = spark.range(n).select(F.substring(F.element_at(form, (pick("form", 6) + 1).cast("int")), 1, 40).alias("text"), F.lit(True).alias("random"))
