@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import ship_package
 
-from . import chat, decontaminate, imatch, langid, license_scan, mixing, parity_join, secret_scan, token_orc
+from . import chat, cotrain, decontaminate, imatch, langid, license_scan, mixing, parity_join, secret_scan, token_orc
 from .common import held_out, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of all documents, learnt from ``labels``."""
+    scored = cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("keep", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that says control strings, formatted in windows and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -85,7 +91,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_cotrained_quality, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
