@@ -80,7 +80,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], int], pe
     """``docs`` (doc_id, text, lang, source and any others) with ``__leaf``, ``__tokens`` and ``__copies``, how often
     each row goes into the mixture.
 
-    A leaf's share is whole epochs of all its rows, then the shortest prefix of one more that reaches what is left, in
+    A leaf's share is whole epochs of all its rows, then the prefix of one more whose tokens come nearest to what is left, in
     the order of md5 of seed, epoch and id. The prefix ends at one hash a leaf: tokens are summed by leaf and by the
     hash's first digits, and only the piece in which the share ends is sorted, so a leaf of any size is dealt to many
     tasks, and no text is shuffled.
@@ -102,8 +102,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], int], pe
     last = sums.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
     last = last.select(*LEVELS, "bucket", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("room"))
     inside = hashed.join(small(last), [*LEVELS, "bucket"])
-    ahead = F.coalesce(F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("tokens").over(Window.partitionBy(*LEVELS, "h")), F.lit(0))
-    ends = inside.withColumn("ahead", ahead).where(F.col("ahead") < F.col("room")).groupBy(*LEVELS).agg(F.max("h").alias("end"))
+    upto = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.sum("tokens").over(Window.partitionBy(*LEVELS, "h"))
+    # All hashes of the pieces before are less than the piece's own digits.
+    end = F.coalesce(F.max(F.when(F.col("upto") - F.col("own") / 2 <= F.col("room"), F.col("h"))), F.first("bucket"))
+    ends = inside.withColumns({"upto": upto, "own": own}).groupBy(*LEVELS).agg(end.alias("end"))
     plan = written(share.join(ends, [*LEVELS], "left"), "mix-plan")
     leaf = plan.select(F.struct(*LEVELS).alias("__leaf"), "epochs", "end")
     joined = rows.join(small(leaf), "__leaf", "left")
