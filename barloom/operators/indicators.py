@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -153,27 +156,44 @@ def percentile_rank(sorted_values: Column, p: float) -> Column:
     return F.get(sorted_values, F.least(F.floor(n * p), n - 1).cast("int"))
 
 
+class _Percentile:
+    """The percentile of whole-number volumes over the last bars, from a histogram that moves along."""
+
+    def __init__(self, p: float, lookback: int, floor: float, cap: int):
+        self.p, self.lookback, self.floor = p, lookback, floor
+        self.counts, self.total, self.held = np.zeros(cap + 1, np.int64), 0, deque()
+
+    def __call__(self, pdf):
+        out = []
+        for buckets, numbers in zip(pdf["buckets"], pdf["numbers"], strict=True):
+            found = self.floor
+            if self.total:
+                found = float(np.searchsorted(np.cumsum(self.counts), np.floor(self.total * self.p), "right"))
+            out.append(max(found, self.floor))
+            own = np.asarray(buckets, np.int64), np.asarray(numbers, np.int64)
+            self._add(own, 1)
+            self.held.append(own)
+            if len(self.held) > self.lookback:
+                self._add(self.held.popleft(), -1)
+        return pdf.assign(volume_threshold=out)
+
+    def _add(self, own, sign: int) -> None:
+        self.counts[own[0]] += sign * own[1]
+        self.total += sign * int(own[1].sum())
+
+
 def volume_thresholds(bar: DataFrame, levels: DataFrame, p: float = 0.7, lookback: int = 500, floor: float = 10.0, bucket_cap: int = 4095) -> DataFrame:
     """``volume_threshold`` of each bar: a percentile of the level volumes, by whole numbers, of the bars before.
 
-    Volumes are counted by bar and bucket, and each count goes to the bars that look back on it in one step: a bar's
-    histogram has 4,096 entries at most, however many trades there were.
+    Volumes are counted by bar and bucket first, 4,096 buckets at most, so what moves and what a fold holds depends on
+    bars, not on trades.
     """
-    index = bar.select("symbol", "bar_id", F.row_number().over(by_bar()).alias("i"))
     both = levels.select("symbol", "bar_id", F.explode(F.array("buy_vol", "sell_vol")).alias("v")).where("v > 0")
-    counts = both.groupBy("symbol", "bar_id", F.least(F.round("v"), F.lit(bucket_cap)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(index, ["symbol", "bar_id"]).groupBy("symbol", "bar_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("h"))
-    rows = index.join(counts.drop("i"), ["symbol", "bar_id"], "left")
-    w = Window.partitionBy("symbol").orderBy("i").rowsBetween(-lookback, -1)
-    rows = rows.withColumn("hs", F.collect_list(F.map_entries("h")).over(w))
-    flat = F.sort_array(F.flatten("hs"))
-    total = F.aggregate(flat, F.lit(0).cast("long"), lambda a, e: a + e["value"])
-    rows = rows.withColumns({"flat": flat, "target": F.floor(total * p)})
-    walk = F.aggregate(
-        "flat", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("b")),
-        lambda a, e: F.struct((a["c"] + e["value"]).alias("c"), F.coalesce(a["b"], F.when(a["c"] + e["value"] > F.col("target"), e["key"])).alias("b")),
-    )["b"]
-    return rows.select("symbol", "bar_id", F.greatest(F.coalesce(walk, F.lit(floor)), F.lit(floor)).alias("volume_threshold"))
+    counts = both.groupBy("symbol", "bar_id", F.least(F.round("v"), F.lit(bucket_cap)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("symbol", "bar_id").agg(F.collect_list(F.struct("bucket", "n")).alias("h"))
+    none = lambda c, t: F.coalesce(F.col(c), F.array().cast(f"array<{t}>")).alias(c.split(".")[1])
+    rows = bar.select("symbol", "bar_id").join(counts, ["symbol", "bar_id"], "left").select("symbol", "bar_id", none("h.bucket", "int").alias("buckets"), none("h.n", "bigint").alias("numbers"))
+    return sequential(rows, ["symbol"], ["bar_id"], lambda: _Percentile(p, lookback, floor, bucket_cap), [("volume_threshold", "double")], only=["symbol", "bar_id"])
 
 
 class _ZigZag:
