@@ -16,12 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DARK, mix, partitions, text_slices, words, written
+from .common import DARK, discard, mix, partitions, text_slices, words, written
 
 SHINGLE = 5
 #: Links have num * union <= den * intersection; the bounds below are for this ratio.
 NUMERATOR, DENOMINATOR = 75, 100
-SKETCH_BITS = 1024
+SKETCH_BITS = 4096
+#: Sets with fewer elements keep a sketch folded to this size; it also stands first in every comparison.
+FOLDED_BITS, FOLD_BELOW = 1024, 256
+#: Rounds in which each component tries the most frequent meetings with leaders of buckets, and the leaders a bucket has
+#: in each, before buckets are compared in full.
+LEADERS = (1, 4, 4, 4)
 #: Rows of a table that is broadcast at most; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Members of a bucket that are compared in one piece; more are dealt to pairs of pieces.
@@ -82,11 +87,38 @@ def _content_ids(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _dense(tokens: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """Parity of the shingles at each of SKETCH_BITS places."""
-    bit = (tokens >> np.uint64(3)) % np.uint64(SKETCH_BITS)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    count = np.bincount(row * SKETCH_BITS + bit.astype(np.int64), minlength=(len(off) - 1) * SKETCH_BITS)
-    return [b.tobytes() for b in np.packbits((count & 1).astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1)]
+    """Parity of the shingles at each of SKETCH_BITS places, or FOLDED_BITS for a small set."""
+    out = []
+    for x, n in ((tokens[a:b], b - a) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        size = SKETCH_BITS if n >= FOLD_BELOW else FOLDED_BITS
+        count = np.bincount(((x >> np.uint64(3)) % np.uint64(size)).astype(np.int64), minlength=size)
+        out.append(np.packbits((count & 1).astype(np.uint8)).tobytes())
+    return out
+
+
+def _folded(sketch: bytes) -> np.ndarray:
+    words_ = np.frombuffer(sketch, np.uint64)
+    return np.bitwise_xor.reduce(words_.reshape(-1, FOLDED_BITS // 64), axis=0)
+
+
+def _may_link(n_a, n_b, folded_a, folded_b, whole_a, whole_b) -> np.ndarray:
+    """Whether sizes and sketches allow a link, pair by pair; ``whole_*``: the sketches as kept."""
+    limit = (n_a + n_b) // 7
+    near = (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)) & (np.bitwise_count(folded_a ^ folded_b).sum(1) <= limit)
+    for i in np.flatnonzero(near & (n_a >= FOLD_BELOW) & (n_b >= FOLD_BELOW)):
+        near[i] = np.bitwise_count(np.frombuffer(whole_a[i], np.uint64) ^ np.frombuffer(whole_b[i], np.uint64)).sum() <= limit[i]
+    return near
+
+
+def _plausible(batches):
+    """Of pairs (a, b, na, nb, sa, sb), those that sizes and sketches allow."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sa, sb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        fa, fb = np.stack([_folded(x) for x in sa]), np.stack([_folded(x) for x in sb])
+        keep = _may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), fa, fb, sa, sb)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
 def _classes(batches):
@@ -199,25 +231,29 @@ def _near_pairs(batches):
     rest = None
 
     def pairs(t: pa.Table):
-        k = t.column("key").to_numpy()
-        g = t.column("tile").to_numpy()
-        group = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (g[1:] != g[:-1])]))
+        k, g = t.column("key").to_numpy(), t.column("tile").to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1]), [True]]))
+        at = 0
+        while at < len(start) - 1:  # whole tiles, some thousand rows at a time
+            stop = max(at + 1, int(np.searchsorted(start, start[at] + 4 * TILE, "right")) - 1)
+            yield from compared(t.slice(start[at], start[stop] - start[at]), np.repeat(np.arange(stop - at), np.diff(start[at : stop + 1])))
+            at = stop
+
+    def compared(t: pa.Table, group: np.ndarray):
         cid, comp, n, side = (t.column(x).to_numpy() for x in ("cid", "comp", "n", "side"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(k), -1)
-        i, found = np.arange(len(k)), []
-        for step in range(1, len(k)):
-            i = i[i + step < len(k)]
+        whole = np.array(t.column("sketch").to_pylist(), object)
+        sketch = np.stack([_folded(x) for x in whole])
+        i, found = np.arange(len(cid)), []
+        for step in range(1, len(cid)):
+            i = i[i + step < len(cid)]
             i = i[group[i] == group[i + step]]
             if not len(i):
                 break
             j = i + step
-            m = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (side[i] == 2))
-            a, b = i[m], j[m]
-            for s in range(0, len(a), 100_000):
-                x, y = a[s : s + 100_000], b[s : s + 100_000]
-                far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1)
-                near = far <= (n[x] + n[y]) // 7
-                found.append(np.stack([np.minimum(cid[x[near]], cid[y[near]]), np.maximum(cid[x[near]], cid[y[near]])], 1))
+            m = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            x, y = i[m], j[m]
+            near = _may_link(n[x], n[y], sketch[x], sketch[y], whole[x], whole[y])
+            found.append(np.stack([np.minimum(cid[x[near]], cid[y[near]]), np.maximum(cid[x[near]], cid[y[near]])], 1))
         if found and len(p := np.unique(np.concatenate(found), axis=0)):
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
@@ -294,9 +330,14 @@ def components(edges: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of content ids whose texts are linked, as a written table.
 
-    Only the texts of documents that stand for a class in some pair are shuffled.
+    Sizes and dense sketches come first; only texts of documents that stand for a class in a pair that is left are
+    shuffled.
     """
-    pairs = written(pairs, "pairs")
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    pairs = written(pairs.mapInArrow(_plausible, "a long, b long"), "pairs")
+    if pairs.isEmpty():
+        return pairs
     some = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
     need = written(some.join(classes, "cid").select("cid", F.col("first").alias("doc_id")), "needed")
     texts = rows.join(small(need), "doc_id").select("cid", "text")
@@ -304,6 +345,25 @@ def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long").distinct(), "links")
 
 
+def _named(rows: DataFrame, roots: DataFrame | None, cid: str = "cid", out: str = "comp") -> DataFrame:
+    """Adds the component of a content id: its root, or itself."""
+    if roots is None:
+        return rows.withColumn(out, F.col(cid))
+    return rows.join(roots.select(F.col("node").alias(cid), F.col("root").alias("__root")), cid, "left").withColumn(out, F.coalesce("__root", cid)).drop("__root")
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots after more links."""
+    edges = _named(_named(links, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    upper = components(edges)
+    if roots is None:
+        return upper
+    step = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = roots.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = upper.join(roots.select("node"), "node", "left_anti")
+    return written(old.unionByName(new), "roots")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
 
@@ -313,9 +373,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     other columns are ignored; an empty table gives an empty result. A text all of whose rows have a null
     id is linked with nothing and its component is null.
 
-    Equal sets are one class from the start, so copies are never paired. A first round verifies for each class one
-    meeting, that with the set it meets most. Buckets within one component are then settled; in all others every pair
-    of different components is compared by dense sketches, in pieces of bounded size, and what passes is verified.
+    Equal sets are one class from the start, so copies are never paired. In each of some rounds every component tries
+    its most frequent meetings with the leaders of buckets, chosen anew in each round; buckets within one component are
+    then settled. In those that are left every pair of different components is compared by sizes and dense
+    sketches, in pieces of bounded size, and what passes is verified; so nothing depends on the rounds' luck.
     Links within a component that follow from others are not looked for, as they change nothing. Classes, keys and
     sets are told apart by 64-bit hashes.
     """
@@ -324,21 +385,42 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     keys = rows.select("text").mapInArrow(_keys, _KEY).repartition(partitions(docs), "key").sortWithinPartitions("key", "cid")
     buckets = written(keys.mapInArrow(_meetings, "key long, cid long, head long"), "buckets")
-    most = buckets.where("cid <> head").groupBy("cid", "head").agg(F.count(F.lit(1)).alias("k")).groupBy("cid").agg(F.max_by("head", F.struct("k", "head")).alias("head"))
-    links = verify(most.select(F.col("head").alias("a"), F.col("cid").alias("b")), classes, rows)
-    roots = components(links)
-    comp = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
-    named = buckets.join(comp("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", F.ceil(F.col("k") / TILE).cast("long").alias("tiles")), "mixed")
-    open_ = named.join(small(mixed), "key").join(classes.select("cid", "n", "sketch"), "cid")
+    roots, tried = None, None
+    for turn, leaders in enumerate([*LEADERS, 0]):
+        named = _named(buckets.select("key", "cid"), roots)
+        lead = lambda j, turn=turn: F.min(F.struct(F.xxhash64("comp", F.lit(100 * turn + j)), "comp", "cid")).alias(f"h{j}")
+        heads = named.groupBy("key").agg(*map(lead, range(leaders)), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+        led = named.join(heads, "key")
+        # Buckets within one component are settled; the others go on.
+        named = written(led.select("key", "cid", "comp", F.ceil(F.col("k") / TILE).cast("long").alias("tiles")), "open")
+        if not leaders:
+            discard(buckets)
+            break
+        slots = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"h{j}.comp").alias("comp"), F.col(f"h{j}.cid").alias("cid")) for j in range(leaders)))
+        met = led.select("cid", "comp", F.explode(slots).alias("h")).where("comp <> h.comp")
+        met = met.groupBy("comp", "h.j", F.least("cid", "h.cid").alias("a"), F.greatest("cid", "h.cid").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+        if turn:  # chance meets once, kin often; what is left out here is compared at the end
+            met = met.where("k > 1")
+        if tried is not None:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        best = written(met.groupBy("comp", "j").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "tries")
+        discard(buckets)
+        buckets = named
+        if best.isEmpty():
+            continue
+        links = verify(best, classes, rows)
+        tried = best if tried is None else written(tried.unionAll(best), "tried")
+        if not links.isEmpty():
+            roots = _merged(roots, links)
+    open_ = named.join(classes.select("cid", "n", "sketch"), "cid")
     # A bucket in several pieces is compared piece with piece; side tells the two apart, 2 if they are the same.
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("cid"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     open_ = open_.select("key", "cid", "comp", "n", "sketch", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     dealt = open_.repartition(partitions(docs), "key", "tile").sortWithinPartitions("key", "tile")
-    more = verify(dealt.mapInArrow(_near_pairs, "a long, b long").distinct(), classes, rows)
-    second = more.join(comp("a", "ra"), "a", "left").join(comp("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    upper = components(second).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    tops = classes.select("cid", "first").join(comp("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(upper, "root", "left").select("cid", "first", F.coalesce("top", "root").alias("top"))
+    rest = written(dealt.mapInArrow(_near_pairs, "a long, b long").distinct(), "near")
+    if not rest.isEmpty():
+        roots = _merged(roots, verify(rest, classes, rows))
+    tops = _named(classes.select("cid", "first"), roots, "cid", "top")
     ids = tops.groupBy("top").agg(F.min("first").alias("component_id"))
     member = written(tops.join(ids, "top").select("cid", "component_id"), "members")
     # A class may hold a third of all rows: its id is joined by a broadcast where that is small, else by a join that

@@ -15,7 +15,7 @@ from .common import partitions, workspace
 END = 2
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 #: Entries of a worker's piece cache; each is some ten tokens at most.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 #: Signs that end many words.
 _TAIL = frozenset(".,;:!?)")
 
@@ -92,7 +92,7 @@ def _encode_partition(path: str, end: int):
             lo = 0
             while lo < len(texts):
                 rows, size, hi = [], 0, lo
-                while hi < len(texts) and size < 16 << 20:
+                while hi < len(texts) and size < 4 << 20:
                     rows.append(encode(pieces, texts[hi].as_py() or "") + tail)
                     size += len(rows[-1])
                     hi += 1
@@ -105,6 +105,7 @@ def _encode_partition(path: str, end: int):
                     names=["doc_id", "part", "part_start", "n_tokens", "tokens"],
                 )
                 start, lo = int(stop[-1]), hi
+        pieces.old = {}  # the worker may go on to other work
 
     return run
 
