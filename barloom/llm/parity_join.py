@@ -96,29 +96,41 @@ def _dense(tokens: np.ndarray, off: np.ndarray) -> list[bytes]:
     return out
 
 
-def _folded(sketch: bytes) -> np.ndarray:
-    words_ = np.frombuffer(sketch, np.uint64)
-    return np.bitwise_xor.reduce(words_.reshape(-1, FOLDED_BITS // 64), axis=0)
-
-
-def _may_link(n_a, n_b, folded_a, folded_b, whole_a, whole_b) -> np.ndarray:
-    """Whether sizes and sketches allow a link, pair by pair; ``whole_*``: the sketches as kept."""
-    limit = (n_a + n_b) // 7
-    near = (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)) & (np.bitwise_count(folded_a ^ folded_b).sum(1) <= limit)
-    for i in np.flatnonzero(near & (n_a >= FOLD_BELOW) & (n_b >= FOLD_BELOW)):
-        near[i] = np.bitwise_count(np.frombuffer(whole_a[i], np.uint64) ^ np.frombuffer(whole_b[i], np.uint64)).sum() <= limit[i]
-    return near
+def _matrices(sketches: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded sketches of all sets, and whole ones of those from FOLD_BELOW elements on (others: zeros)."""
+    large = n >= FOLD_BELOW
+    whole = np.zeros((len(n), SKETCH_BITS // 64), np.uint64)
+    folded = np.zeros((len(n), FOLDED_BITS // 64), np.uint64)
+    whole[large] = np.frombuffer(b"".join(x for x, big in zip(sketches, large, strict=True) if big), np.uint64).reshape(-1, SKETCH_BITS // 64)
+    folded[large] = np.bitwise_xor.reduce(whole[large].reshape(-1, SKETCH_BITS // FOLDED_BITS, FOLDED_BITS // 64), axis=1)
+    folded[~large] = np.frombuffer(b"".join(x for x, big in zip(sketches, large, strict=True) if not big), np.uint64).reshape(-1, FOLDED_BITS // 64)
+    return folded, whole
+
+
+def _may_link(n: np.ndarray, sketches: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sizes and sketches allow a link between the rows x and y, pair by pair. Each test sees what the last left."""
+    folded, whole = sketches
+    at = np.flatnonzero(4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
+    limit = (n[x] + n[y]) // 7
+    at = at[np.bitwise_count(folded[x[at]] ^ folded[y[at]]).sum(1) <= limit[at]]
+    both = np.flatnonzero((n[x[at]] >= FOLD_BELOW) & (n[y[at]] >= FOLD_BELOW))
+    far = np.bitwise_count(whole[x[at[both]]] ^ whole[y[at[both]]]).sum(1) > limit[at[both]]
+    out = np.zeros(len(x), bool)
+    out[at] = True
+    out[at[both[far]]] = False
+    return out
 
 
 def _plausible(batches):
     """Of pairs (a, b, na, nb, sa, sb), those that sizes and sketches allow."""
     for batch in batches:
-        if not batch.num_rows:
+        rows = batch.num_rows
+        if not rows:
             continue
-        sa, sb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        fa, fb = np.stack([_folded(x) for x in sa]), np.stack([_folded(x) for x in sb])
-        keep = _may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), fa, fb, sa, sb)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+        n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+        sketches = _matrices(batch.column(4).to_pylist() + batch.column(5).to_pylist(), n)
+        keep = pa.array(_may_link(n, sketches, np.arange(rows), np.arange(rows) + rows))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
 def _classes(batches):
@@ -240,19 +252,20 @@ def _near_pairs(batches):
             at = stop
 
     def compared(t: pa.Table, group: np.ndarray):
+        order = np.lexsort((t.column("n").to_numpy(), group))  # by size: past the first set too large, all are
+        t, group = t.take(pa.array(order)), group[order]
         cid, comp, n, side = (t.column(x).to_numpy() for x in ("cid", "comp", "n", "side"))
-        whole = np.array(t.column("sketch").to_pylist(), object)
-        sketch = np.stack([_folded(x) for x in whole])
+        sketches = _matrices(t.column("sketch").to_pylist(), n)
         i, found = np.arange(len(cid)), []
         for step in range(1, len(cid)):
             i = i[i + step < len(cid)]
-            i = i[group[i] == group[i + step]]
+            i = i[(group[i] == group[i + step]) & (3 * n[i + step] <= 4 * n[i])]
             if not len(i):
                 break
             j = i + step
             m = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
             x, y = i[m], j[m]
-            near = _may_link(n[x], n[y], sketch[x], sketch[y], whole[x], whole[y])
+            near = _may_link(n, sketches, x, y)
             found.append(np.stack([np.minimum(cid[x[near]], cid[y[near]]), np.maximum(cid[x[near]], cid[y[near]])], 1))
         if found and len(p := np.unique(np.concatenate(found), axis=0)):
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
