@@ -356,6 +356,44 @@ def test_contamination(spark, docs, texts, odd, empty):
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def brute_match(text, item):
+    """The longest match of two texts, of equal ones the first in the text, then in the item: start, item start, length."""
+    a, b, best, last = split(text), split(item), (0, 0, 0), collections.Counter()
+    for i, x in enumerate(a):
+        run = collections.Counter({j: last[j - 1] + 1 for j, y in enumerate(b) if x == y})
+        best, last = max([best, *((n, i - n + 1, j - n + 1) for j, n in run.items())], key=lambda m: (m[0], -m[1], -m[2])), run
+    return best[1], best[2], best[0]
+
+
+@pytest.mark.parametrize("meetings", [0, 3, 4096])
+def test_longest_matches(spark, monkeypatch, meetings):
+    monkeypatch.setattr(decontaminate, "LISTED", 50)
+    r = random.Random(4)
+    w = [f"w{k}" for k in range(60)]
+    items = {"long": " ".join(w), "again": " ".join([*w[:15], "x", *w[:30]]), "loop": "a b c " * 30, "end": " ".join(w[40:]), "short": "w3 w4 w5", "same": " ".join(w)}
+    rows = [(1, " ".join(["q", *w[5:40], "q", *w[30:60]])), (1, " ".join(["q", *w[5:40], "q", *w[30:60]])), (2, " ".join([*w[:20], *w[10:30]])), (3, "a b c " * 20 + "a c " + "b c a " * 25), (4, " ".join(w[51:])), (5, None), (6, "x w3 W4, w5")]
+    rows += [(10 + k, " ".join(x for _ in range(6) for a in [r.randrange(55)] for x in w[a : a + r.randint(3, 25)])) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*items.items(), ("long", " ".join(w[:20]))], "item_id string, text string")
+    if meetings < 4096:
+        single = [decontaminate.prepare([*items], [*items.values()])]
+        monkeypatch.setattr(decontaminate, "MEETINGS", meetings)
+        for _, text in rows:
+            _, _, h, at = words(np.frombuffer((text or " ").encode(), np.uint8), np.array([0, len(text or " ")]), ALNUM)
+            found = decontaminate.search_shard(single[0], h, at)[2]
+            for _, i, *match in found.tolist():
+                assert tuple(match) == brute_match(text, [*items.values()][i])
+        return
+    want = collections.Counter()
+    for i, text in rows:
+        found = [(name, *brute_match(text, item)) for name, item in [*items.items(), ("long", " ".join(w[:20]))]]
+        want[i, tuple(sorted(m for m in found if m[3] >= (3 if m[0] == "short" else 10)))] += 1
+    for block_words in (decontaminate.BLOCK_WORDS, 20):  # repeated rows and item ids count in several blocks as in one
+        got = decontaminate.contamination(docs, bench, block_words=block_words).collect()
+        assert collections.Counter((g.doc_id, tuple(tuple(m) for m in g.matches)) for g in got) == want
+        assert all(g.n_items == len(g.matches) for g in got)
+
+
 def test_words_of_a_buffer():
     text = "Ab cé!1 ".encode()
     start, end, h, at = words(np.frombuffer(text + b"ab", np.uint8), np.array([0, len(text), len(text) + 2]), ALNUM)
