@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import DARK, discard, mix, partitions, text_slices, words, written
@@ -142,8 +142,8 @@ def _classes(batches):
                 own = off[a : b + 1] - off[a]
                 t = tokens[off[a] : off[b]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first + a, b - a), pa.array(np.diff(own)), pa.array(_content_ids(t, own)), pa.array(_dense(t, own), pa.binary())],
-                    names=["doc_id", "n", "cid", "sketch"],
+                    [batch.column(0).slice(first + a, b - a), batch.column(2).slice(first + a, b - a), pa.array(np.diff(own)), pa.array(_content_ids(t, own)), pa.array(_dense(t, own), pa.binary())],
+                    names=["doc_id", "h", "n", "cid", "sketch"],
                 )
 
 
@@ -393,8 +393,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Links within a component that follow from others are not looked for, as they change nothing. Classes, keys and
     sets are told apart by 64-bit hashes.
     """
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _row_id() -> list:
+    """What tells rows of different ids or texts apart."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")]
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """near_groups with ``h``, the hash of the text, and ``top``, which tells components apart (null without a set):
+    rows of one id can be in several, so component_id does not."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = written(rows.mapInArrow(_classes, "doc_id long, n long, cid long, sketch binary"), "classes")
+    each = written(rows.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_classes, "doc_id long, h long, n long, cid long, sketch binary"), "classes")
     classes = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     keys = rows.select("text").mapInArrow(_keys, _KEY).repartition(partitions(docs), "key").sortWithinPartitions("key", "cid")
     buckets = written(keys.mapInArrow(_meetings, "key long, cid long, head long"), "buckets")
@@ -435,18 +446,45 @@ def near_groups(docs: DataFrame) -> DataFrame:
         roots = _merged(roots, verify(rest, classes, rows))
     tops = _named(classes.select("cid", "first"), roots, "cid", "top")
     ids = tops.groupBy("top").agg(F.min("first").alias("component_id"))
-    member = written(tops.join(ids, "top").select("cid", "component_id"), "members")
+    member = written(tops.join(ids, "top").select("cid", "top", "component_id"), "members")
     # A class may hold a third of all rows: its id is joined by a broadcast where that is small, else by a join that
     # Spark splits.
-    out = each.select("doc_id", "n", "cid").join(small(member), "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = each.select("doc_id", "h", "n", "cid").join(small(member), "cid", "left")
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("top")).alias("top"))
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id. Of rows with the same id, one stays."""
+    """``docs`` with one row of each component and of each doc_id, for tables whose ids are unique.
+
+    It decides by id alone: where ids repeat or are null, rows with different texts go; see ``one_of_groups``.
+    """
     groups = written(near_groups(docs), "groups")
     dropped = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     kept = docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
     if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id"])
+
+
+def one_of_groups(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: of its smallest doc_id, and of several such rows the first by text.
+
+    A row goes only if its own text is in a component that has another row. Rows without a set and rows with a null id
+    all stay. Texts are told apart by 64-bit hashes; only rows of components that have their smallest id repeatedly are
+    shuffled with their texts.
+    """
+    groups = written(_grouped(docs).where("top is not null and doc_id is not null"), "groups")
+    dropped = written(groups.where("component_id <> doc_id").select("doc_id", "h").distinct(), "dropped")
+    doc_id, h = _row_id()
+    rows = docs.withColumns({"__id": doc_id, "__h": h})
+    named = lambda t: t.withColumnsRenamed({"doc_id": "__id", "h": "__h", "top": "__top"})
+    kept = rows.join(small(named(dropped)), ["__id", "__h"], "left_anti")
+    first = groups.where("component_id = doc_id")
+    several = first.groupBy("top").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("top")
+    again = written(named(first.join(several, "top").select("doc_id", "h", "top").distinct()), "again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    # Of rows that are equal throughout, any is the first.
+    place = F.row_number().over(Window.partitionBy("__top").orderBy(F.col("text").cast("string"), F.to_json(F.struct(*docs.columns))))
+    chosen = kept.join(small(again), ["__id", "__h"]).withColumn("__place", place).where("__place = 1")
+    return kept.join(small(again), ["__id", "__h"], "left_anti").select(*docs.columns).unionAll(chosen.select(*docs.columns))

@@ -228,6 +228,18 @@ def test_jaccard_of_odd_rows(odd, empty):
     assert parity_join.first_of_groups(odd).count() == 7 and parity_join.near_groups(empty).count() == 0
 
 
+def test_one_row_of_each_group(spark, odd, empty):
+    base = [f"w{k}" for k in range(40)]
+    near = " ".join([*base[:39], "x"])
+    rows = [(1, " ".join(base)), (2, near), (2, "a text of its own that has the id"), (None, near), (None, "one without id"), (None, None), (3, ""), (3, None)]
+    rows += [(4, "b B c d e f g"), (4, "B b c d e f g"), (4, "B b c d e f g"), (4, "another of them that is elsewhere"), (5, "b b c d e f g"), (6, "another of them that is elsewhere")]
+    got = parity_join.one_of_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = [(1, " ".join(base)), (2, "a text of its own that has the id"), (None, near), (None, "one without id"), (None, None), (3, ""), (3, None), (4, "B b c d e f g"), (4, "another of them that is elsewhere")]
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(want)
+    assert parity_join.one_of_groups(odd).columns == odd.columns and parity_join.one_of_groups(empty).count() == 0
+    assert collections.Counter(r.doc_id for r in parity_join.one_of_groups(odd).collect()) == {i: 1 for i in (None, 1, 2, 3, 4, 6)} | {5: 2}
+
+
 def test_mixing_follows_weights(docs):
     dom = F.when(F.col("lang") == "en", "x").otherwise("y")
     mixed = mixing.mix(docs, dom, {("x",): 1, ("y",): 3}, 50, 2).cache()
