@@ -390,8 +390,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     its most frequent meetings with the leaders of buckets, chosen anew in each round; buckets within one component are
     then settled. In those that are left every pair of different components is compared by sizes and dense
     sketches, in pieces of bounded size, and what passes is verified; so nothing depends on the rounds' luck.
-    Links within a component that follow from others are not looked for, as they change nothing. Classes, keys and
-    sets are told apart by 64-bit hashes.
+    Links within a component that follow from others are not looked for, as they change no component;
+    ``jaccard_join`` has them all. Classes, keys and sets are told apart by 64-bit hashes.
     """
     return _grouped(docs).select("doc_id", "n_shingles", "component_id")
 
@@ -401,14 +401,56 @@ def _row_id() -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")]
 
 
+def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The class of each row (doc_id, text, and h, which is passed on), all classes with sets, and the buckets with several."""
+    each = written(rows.select("doc_id", "text", "h").mapInArrow(_classes, "doc_id long, h long, n long, cid long, sketch binary"), "classes")
+    classes = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    keys = rows.select("text").mapInArrow(_keys, _KEY).repartition(partitions(rows), "key").sortWithinPartitions("key", "cid")
+    return each, classes, written(keys.mapInArrow(_meetings, "key long, cid long, head long"), "buckets")
+
+
+def _compared(named: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """Pairs of classes of one bucket and different ``comp`` that sizes and dense sketches allow, as a written table.
+
+    ``named``: key, cid, comp and tiles, the number of pieces of the bucket.
+    """
+    open_ = named.join(classes.select("cid", "n", "sketch"), "cid")
+    # A bucket in several pieces is compared piece with piece; side tells the two apart, 2 if they are the same.
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("cid"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    open_ = open_.select("key", "cid", "comp", "n", "sketch", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    dealt = open_.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
+    return written(dealt.mapInArrow(_near_pairs, "a long, b long").distinct(), "near")
+
+
+def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links between different sets, and the class of each row of ``docs`` (doc_id, text).
+
+    Links are rows (a, b) of class ids, a < b, each pair once. The second table has doc_id, n_shingles, class_id and
+    n_links, the number of classes that the row's class is linked with. Rows with equal sets are one class, so they are
+    linked by it and not listed; a row without a set has a null class and no links. Words, sets and links are as in
+    ``near_groups``. Ids may be null or repeat: rows go by a number that is written with them.
+
+    Every pair of a bucket is compared and what passes is verified, whatever else links the two; the work grows with
+    the number of links, which in a group of k different near texts is up to k * (k - 1) / 2.
+    """
+    keyed = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("h"))
+    rows = written(keyed, "numbered")
+    each, classes, buckets = _buckets(rows)
+    size = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("tiles"))
+    # ``_meetings`` gives several cids of a key, each once.
+    near = _compared(buckets.join(size, "key").select("key", "cid", F.col("cid").alias("comp"), "tiles"), classes, partitions(docs))
+    links = verify(near, classes, rows)
+    ends = links.select(F.col("a").alias("cid")).unionAll(links.select(F.col("b").alias("cid")))
+    degree = written(ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links")), "degrees")
+    out = each.select(F.col("h").alias("doc_id"), "n", "cid").join(small(degree), "cid", "left")
+    return links, out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def _grouped(docs: DataFrame) -> DataFrame:
     """near_groups with ``h``, the hash of the text, and ``top``, which tells components apart (null without a set):
     rows of one id can be in several, so component_id does not."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = written(rows.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_classes, "doc_id long, h long, n long, cid long, sketch binary"), "classes")
-    classes = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    keys = rows.select("text").mapInArrow(_keys, _KEY).repartition(partitions(docs), "key").sortWithinPartitions("key", "cid")
-    buckets = written(keys.mapInArrow(_meetings, "key long, cid long, head long"), "buckets")
+    rows = docs.select(*_row_id(), F.col("text").cast("string").alias("text"))
+    each, classes, buckets = _buckets(rows)
     roots, tried = None, None
     for turn, leaders in enumerate([*LEADERS, 0]):
         named = _named(buckets.select("key", "cid"), roots)
@@ -436,12 +478,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
         tried = best if tried is None else written(tried.unionAll(best), "tried")
         if not links.isEmpty():
             roots = _merged(roots, links)
-    open_ = named.join(classes.select("cid", "n", "sketch"), "cid")
-    # A bucket in several pieces is compared piece with piece; side tells the two apart, 2 if they are the same.
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("cid"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    open_ = open_.select("key", "cid", "comp", "n", "sketch", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = open_.repartition(partitions(docs), "key", "tile").sortWithinPartitions("key", "tile")
-    rest = written(dealt.mapInArrow(_near_pairs, "a long, b long").distinct(), "near")
+    rest = _compared(named, classes, partitions(docs))
     if not rest.isEmpty():
         roots = _merged(roots, verify(rest, classes, rows))
     tops = _named(classes.select("cid", "first"), roots, "cid", "top")

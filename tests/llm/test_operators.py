@@ -222,6 +222,28 @@ def test_jaccard_pieces_of_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows)
 
 
+def test_jaccard_join_has_all_links(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "TILE", 16)
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    rows = {k: " ".join([*base[: (c := r.randrange(60))], f"x{r.randrange(4)}", *base[c + 1 :]]) for k in range(50)} | {90: None, 91: "a b", 92: "A  B", 93: base[0]}
+    none = [(None, " ".join([*base[:30], "y", *base[31:]]))] * 2
+    links, of = parity_join.jaccard_join(spark.createDataFrame([*rows.items(), *none], "doc_id long, text string"))
+    rows[None] = none[0][1]  # linked too
+    sets = {}
+    for i, t in rows.items():
+        w = low(t).split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    near = lambda a, b: a != b and len(a & b) > 0 and 100 * len(a & b) >= 75 * len(a | b)
+    name = {r.doc_id: r for r in of.collect()}
+    kinds = {name[i].class_id: s for i, s in sets.items() if s}
+    assert len(set(kinds.values())) == len(kinds) and all((kinds.get(name[i].class_id, frozenset()), name[i].n_shingles) == (s, len(s)) for i, s in sets.items())
+    want = {(a, b) for a in kinds for b in kinds if a < b and near(kinds[a], kinds[b])}
+    got = [tuple(x) for x in links.collect()]
+    assert len(got) == len(set(got)) > 2 * len(kinds) and set(got) == want
+    assert all(name[i].n_links == sum(near(s, k) for k in kinds.values()) for i, s in sets.items())
+
+
 def test_jaccard_of_odd_rows(odd, empty):
     got = parity_join.near_groups(odd).collect()
     assert len(got) == 9 and sum(r.doc_id == 5 for r in got) == 3
