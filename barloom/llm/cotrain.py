@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Labelled rows to fit on and unlabelled rows to exchange labels on, in expectation; all rows are scored.
-LABELLED, POOL = 6000, 6000
+#: Labelled rows to fit on, in expectation; labels are exchanged over all unlabelled rows, and all rows are scored.
+LABELLED = 6000
 ROUNDS = 2
 #: Probability from which a view's label goes to the other view.
 CONFIDENT = 0.95
 #: One labelled row of this many is kept to calibrate and combine the views.
 CALIBRATION = 4
-#: Terms of the text view: the most frequent of the sample, in LEAST_ROWS of its rows at least.
+#: Terms of the text view: those in the most documents, in LEAST_ROWS of them at least.
 TERMS, LEAST_ROWS = 1 << 14, 5
 #: Fewer labelled rows than this, or of one label only, teach nothing.
 LEAST = 20
@@ -47,7 +47,7 @@ def views(docs: DataFrame) -> DataFrame:
 
 
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=20, regParam=0.004, elasticNetParam=0.5 if view == "content" else 0.0, rawPredictionCol="r", probabilityCol="p", predictionCol="y").fit(rows)
+    return LogisticRegression(featuresCol=view, labelCol="label", maxIter=20, regParam=0.004, elasticNetParam=0.5 if view == "content" else 0.0, weightCol="weight", rawPredictionCol="r", probabilityCol="p", predictionCol="y").fit(rows)
 
 
 def _score(rows: DataFrame, model: LogisticRegressionModel, view: str, out: str) -> DataFrame:
@@ -62,13 +62,14 @@ def _odds(probability: float) -> float:
 
 
 def co_train(sample: DataFrame, target: str, rounds: int = ROUNDS) -> tuple[LogisticRegressionModel, LogisticRegressionModel, LogisticRegressionModel] | None:
-    """Text model, metadata model, and the model that combines their log-odds, from a sample with views and labels.
+    """Text model, metadata model, and the model that combines their log-odds, from rows with views and labels.
 
-    In each round, the rows of the pool of which one view is confident, and the other not of the contrary, go with that
-    label to the other view's next fit. A part of the labelled rows is used only to calibrate and combine the two.
-    None if too few rows, or rows of one label only, are there.
+    In each round, the unlabelled rows of which one view is confident, and the other not of the contrary, go with that
+    label to the other view's next fit; together they weigh no more than the labelled ones. Rows with a fold are the
+    labelled sample; a part of it is used only to calibrate and combine the two. None if too few rows, or rows of one
+    label only, are there.
     """
-    known = sample.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
+    known = sample.where(F.col(target).isNotNull() & F.col("fold").isNotNull()).withColumns({"label": F.col(target).cast("double"), "weight": F.lit(1.0)})
     count = known.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
     if count.n < LEAST or count.lo == count.hi:
         return None
@@ -77,41 +78,41 @@ def co_train(sample: DataFrame, target: str, rounds: int = ROUNDS) -> tuple[Logi
     if split.lo is None or split.lo == split.hi:
         train = held = known
     pool, sure = sample.where(F.col(target).isNull()), _odds(CONFIDENT)
-    content, meta = _fit(train.select("content", "label"), "content"), _fit(train.select("meta", "label"), "meta")
+    learnt = train.count()
+    content, meta = _fit(train.select("content", "label", "weight"), "content"), _fit(train.select("meta", "label", "weight"), "meta")
     for _ in range(rounds):
         scored = _score(_score(pool, content, "content", "a"), meta, "meta", "b")
-        give = lambda mine, other: scored.where((F.abs(mine) >= sure) & ~((F.abs(other) >= sure) & (F.signum(mine) != F.signum(other)))).withColumn("label", (F.col(mine) > 0).cast("double"))  # noqa: E731, B023
+        sure_of = lambda mine, other: (F.abs(mine) >= sure) & ~((F.abs(other) >= sure) & (F.signum(mine) != F.signum(other)))
+        n = scored.agg(F.count_if(sure_of("a", "b")).alias("a"), F.count_if(sure_of("b", "a")).alias("b")).first()
+        give = lambda mine, other: scored.where(sure_of(mine, other)).withColumns({"label": (F.col(mine) > 0).cast("double"), "weight": F.lit(min(1.0, learnt / max(n[mine], 1)))})  # noqa: E731, B023
         to_meta, to_content = give("a", "b"), give("b", "a")
         content, meta = (
-            _fit(train.select("content", "label").unionAll(to_content.select("content", "label")), "content"),
-            _fit(train.select("meta", "label").unionAll(to_meta.select("meta", "label")), "meta"),
+            _fit(train.select("content", "label", "weight").unionAll(to_content.select("content", "label", "weight")), "content"),
+            _fit(train.select("meta", "label", "weight").unionAll(to_meta.select("meta", "label", "weight")), "meta"),
         )
     scored = _score(_score(held, content, "content", "a"), meta, "meta", "b")
-    return content, meta, _fit(VectorAssembler(inputCols=["a", "b"], outputCol="both").transform(scored).select("both", "label"), "both")
+    return content, meta, _fit(VectorAssembler(inputCols=["a", "b"], outputCol="both").transform(scored).select("both", "label", "weight"), "both")
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, seed: int = 3) -> tuple[DataFrame, CountVectorizerModel]:
-    """Rows to learn from, with their views, as a written table, some ``labelled`` with labels and ``pool`` without,
-    and the terms that make ``content``.
+def vocabulary(docs: DataFrame) -> list[str]:
+    """The TERMS terms that stand in the most rows of ``docs``, counted over all of them; ties by name."""
+    each = views(docs).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return [r.term for r in each.where(F.col("df") >= LEAST_ROWS).orderBy(F.desc("df"), "term").limit(TERMS).collect()]
 
-    Each row is taken or not by a hash of its id, at a rate that the tables' sizes give.
-    """
-    one = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_DRAW))
-    rate = lambda n, k: min(_DRAW, _DRAW * k // max(n, 1))
-    few = written(one.where(draw < rate(one.count(), labelled)), "cotrain-labels")
-    rest = docs.where(draw < rate(docs.count(), pool)).join(one.select("doc_id"), "doc_id", "left_anti").withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
-    rows = docs.join(F.broadcast(few.select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))), "doc_id").unionByName(rest)
-    fold = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(CALIBRATION)).alias("fold")
-    sample = written(views(rows).select("terms", "meta", "quality", "toxic", fold), "cotrain-sample")
-    model = CountVectorizer(inputCol="terms", outputCol="content", vocabSize=TERMS, minDF=LEAST_ROWS, binary=True).fit(sample.unionAll(_no_terms(sample)))
-    return written(model.transform(sample).drop("terms"), "cotrain-views"), model
 
+def with_views(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, seed: int = 3) -> DataFrame:
+    """All rows of ``docs`` with their views and labels, as a written table; ``fold`` is null but for some ``labelled``
+    labelled rows.
 
-def _no_terms(sample: DataFrame) -> DataFrame:
-    """Rows of one term that is in no text, so that there is a vocabulary even for an empty table."""
-    names = [c for c in sample.columns if c != "terms"]
-    return sample.sparkSession.range(LEAST_ROWS).select(F.array(F.lit(" ")).alias("terms"), *(F.lit(None).cast(sample.schema[c].dataType).alias(c) for c in names)).select(*sample.columns)
+    These are taken or not by a hash of the id, at a rate that the table's size gives.
+    """
+    one = labels.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_DRAW))
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(CALIBRATION))
+    one = one.withColumn("fold", F.when(draw < min(_DRAW, _DRAW * labelled // max(one.count(), 1)), fold))
+    terms = CountVectorizerModel.from_vocabulary(vocabulary(docs) or [" "], inputCol="terms", outputCol="content", binary=True)
+    rows = terms.transform(views(docs)).select("doc_id", "content", "meta")
+    return written(rows.join(one, "doc_id", "left"), "cotrain-views")
 
 
 def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
@@ -120,12 +121,11 @@ def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("qu
 
     ``labels`` (doc_id, quality, toxic; 0, 1 or null) teaches; of rows with the same doc_id the largest label counts. A
     text that is null or empty is scored by its other features. If labels teach nothing, views are null and the score is
-    one half. Repeated rows are scored alike; an empty table gives an empty result; other columns are ignored. Only
-    the bounded sample is shuffled.
+    one half. Repeated rows are scored alike; an empty table gives an empty result; other columns are ignored. Views
+    are written once, and shuffled to meet the labels; texts are not shuffled.
     """
-    rows = docs.select("doc_id", "text", "lang", "source")
-    sample, terms = sample_rows(rows, labels)
-    scored = terms.transform(views(rows)).drop("terms")
+    sample = with_views(docs.select("doc_id", "text", "lang", "source"), labels)
+    scored = sample.select("doc_id", "content", "meta")
     for target in targets:
         models = co_train(sample, target)
         if models is None:

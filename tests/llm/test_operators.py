@@ -108,6 +108,16 @@ def test_co_training_finds_quality(spark):
         assert (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n)) > least
 
 
+def test_co_training_sees_all_rows(spark):
+    """A word in one row of two thousand has a feature, and labels are exchanged over all unlabelled rows."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2000 == 7, "common rareword").otherwise("common text").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    labels = rows.where("doc_id < 9000").select("doc_id", F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    assert "rareword" in cotrain.vocabulary(rows)
+    got = cotrain.with_views(rows, labels, 600)
+    n = got.agg(F.count_if(F.col("quality").isNull()), F.count("fold")).first()
+    assert n[0] == 11_000 and 450 < n[1] < 750 and got.count() == 20_000
+
+
 def test_co_training_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = cotrain.classify(odd, none).collect()
