@@ -11,11 +11,19 @@ from barloom.llm.common import held_out, written
 from barloom.session import ship_package
 
 
+#: A text that the best language's model needs as many bits for as plain bytes have is in none of the languages.
+MAX_BITS_PER_BYTE = 8.0
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null, empty or letterless texts. All others stay as they are."""
+    """Drops documents without a language: null, empty or letterless texts, and texts that no learnt language codes in
+    under MAX_BITS_PER_BYTE. All others stay as they are; if nothing was learnt, all texts with a letter do."""
     ship_package(spark)
     model = langid.learn(docs, ~held_out("doc_id"))
-    return langid.predict(docs, model, docs.columns).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    keep = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") < MAX_BITS_PER_BYTE)
+    return langid.predict(docs, model, docs.columns).where(keep).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

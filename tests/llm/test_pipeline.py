@@ -1,6 +1,10 @@
+import base64
 import collections
+import random
 
 import corpus_pipeline as p
+from pyspark.sql import functions as F
+
 from barloom.llm import langid
 from barloom.llm import queries as q
 
@@ -34,6 +38,17 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert sum(r.n_tokens for r in got) == sum(len(ids_of(r.text)) + 1 for r in docs.collect())
 
 
+def test_language_stage_rejects_noise_and_keeps_unlearnt_texts(spark, sf_dir):
+    docs = q.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    r = random.Random(2)
+    noise = ["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(400)), base64.b64encode(r.randbytes(600)).decode()]
+    odd = spark.createDataFrame([(-1, noise[0], None, "x"), (-2, noise[1], None, "x"), (-3, "", None, "x"), (-4, "12 !", None, "x")], docs.schema)
+    got = {x.doc_id for x in p.language_id(spark, docs.unionAll(odd), sf_dir).collect()}
+    assert not got & {-1, -2, -3, -4} and len(got) > 50
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert p.language_id(spark, none.unionAll(odd), sf_dir).count() == docs.where(r"text rlike '\\p{L}'").count() + 2
+
+
 def test_run_is_the_stages(spark, sf_dir):
     assert p.run(spark, sf_dir).count() > 50 and p.ORACLE_SQL is None
     assert langid.UNKNOWN == "und"
