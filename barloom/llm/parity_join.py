@@ -26,11 +26,15 @@ SKETCH_BITS = 4096
 FOLDED_BITS, FOLD_BELOW = 1024, 256
 #: Rounds in which each component tries the most frequent meetings with leaders of buckets, and the leaders a bucket has
 #: in each, before buckets are compared in full.
-LEADERS = (1, 4, 4, 4)
+LEADERS = (1, 4)
 #: Rows of a table that is broadcast at most; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Members of a bucket that are compared in one piece; more are dealt to pairs of pieces.
-TILE = 512
+TILE = 2048
+#: Buckets with more members have their last pairs verified in place, so that they give one row for each component at most.
+LISTED = 128
+#: Elements of sets in one piece of such a bucket, about.
+TILE_ELEMENTS = 500_000
 _LARGEST = 1 << 40
 _M = np.uint64(0xD6E8FEB86659FD93)
 _KEY = "key long, cid long"
@@ -238,24 +242,24 @@ def _meetings(batches):
             yield out(k[several], c[several], heads[several])
 
 
-def _near_pairs(batches):
-    """Pairs of one bucket tile, of different components, whose sizes and dense sketches allow a link."""
-    rest = None
-
-    def pairs(t: pa.Table):
-        k, g = t.column("key").to_numpy(), t.column("tile").to_numpy()
-        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1]), [True]]))
-        at = 0
-        while at < len(start) - 1:  # whole tiles, some thousand rows at a time
-            stop = max(at + 1, int(np.searchsorted(start, start[at] + 4 * TILE, "right")) - 1)
-            yield from compared(t.slice(start[at], start[stop] - start[at]), np.repeat(np.arange(stop - at), np.diff(start[at : stop + 1])))
-            at = stop
+def _near_pairs(forest: bool):
+    """Pairs of one bucket's piece, of different components, whose sizes and dense sketches allow a link: all of them, or
+    as many as join the components that they connect. Where rows bring their sets, only linked pairs count."""
 
     def compared(t: pa.Table, group: np.ndarray):
         order = np.lexsort((t.column("n").to_numpy(), group))  # by size: past the first set too large, all are
         t, group = t.take(pa.array(order)), group[order]
-        cid, comp, n, side = (t.column(x).to_numpy() for x in ("cid", "comp", "n", "side"))
-        sketches = _matrices(t.column("sketch").to_pylist(), n)
+        key, cid, comp, n, side = (t.column(x).to_numpy() for x in ("key", "cid", "comp", "n", "side"))
+        sketches, sets = _matrices(t.column("sketch").to_pylist(), n), t.column("set")
+        node = np.unique(np.stack([group, comp]), axis=1, return_inverse=True)[1].ravel()
+        label = np.arange(node.max() + 1)
+        up = label.tolist()
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
         i, found = np.arange(len(cid)), []
         for step in range(1, len(cid)):
             i = i[i + step < len(cid)]
@@ -263,26 +267,64 @@ def _near_pairs(batches):
             if not len(i):
                 break
             j = i + step
-            m = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            m = (label[node[i]] != label[node[j]]) & ((side[i] != side[j]) | (side[i] == 2))
             x, y = i[m], j[m]
             near = _may_link(n, sketches, x, y)
-            found.append(np.stack([np.minimum(cid[x[near]], cid[y[near]]), np.maximum(cid[x[near]], cid[y[near]])], 1))
-        if found and len(p := np.unique(np.concatenate(found), axis=0)):
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+            x, y = x[near], y[near]
+            if forest and len(x):
+                joins = []
+                for k, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                    p_, q_ = root(node[p]), root(node[q])
+                    if p_ != q_ and (not sets[p].is_valid or _linked(sets[p], sets[q])):
+                        up[q_] = p_
+                        joins.append(k)
+                x, y = x[joins], y[joins]
+                if joins:
+                    label = np.array([root(k) for k in range(len(up))])
+            found.append(np.stack([key[x], np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])]))
+        p = np.concatenate([*found, np.zeros((3, 0), np.int64)], axis=1)
+        if not forest:  # the same two may meet in many buckets
+            p = p[:, np.unique(p[1:], axis=1, return_index=True)[1]]
+        if p.shape[1]:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, p)], names=["key", "a", "b"])
 
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-        if not len(t):
-            continue
-        k, g = t.column("key").to_numpy(), t.column("tile").to_numpy()
-        tail = np.flatnonzero((k != k[-1]) | (g != g[-1]))
-        cut = int(tail[-1]) + 1 if len(tail) else 0
-        rest = t.slice(cut)
-        if cut:
-            yield from pairs(t.slice(0, cut).combine_chunks())
-    if rest is not None and len(rest):
-        yield from pairs(rest.combine_chunks())
+    def pairs(t: pa.Table):
+        k, g, n = (t.column(x).to_numpy() for x in ("key", "tile", "n"))
+        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1]), [True]]))
+        weight = np.concatenate([[0], np.cumsum(n)])[start] if t.column("set").null_count < len(t) else start * 0
+        at = 0
+        while at < len(start) - 1:  # whole pieces, some thousand rows at a time
+            stop = min(int(np.searchsorted(start, start[at] + 8192, "right")), int(np.searchsorted(weight, weight[at] + 4 * TILE_ELEMENTS, "right"))) - 1
+            stop = max(at + 1, stop)
+            yield from compared(t.slice(start[at], start[stop] - start[at]), np.repeat(np.arange(stop - at), np.diff(start[at : stop + 1])))
+            at = stop
+
+    def run(batches):
+        rest: list[pa.Table] = []
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not len(t):
+                continue
+            k, g = t.column("key").to_numpy(), t.column("tile").to_numpy()
+            tail = np.flatnonzero((k != k[-1]) | (g != g[-1]))
+            cut = int(tail[-1]) + 1 if len(tail) else 0
+            if cut:
+                yield from pairs(pa.concat_tables([*rest, t.slice(0, cut)]).combine_chunks())
+                rest = []
+            elif rest and (rest[-1].column("key")[-1].as_py(), rest[-1].column("tile")[-1].as_py()) != (int(k[-1]), int(g[-1])):
+                yield from pairs(pa.concat_tables(rest).combine_chunks())
+                rest = []
+            rest.append(t.slice(cut))
+        if rest:
+            yield from pairs(pa.concat_tables(rest).combine_chunks())
+
+    return run
+
+
+def _linked(x: pa.Scalar, y: pa.Scalar) -> bool:
+    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
 def _verified(batches):
@@ -299,6 +341,16 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
+def _set_rows(batches):
+    """cid and the set, as bytes, of texts that have the cid they are said to have, a few at a time."""
+    for batch in batches:
+        want = batch.column(0).to_pylist()
+        for step in range(0, len(want), 100):
+            part = batch.slice(step, min(100, len(want) - step))
+            same = [(cid, x.tobytes()) for (cid, x), w in zip(_sets(part.column(1)), want[step:], strict=False) if cid == w]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in same], pa.int64()), pa.array([x for _, x in same], pa.binary())], names=["cid", "set"])
+
+
 def _sets(col: pa.Array):
     """Yields the content id and the set of each row."""
     for _, tokens, off in shingle_sets(col):
@@ -388,8 +440,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Equal sets are one class from the start, so copies are never paired. In each of some rounds every component tries
     its most frequent meetings with the leaders of buckets, chosen anew in each round; buckets within one component are
-    then settled. In those that are left every pair of different components is compared by sizes and dense
-    sketches, in pieces of bounded size, and what passes is verified; so nothing depends on the rounds' luck.
+    then settled. Those that are left give a forest of likely pairs, and where one of it fails, every pair of different
+    components is compared, in pieces of bounded size (``_rest``); so nothing depends on the rounds' luck.
     Links within a component that follow from others are not looked for, as they change no component;
     ``jaccard_join`` has them all. Classes, keys and sets are told apart by 64-bit hashes.
     """
@@ -409,17 +461,61 @@ def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return each, classes, written(keys.mapInArrow(_meetings, "key long, cid long, head long"), "buckets")
 
 
-def _compared(named: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
-    """Pairs of classes of one bucket and different ``comp`` that sizes and dense sketches allow, as a written table.
+def _compared(named: DataFrame, classes: DataFrame, parts: int, forest: bool = False, sets: DataFrame | None = None) -> DataFrame:
+    """Pairs (key, a, b) of classes of one bucket and different ``comp`` that sizes and dense sketches allow, as a written
+    table: all, or a forest over the components that they connect; with ``sets`` (cid, set) only linked ones.
 
-    ``named``: key, cid, comp and tiles, the number of pieces of the bucket.
+    ``named``: key, cid, comp. A bucket in several pieces is compared piece with piece; the component that has most of
+    it meets the others' pieces only.
+    """
+    counted = named if sets is None else named.join(classes.select("cid", "n"), "cid")
+    per = counted.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), (F.lit(0) if sets is None else F.max("n")).alias("n"))
+    heads = per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("k"), F.max("n").alias("largest")).where("k > most")
+    rows = classes.select("cid", "n", "sketch")
+    rows = rows.join(sets, "cid") if sets is not None else rows.withColumn("set", F.lit(None).cast("binary"))
+    open_ = named.join(heads, "key").join(rows, "cid")
+    tile = F.lit(TILE) if sets is None else F.greatest(F.least(F.lit(TILE), F.lit(TILE_ELEMENTS) / F.col("largest")), F.lit(16))
+    open_ = open_.withColumns({"__minors": F.ceil((F.col("k") - F.col("most")) / tile).cast("long"), "__mains": F.ceil(F.col("most") / tile).cast("long"), "__minor": F.col("comp") != F.col("main")})
+    open_ = open_.withColumn("__own", F.pmod(F.xxhash64("cid"), F.when(F.col("__minor"), F.col("__minors")).otherwise(F.col("__mains"))))
+    own, minors, mains = F.col("__own"), F.col("__minors"), F.col("__mains")
+    cell = lambda tile, side: F.struct(tile.cast("long").alias("tile"), side.cast("int").alias("side"))
+    # side tells the two pieces of a cell apart, 2 if they are the same.
+    with_minors = F.transform(F.sequence(F.lit(0).cast("long"), minors - 1), lambda o: cell(F.least(own, o) * minors + F.greatest(own, o), F.when(own == o, 2).when(own < o, 0).otherwise(1)))
+    with_mains = F.transform(F.sequence(F.lit(0).cast("long"), mains - 1), lambda o: cell(minors * minors + own * mains + o, F.lit(0)))
+    as_main = F.transform(F.sequence(F.lit(0).cast("long"), minors - 1), lambda o: cell(minors * minors + o * mains + own, F.lit(1)))
+    cells = F.when(F.col("k") <= tile, F.array(cell(F.lit(0), F.lit(2)))).when(F.col("__minor"), F.concat(with_minors, with_mains)).otherwise(as_main)
+    dealt = open_.select("key", "cid", "comp", "n", "sketch", "set", F.inline(cells)).repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
+    return written(dealt.mapInArrow(_near_pairs(forest), "key long, a long, b long"), "near")
+
+
+def _rest(named: DataFrame, classes: DataFrame, rows: DataFrame, roots: DataFrame | None, parts: int) -> DataFrame | None:
+    """Roots after all buckets (key, cid, comp) are settled.
+
+    Buckets first give a forest of likely pairs. If all of a bucket's are links, nothing in it is left to be found. In
+    the others every pair of different components is compared: small ones list what their sketches allow, and large ones
+    verify it in place, with the sets.
     """
-    open_ = named.join(classes.select("cid", "n", "sketch"), "cid")
-    # A bucket in several pieces is compared piece with piece; side tells the two apart, 2 if they are the same.
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("cid"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    open_ = open_.select("key", "cid", "comp", "n", "sketch", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = open_.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
-    return written(dealt.mapInArrow(_near_pairs, "a long, b long").distinct(), "near")
+    likely = _compared(named, classes, parts, forest=True)
+    if likely.isEmpty():
+        return roots
+    links = verify(likely.select("a", "b").distinct(), classes, rows)
+    roots = _merged(roots, links)
+    unsure = likely.join(links, ["a", "b"], "left_anti").select("key").distinct()
+    again = _named(named.join(unsure, "key", "left_semi").select("key", "cid"), roots)
+    size = again.groupBy("key").agg(F.count(F.lit(1)).alias("__k"), F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo <> __hi")
+    again = written(again.join(size, "key").select("key", "cid", "comp", (F.col("__k") > LISTED).alias("large")), "unsure")
+    few, large = again.where("not large"), again.where("large").drop("large")
+    if not few.isEmpty():
+        roots = _merged(roots, verify(_compared(few, classes, parts).select("a", "b").distinct(), classes, rows))
+    if not large.isEmpty():
+        need = written(large.select("cid").distinct().join(classes, "cid").select("cid", F.col("first").alias("doc_id")), "needed")
+        texts = rows.join(small(need), "doc_id").select("cid", "text")
+        sets = written(texts.mapInArrow(_set_rows, "cid long, set binary").dropDuplicates(["cid"]), "sets")
+        large = large if roots is None else written(_named(large.select("key", "cid"), roots), "large")
+        found = _compared(large, classes, parts, forest=True, sets=sets)
+        if not found.isEmpty():
+            roots = _merged(roots, found.select("a", "b").distinct())
+    return roots
 
 
 def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -436,10 +532,9 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("h"))
     rows = written(keyed, "numbered")
     each, classes, buckets = _buckets(rows)
-    size = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("tiles"))
     # ``_meetings`` gives several cids of a key, each once.
-    near = _compared(buckets.join(size, "key").select("key", "cid", F.col("cid").alias("comp"), "tiles"), classes, partitions(docs))
-    links = verify(near, classes, rows)
+    near = _compared(buckets.select("key", "cid", F.col("cid").alias("comp")), classes, partitions(docs))
+    links = verify(near.select("a", "b").distinct(), classes, rows)
     ends = links.select(F.col("a").alias("cid")).unionAll(links.select(F.col("b").alias("cid")))
     degree = written(ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links")), "degrees")
     out = each.select(F.col("h").alias("doc_id"), "n", "cid").join(small(degree), "cid", "left")
@@ -455,10 +550,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     for turn, leaders in enumerate([*LEADERS, 0]):
         named = _named(buckets.select("key", "cid"), roots)
         lead = lambda j, turn=turn: F.min(F.struct(F.xxhash64("comp", F.lit(100 * turn + j)), "comp", "cid")).alias(f"h{j}")
-        heads = named.groupBy("key").agg(*map(lead, range(leaders)), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+        heads = named.groupBy("key").agg(*map(lead, range(leaders)), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         led = named.join(heads, "key")
         # Buckets within one component are settled; the others go on.
-        named = written(led.select("key", "cid", "comp", F.ceil(F.col("k") / TILE).cast("long").alias("tiles")), "open")
+        named = written(led.select("key", "cid", "comp"), "open")
         if not leaders:
             discard(buckets)
             break
@@ -478,9 +573,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
         tried = best if tried is None else written(tried.unionAll(best), "tried")
         if not links.isEmpty():
             roots = _merged(roots, links)
-    rest = _compared(named, classes, partitions(docs))
-    if not rest.isEmpty():
-        roots = _merged(roots, verify(rest, classes, rows))
+    roots = _rest(named, classes, rows, roots, partitions(docs))
     tops = _named(classes.select("cid", "first"), roots, "cid", "top")
     ids = tops.groupBy("top").agg(F.min("first").alias("component_id"))
     member = written(tops.join(ids, "top").select("cid", "top", "component_id"), "members")
