@@ -7,6 +7,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,14 @@ from .common import partitions, workspace
 
 END = 2
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
-#: Entries of a worker's piece cache; each is some ten tokens at most.
+#: Entries of either half of a worker's piece cache; each takes some 200 bytes.
 CACHE_ENTRIES = 400_000
+#: Characters of texts that are cut into pieces at a time; a longer text is one such run.
+RUN_CHARS = 6 << 20
 #: Signs that end many words.
 _TAIL = frozenset(".,;:!?)")
+#: White space other than single spaces and line feeds between dark characters, markers of special tokens, and NUL.
+_UNCUT = "<\\||\\x00|[ \n][ \n]|^[ \n]|[ \n]$|[\\t\\x0b-\\x0d\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 _encoders: dict[str, "_Pieces"] = {}
 
@@ -25,21 +30,23 @@ _encoders: dict[str, "_Pieces"] = {}
 #: The printable character that byte-level tokenizers write for each byte.
 _BYTE_CHARS = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
 _BYTE_CHARS |= {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _BYTE_CHARS)}
+_SPACE = _BYTE_CHARS[ord(" ")]
 
 
 class _Pieces(dict):
     """Little-endian 32-bit ids of a piece, encoded on first use.
 
-    The least recent half goes when CACHE_ENTRIES are held.
+    The least recent half goes when both halves have CACHE_ENTRIES.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES // 2:
+        if len(self) >= CACHE_ENTRIES:
             self.old = dict(self)
             self.clear()
         ids = self.old.get(piece)
@@ -50,11 +57,11 @@ class _Pieces(dict):
         return ids
 
     def encode(self, piece: str) -> bytes:
-        if piece[piece[:1] == " " :].isalpha():  # one run of letters is one word to the model
-            mapped = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
-            return array("I", [x.id for x in self.tokenizer.model.tokenize(mapped)]).tobytes()
         if len(piece) > 2 and piece[-1] in _TAIL and piece[-2].isalpha():  # a sign never joins the letters before it
             return self[piece[:-1]] + self[piece[-1]]
+        if piece[piece[:1] == " " :].isalpha():  # one run of letters is one word to the model
+            mapped = piece.replace(" ", _SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
         return self.whole(piece)
 
     def whole(self, text: str) -> bytes:
@@ -67,18 +74,35 @@ def encoder(path: str) -> _Pieces:
     return _encoders[path]
 
 
-def encode(pieces: _Pieces, text: str) -> bytes:
-    """Ids of the whole text, as 32-bit little-endian integers.
+def encode_all(pieces: _Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts (null: none) in a row, and the offsets of the texts.
 
     A byte-level tokenizer never merges across a single space or line feed between dark characters: the space opens
-    the next piece, the line feed is one of its own. Texts without other white space are looked up piece by piece; all others, and texts
-    with markers of special tokens, are encoded in one call.
+    the next piece, the line feed is one of its own. Texts without other white space are cut into pieces, and each
+    different piece is looked up once; all others, and texts with markers of special tokens, are encoded in one call.
     """
-    if not text:
-        return b""
-    if "<|" in text or "\0" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-        return pieces.whole(text)
-    return b"".join(map(pieces.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+    texts = texts.cast(pa.large_string()).fill_null("")
+    uncut = pc.match_substring_regex(texts, _UNCUT)
+    cut = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
+    lists = pc.split_pattern(pc.if_else(uncut, "", cut), "\0")
+    at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string()))
+    found = list(map(pieces.__getitem__, pc.binary_join(distinct, "\0")[0].as_py().split("\0")))
+    whole = np.flatnonzero(uncut.to_numpy(zero_copy_only=False))
+    code[at[whole]] = np.arange(len(found), len(found) + len(whole))  # such a text has one empty piece
+    found += [pieces.whole(texts[i].as_py()) for i in whole.tolist()]
+    size = np.array([len(x) // 4 for x in found], np.int64)
+    begin, n = (np.cumsum(size) - size)[code], size[code]
+    total = np.concatenate([[0], np.cumsum(n)])
+    ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+    return ids, total[at]
+
+
+def encode(pieces: _Pieces, text: str) -> bytes:
+    """Ids of one whole text, as 32-bit little-endian integers."""
+    return encode_all(pieces, pa.array([text], pa.string()))[0].tobytes()
 
 
 def _encode_partition(path: str, end: int):
@@ -86,22 +110,19 @@ def _encode_partition(path: str, end: int):
         from pyspark import TaskContext
 
         pieces, part, start = encoder(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             texts, ids = batch.column(1), batch.column(0)
+            size = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy())])
             lo = 0
             while lo < len(texts):
-                rows, size, hi = [], 0, lo
-                while hi < len(texts) and size < 4 << 20:
-                    rows.append(encode(pieces, texts[hi].as_py() or "") + tail)
-                    size += len(rows[-1])
-                    hi += 1
-                n = np.array([len(r) // 4 for r in rows], np.int64)
+                hi = max(lo + 1, int(np.searchsorted(size, size[lo] + RUN_CHARS, "right")) - 1)
+                tokens, at = encode_all(pieces, texts.slice(lo, hi - lo))
+                tokens = np.insert(tokens, at[1:], end)
+                n = np.diff(at) + 1
                 stop = start + np.cumsum(n)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.full(len(rows), part, np.int32)), pa.array(stop - n), pa.array(n), tokens],
+                    [ids.slice(lo, hi - lo), pa.array(np.full(len(n), part, np.int32)), pa.array(stop - n), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.int32)))],
                     names=["doc_id", "part", "part_start", "n_tokens", "tokens"],
                 )
                 start, lo = int(stop[-1]), hi
@@ -118,8 +139,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, str
     ``part_start`` counts the tokens before a document in its range.
 
     Null and empty texts give the end id alone. Rows with the same doc_id all stay, ordered by text; null ids come
-    first. An empty table gives files without rows. No row is grouped, so a hot key needs no care, and one text is
-    the most a task must hold besides a batch.
+    first. An empty table gives files without rows. All rows of one doc_id are of one range and so of one task, which
+    streams them: ids are meant to be keys. A text and a run of RUN_CHARS are the most a task must hold besides a batch.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions_ or partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
