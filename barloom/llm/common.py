@@ -13,8 +13,15 @@ LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/barloom"
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder; it goes when the session's file systems close."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """A fresh path in the shared checkpoint folder; it goes when the session's file systems close.
+
+    Without ``spark.checkpoint.dir`` only a local master has a folder that all tasks see.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = LOCAL_CHECKPOINTS
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -55,7 +62,7 @@ def ascii_lower(text: Column) -> Column:
 
 # --- vectorised words -------------------------------------------------------
 
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -88,7 +95,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(col: pa.Array):
-    """Yields (first row, byte buffer, offsets of rows within it) in runs of whole rows of about 2 MB; null is empty."""
+    """Yields (first row, byte buffer, offsets of rows within it) in runs of whole rows of about 1 MB; null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:

@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-Each task sorts the word suffixes of its shards (runs of whole documents of about 2 MB) by their first words and finds
+Each task sorts the word suffixes of its shards (runs of whole documents of about 1 MB) by their first words and finds
 every window of the benchmark by binary search, as a range of training positions. Windows that follow each other both in
 a document and in an item are one verbatim match, so each item's longest match in a document comes from the same hits,
 whatever its length. No training text is shuffled.
