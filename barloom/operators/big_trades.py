@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import tick_key
+from .indicators import mean_and_deviations
 
 
 def dispatched(trades: DataFrame, closing_in_next: bool = False) -> DataFrame:
@@ -35,7 +36,7 @@ def thresholds(found: DataFrame, adaptive: bool = False, low: float = 25.0, high
     if not adaptive:
         return most.select("symbol", "bar_id", F.lit(low).alias("threshold"))
     w = Window.partitionBy("symbol").orderBy("bar_id").rowsBetween(-lookback, -1)
-    value = F.avg("most").over(w) + k * F.stddev_pop("most").over(w)
+    value = mean_and_deviations(F.col("most"), w, k)
     return most.where("most > 0").select("symbol", "bar_id", F.coalesce(F.least(F.greatest(value, F.lit(low)), F.lit(high)), F.lit(low)).alias("threshold"))
 
 

@@ -83,9 +83,18 @@ def regime(bar: DataFrame, n: int = 30) -> DataFrame:
     return bar.withColumns({"efficiency_ratio": F.when(full, ratio), "choppiness": F.when(full, chop)}).drop("__tr", "__move", "__n", "__from")
 
 
+def mean_and_deviations(value: Column, window: WindowSpec, k: float) -> Column:
+    count = F.count(value).over(window)
+    mean = F.sum(value).over(window) / count
+    return mean + k * F.sqrt(F.greatest(F.sum(value * value).over(window) / count - mean * mean, F.lit(0.0)))
+
+
 def adaptive_threshold(value: Column, n: int, k: float, low: float, high: float) -> Column:
-    """Mean and k deviations of the n bars before, between bounds; the lower bound without any."""
-    t = F.avg(value).over(prior(n)) + k * F.stddev_pop(value).over(prior(n))
+    """Mean and k deviations of the n bars before, between bounds; the lower bound without any.
+
+    From sums and sums of squares, which are exact for whole sizes, so that equal bars give equal thresholds.
+    """
+    t = mean_and_deviations(value, prior(n), k)
     return F.coalesce(F.least(F.greatest(t, F.lit(low)), F.lit(high)), F.lit(low))
 
 

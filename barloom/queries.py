@@ -62,6 +62,13 @@ _BARS = """bars as (select symbol, bar_id, arg_min(ts_ns, seq) as ts_first_ns, a
 _LEVELS = """levels as (select symbol, bar_id, tick_key, arg_min(price, seq) as price, sum(case when side = 1 then size else 0.0 end) as buy_vol,
  sum(case when side = -1 then size else 0.0 end) as sell_vol from keyed group by symbol, bar_id, tick_key)"""
 _W = "partition by symbol order by bar_id"
+
+
+def _deviation(x: str, w: str = "p") -> str:
+    """Mean and one deviation over a window, from sums and sums of squares: exact for whole sizes."""
+    mean = f"(sum({x}) over {w} / count({x}) over {w})"
+    return f"{mean} + sqrt(greatest(sum({x} * {x}) over {w} / count({x}) over {w} - {mean} * {mean}, 0.0))"
+
 _ET = """et as (select *, make_date(cast(year(make_timestamp(ts_first_ns // 1000)) as bigint), 3, 1) as m3, make_date(cast(year(make_timestamp(ts_first_ns // 1000)) as bigint), 11, 1) as m11 from bars),
 local as (select *, ts_first_ns - case when ts_first_ns >= (epoch_us(cast(m3 as timestamp)) // 1000000 // 86400 + (7 - dayofweek(m3)) % 7 + 7) * 86400000000000 + 25200000000000
  and ts_first_ns < (epoch_us(cast(m11 as timestamp)) // 1000000 // 86400 + (7 - dayofweek(m11)) % 7) * 86400000000000 + 21600000000000 then 14400000000000 else 18000000000000 end as wall from et),
@@ -301,9 +308,9 @@ def volume_thresholds(spark, sf_dir):
 
 @_query(
     _sql(
-        f"""select symbol, bar_id, buy_node, sell_node, round(coalesce(least(greatest(avg(node) over p + stddev_pop(node) over p, 20.0), 200.0), 20.0), 6) as node_threshold,
- cast(abs(delta) >= coalesce(least(greatest(avg(abs(delta)) over p + stddev_pop(abs(delta)) over p, 30.0), 400.0), 30.0) and abs(buy_node) >= coalesce(least(greatest(avg(node) over p + stddev_pop(node) over p, 20.0), 200.0), 20.0) as int) as buy_flag,
- cast(abs(delta) >= coalesce(least(greatest(avg(abs(delta)) over p + stddev_pop(abs(delta)) over p, 30.0), 400.0), 30.0) and abs(sell_node) >= coalesce(least(greatest(avg(node) over p + stddev_pop(node) over p, 20.0), 200.0), 20.0) as int) as sell_flag
+        f"""select symbol, bar_id, buy_node, sell_node, round(coalesce(least(greatest({_deviation('node')}, 20.0), 200.0), 20.0), 6) as node_threshold,
+ cast(abs(delta) >= coalesce(least(greatest({_deviation('abs(delta)')}, 30.0), 400.0), 30.0) and abs(buy_node) >= coalesce(least(greatest({_deviation('node')}, 20.0), 200.0), 20.0) as int) as buy_flag,
+ cast(abs(delta) >= coalesce(least(greatest({_deviation('abs(delta)')}, 30.0), 400.0), 30.0) and abs(sell_node) >= coalesce(least(greatest({_deviation('node')}, 20.0), 200.0), 20.0) as int) as sell_flag
  from nodes window p as ({_W} rows between 20 preceding and 1 preceding)""",
         _BARS, _LEVELS,
         """edges as (select b.symbol, b.bar_id, b.delta, coalesce(max(case when l.price >= b.high - 20 and l.buy_vol > l.sell_vol then l.buy_vol - l.sell_vol end), 0.0) as buy_node,
@@ -340,8 +347,8 @@ def big_trades_cumulative(spark, sf_dir):
 @_query(
     _sql(
         _BIG,
-        "most as (select symbol, bar_id, max(size) as m from keyed group by symbol, bar_id)",
-        f"limits as (select symbol, bar_id, coalesce(least(greatest(avg(m) over w + stddev_pop(m) over w, 25.0), 500.0), 25.0) as t from most window w as ({_W} rows between 20 preceding and 1 preceding))",
+        "most as (select symbol, bar_id, max(size) as m from keyed group by symbol, bar_id having max(size) > 0)",
+        f"limits as (select symbol, bar_id, coalesce(least(greatest({_deviation('m', 'w')}, 25.0), 500.0), 25.0) as t from most window w as ({_W} rows between 20 preceding and 1 preceding))",
         "kept as (select k.*, k.seq as run from keyed k join limits l using (symbol, bar_id) where k.size >= l.t)",
     )
 )
