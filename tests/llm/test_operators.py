@@ -96,7 +96,30 @@ def test_license_spans_bear_changes(spark, odd, empty):
     rows = [(1, changed), (2, "Licensed under the Apache License, Version 2.0"), (3, "permission to copy"), (4, "cc by cc BY mit License")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].labels for i in (1, 2, 3, 4)] == ["mit-grant", "apache,apache-2.0", "", "cc-by,mit"] and got[4].n_base == 3
-    assert license_scan.scan(odd).count() == 8 and license_scan.scan(empty).count() == 0
+    assert license_scan.scan(odd).count() == 9 and license_scan.scan(empty).count() == 0
+
+
+def test_license_bodies_with_edits(spark):
+    """Each passage is found in a text with a word in twelve changed, added or left out; not with its halves swapped, its words
+    reversed, or in prose."""
+    r = random.Random(3)
+    rows, want = [], {}
+    filler = lambda: [f"w{r.randrange(400)}" for _ in range(40)]
+    for label, text in license_scan.TEMPLATES.items():
+        w = text.split()
+        if len(w) < 15:
+            continue
+        edited = [x for i, x in enumerate(w) for x in ([x] if (i + 4) % 12 else r.choice([[], ["changed"], [x, "added"]]))]
+        want[len(rows)] = label
+        rows.append((len(rows), " ".join([*filler(), *edited, *filler()])))
+        half = len(w) // 2
+        for other in ([*w[half:], *w[:half]], w[::-1], r.sample(w, len(w))):
+            rows.append((len(rows), " ".join([*filler(), *other, *filler()])))
+    got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(label in got[i].labels.split(",") for i, label in want.items()) >= 0.95 * len(want)
+    assert all(want[i - 1 - (i - 1) % 4] not in got[i].labels.split(",") for i in got if i not in want)
+    twice = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (1, None)], "doc_id long, text string")
+    assert sorted(x.labels for x in license_scan.scan(twice).collect()) == ["", "mit", "mit"]
 
 
 def test_co_training_finds_quality(spark):
