@@ -30,29 +30,52 @@ WORDS = (
     "import index info initial input insert instance internal interval item iterator join kernel keyword label language last layer layout length level "
     "library limit line link list listener loader local location manager mapping master match memory message method metric model module monitor"
 ).split()
+#: Parts of the syllables of which other ordinary words are made.
+ONSETS = "b c d f g h j k l m n p r s t v w z bl br ch cl cr dr fl fr gr pl pr qu sch sh sp st str th tr wh".split()
+NUCLEI = "a e i o u a e i o u ai au ea ee ei ie io oa oo ou y".split()
+CODAS = ["", "", "", *"n r s t l m d ch ck ll nd ng nt rd rs rt ss st th".split()]
 #: Strings of either label in the training sample.
-SAMPLES = 4000
+SAMPLES = 6000
 #: Log-likelihood ratio from which a run is a secret.
-THRESHOLD = 12.0
+THRESHOLD = 10.0
 
 
 def samples(spark: SparkSession, n: int = SAMPLES, seed: str = "8") -> DataFrame:
-    """Labelled strings (text, random): ``n`` random ones in several alphabets and ``n`` identifiers in several styles.
+    """Labelled strings (text, random): ``n`` random ones in several alphabets and lengths, and ``n`` ordinary ones: identifiers in several
+    styles, words run together, paths, dates, versions, numbers, rules, and characters or pairs of them repeated.
 
     Their number is a parameter, so what training gathers is bounded.
     """
-    i = F.col("id")
+    i, taken = F.col("id"), iter(range(1 << 30))
     digest = lambda salt: F.sha2(F.concat_ws("|", F.lit(seed), F.lit(salt), i), 256)
-    pick = lambda salt, k: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), i), F.lit(k))
-    b64 = F.rtrim(F.base64(F.unhex(digest("a"))), F.lit("="))
-    plain = F.regexp_replace(F.concat(b64, F.base64(F.unhex(digest("b")))), "[+/=]", "")
-    form = F.array(b64, plain, F.translate(b64, "+/", "-_"), F.substring(digest("c"), 1, 40), F.upper(plain), F.lower(plain))
-    random = spark.range(n).select(F.substring(F.element_at(form, (pick("form", 6) + 1).cast("int")), 1, 40).alias("text"), F.lit(True).alias("random"))
-    words = F.array(*(F.lit(w) for w in WORDS))
-    some = [F.element_at(words, (pick(f"w{k}", len(WORDS)) + 1).cast("int")) for k in range(4)]
-    camel = F.concat(some[0], *(F.initcap(w) for w in some[1:]))
-    style = F.array(F.concat_ws("_", *some), camel, F.concat(*some), F.concat_ws("-", *some), F.upper(F.concat_ws("_", *some)), F.concat(F.concat_ws("_", *some[:3]), pick("n", 100)), F.concat_ws("/", *some))
-    ordinary = spark.range(n).select(F.element_at(style, (pick("style", 7) + 1).cast("int")).alias("text"), F.lit(False).alias("random"))
+    # Each choice has a draw of its own from a row's list of hashes.
+    drawn = spark.range(n).withColumn("draw", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda j: F.xxhash64(F.lit(seed), j, i)))
+    pick = lambda k: F.pmod(F.get("draw", next(taken)), F.lit(k)).cast("int")
+    of = lambda known: F.element_at(F.array(*(F.lit(x) for x in known)), pick(len(known)) + 1)
+    b64 = F.rtrim(F.base64(F.unhex(F.concat(digest("a"), digest("b")))), F.lit("="))
+    plain = F.regexp_replace(b64, "[+/]", "")
+    hexes = F.concat(digest("c"), digest("d"))
+    form = F.array(b64, plain, plain, F.translate(b64, "+/", "-_"), hexes, F.upper(hexes), F.upper(plain), F.lower(plain))
+    random = drawn.select(F.substring(F.element_at(form, pick(8) + 1), F.lit(1), 16 + pick(40)).alias("text"), F.lit(True).alias("random"))
+    syllable = lambda: F.concat(of(ONSETS), of(NUCLEI), of(CODAS))
+    # Words of two to four syllables; each place has such a word or a known one.
+    words = drawn.select("id", "draw", *(F.slice(F.array(*(syllable() for _ in range(4))), F.lit(1), 2 + pick(3)).alias(f"y{k}") for k in range(4)))
+    words = words.select("id", "draw", *(F.array_join(f"y{k}", "").alias(f"made{k}") for k in range(4)))
+    words = words.select("*", *(F.when(pick(2) == 0, of(WORDS)).otherwise(F.col(f"made{k}")).alias(f"some{k}") for k in range(4)))
+    made, some = [F.col(f"made{k}") for k in range(4)], [F.col(f"some{k}") for k in range(4)]
+    two = lambda k: F.lpad(pick(k).cast("string"), 2, "0")
+    date = F.concat(F.lit("20"), two(40), F.lit("-"), two(12), F.lit("-"), two(31))
+    one = F.substring(F.lit(ALPHABET), F.pmod(i, F.lit(len(ALPHABET))).cast("int") + 1, F.lit(1))
+    other = F.substring(F.lit(ALPHABET), pick(len(ALPHABET)) + 1, F.lit(1))
+    count = F.lpad(pick(10**9).cast("string"), 16, "0")
+    times = 16 + pick(24)
+    style = F.array(
+        F.concat_ws("_", *some), F.concat(some[0], *(F.initcap(w) for w in some[1:])), F.concat(*some), F.concat(*made), F.concat_ws("-", *some), F.upper(F.concat_ws("_", *some)), F.upper(F.concat(*made)),
+        F.concat(*(F.initcap(w) for w in some)), F.concat(F.concat_ws("_", *some[:3]), pick(100)), F.concat_ws("/", *some), F.concat_ws("/", some[0], F.translate(date, "-", "/"), F.concat_ws("-", *some[1:])),
+        F.concat(date, F.lit("_"), two(24), F.lit("-"), two(60), F.lit("-"), two(60)), F.concat_ws("-", some[0], some[1], date), F.concat(some[0], F.lit("-v"), pick(10), F.lit("-"), pick(20), F.lit("-"), pick(100)),
+        F.concat(some[0], F.lit("="), some[1], F.lit("_"), some[2]), count, F.concat(some[0], F.lit("_"), count), F.repeat(one, 10 * times), F.repeat(F.concat(one, other), times), F.concat(F.repeat(F.lit("-"), times), some[0]), F.repeat(F.concat(of("-=_+/"), of("-=_+/")), 3 * times),
+    )
+    ordinary = words.select(F.element_at(style, pick(21) + 1).alias("text"), F.lit(False).alias("random"))
     return random.unionAll(ordinary)
 
 
@@ -132,4 +155,4 @@ def digests(found: DataFrame) -> DataFrame:
     """Counts by kind, base_sha256 of the patterns' spans, and all spans as text."""
     count = [F.size(k).cast("long").alias(f"n_{k}") for k in [*KINDS, METHOD]]
     base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
-    return found.select("doc_id", *count, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *count[:-1], F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"), count[-1])
