@@ -267,7 +267,7 @@ def _documents(items, emit):
     return run
 
 
-def _digest(names: list[str]) -> str:
+def _digest(names: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
@@ -278,7 +278,7 @@ _MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("
 def _report(batch, n_words, n_hit, longest, names, spans, matches):
     ordered = [sorted(x, key=lambda m: tuple(m.values())) for x in matches]
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([_digest(x) for x in names]), pa.array(n_hit > 0), pa.array(longest), pa.array(ordered, _MATCH)],
+        [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(set(x)) for x in names], pa.int64()), pa.array([_digest(set(x)) for x in names]), pa.array(n_hit > 0), pa.array(longest), pa.array(ordered, _MATCH)],
         names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_run", "matches"],
     )
 
@@ -298,7 +298,7 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_
     """Broadcasts of the benchmark's items (item_id, text), of about ``block_words`` words each at most.
 
     Items come to the driver one block at a time, so neither the driver nor a task holds more than a block and the
-    longest item. Null and empty texts have no windows; of rows with the same item_id, each counts.
+    longest item. Null and empty texts have no windows; rows with the same item_id are one item with the windows of all.
     """
     spark = benchmark.sparkSession
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -313,24 +313,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """For each row of ``docs`` (doc_id, text): n_words, n_hit (words within an occurrence of a window), n_items,
     items_sha256, contaminated, longest_run (the longest run of hit words, whichever windows they are of) and matches:
     for each item with a window in the text, its longest verbatim match as item_id, the first word in the text (start) and
-    in the item (item_start), and length in words, by item_id. An item shorter than a window matches as a whole.
+    in the item (item_start), and length in words, by item_id (one for each benchmark row; n_items counts different
+    ids). An item shorter than a window matches as a whole.
 
     Words are runs of digits, letters and characters beyond ASCII, with A-Z as a-z. Null and empty texts have no
     words. Repeated rows are reported each. A benchmark without words hits nothing. With a benchmark of several blocks
     rows are told apart by a number written with them.
     """
-    parts = list(blocks(benchmark, window, block_words))
+    parts = blocks(benchmark, window, block_words)
+    part, after = next(parts), next(parts, None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if len(parts) == 1:
-        return rows.mapInArrow(_documents(parts[0], _report), f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_run long, matches {_MATCHES}")
+    if after is None:
+        return rows.mapInArrow(_documents(part, _report), f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_run long, matches {_MATCHES}")
     rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "numbered")
-    each = [rows.mapInArrow(_documents(p, _located), f"key long, doc_id long, n_words long, spans array<struct<start: long, end: long>>, matches {_MATCHES}") for p in parts]
-    every = each[0]
-    for x in each[1:]:
-        every = every.unionAll(x)
+    every = None
+    while part is not None:  # each block's places are written before the next but one is sent to the tasks
+        found = written(rows.mapInArrow(_documents(part, _located), f"key long, doc_id long, n_words long, spans array<struct<start: long, end: long>>, matches {_MATCHES}"), "located")
+        every = found if every is None else every.unionAll(found)
+        part.destroy()
+        part, after = after, next(parts, None)
     merged = every.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.sort_array(F.flatten(F.collect_list("matches"))).alias("matches"))
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
-    items = F.col("matches.item_id")
+    items = F.array_distinct("matches.item_id")
     runs = F.aggregate(
         F.sort_array("spans"),
         F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("most")),
@@ -348,6 +352,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` without a word within an occurrence of a benchmark window; columns and texts unchanged."""
-    for part in blocks(benchmark, window, block_words):
-        docs = docs.mapInArrow(_documents(part, _clean), docs.schema)
-    return docs
+    parts = blocks(benchmark, window, block_words)
+    part, after = next(parts), next(parts, None)
+    while after is not None:  # what a block leaves is written, so that its items can go
+        docs = written(docs.mapInArrow(_documents(part, _clean), docs.schema), "clean")
+        part.destroy()
+        part, after = after, next(parts, None)
+    return docs.mapInArrow(_documents(part, _clean), docs.schema)

@@ -86,13 +86,44 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of all documents within any occurrence of a benchmark window."""
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Words of all documents within any occurrence of a benchmark window; matches and their places are the operator's."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_cotrained_quality, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination)}
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP6_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+ else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as s from w),
+e as materialized (select doc_id, hash(unnest(s)) as g, len(s) as n from s),
+links as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+ group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(r.m, s.doc_id)) as component_id
+from s left join (select a, min(b) as m from reach group by a) r on r.a = s.doc_id
+"""
+
+OP10_SQL = rf"""
+with d as materialized (select doc_id, regexp_extract_all({_LOW}, '{_ALNUM}') as w from documents),
+i as (select item_id, regexp_extract_all({_LOW}, '{_ALNUM}') as w from benchmark),
+windows as materialized (select distinct item_id, least(len(w), 10) as n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') as g
+ from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as k from i where len(w) > 0)),
+sizes as (select distinct n from windows),
+grams as (select doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n)),
+hits as materialized (select distinct doc_id, k, grams.n, item_id from grams join windows using (n, g)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct doc_id, cast(item_id as varchar) as item_id from hits) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_parity_join": OP6_SQL, "op10_decontamination": OP10_SQL}
