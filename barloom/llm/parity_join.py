@@ -23,7 +23,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 SKETCH_BITS = 4096
 #: Sets with fewer elements keep a sketch folded to this size; it also stands first in every comparison.
-FOLDED_BITS, FOLD_BELOW = 1024, 256
+FOLDED_BITS, FOLD_BELOW = 1024, 512
 #: Rounds in which each component tries the most frequent meetings with leaders of buckets, and the leaders a bucket has
 #: in each, before buckets are compared in full.
 LEADERS = (1, 4)
@@ -32,7 +32,7 @@ BROADCAST_ROWS = 500_000
 #: Members of a bucket that are compared in one piece; more are dealt to pairs of pieces.
 TILE = 2048
 #: Buckets with more members have their last pairs verified in place, so that they give one row for each component at most.
-LISTED = 128
+LISTED = 512
 #: Elements of sets in one piece of such a bucket, about.
 TILE_ELEMENTS = 500_000
 _LARGEST = 1 << 40

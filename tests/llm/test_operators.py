@@ -255,6 +255,24 @@ def test_jaccard_pieces_of_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows)
 
 
+def test_jaccard_rows_of_a_large_group(spark, monkeypatch):
+    """A large group of near copies, some too far from all: the buckets' rows grow with its members, not with their pairs; and
+    the buckets that are verified in place, with their sets, give the same components."""
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    rows = {k: " ".join(f"x{r.randrange(99)}" if r.random() < r.choice([0.01, 0.03, 0.05]) else w for w in base) for k in range(400)}
+    made = []
+    compared = parity_join._compared
+    monkeypatch.setattr(parity_join, "_compared", lambda *a, **b: made.append(compared(*a, **b)) or made[-1])
+    monkeypatch.setattr(parity_join, "LEADERS", ())
+    monkeypatch.setattr(parity_join, "LISTED", 8)
+    monkeypatch.setattr(parity_join, "TILE", 32)
+    buckets = parity_join._buckets(spark.createDataFrame([(k, t, k) for k, t in rows.items()], "doc_id long, text string, h long"))[2].count()
+    got = parity_join.near_groups(spark.createDataFrame([*rows.items()], "doc_id long, text string"))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute_groups(rows)
+    assert len(made) > 1 and sum(m.count() for m in made) <= 8 * buckets
+
+
 def test_jaccard_join_has_all_links(spark, monkeypatch):
     monkeypatch.setattr(parity_join, "TILE", 16)
     r = random.Random(6)
