@@ -16,8 +16,10 @@ SUBSETS = 16
 SCALES = (1, 4, 16)
 HEX = 6
 NONE = "-" * HEX
-#: Buckets of ids in which texts meet their neighbours.
-MAX_BUCKETS = 1000
+#: Lists that the lexicon is dealt to for looking terms up.
+SLOTS = 8192
+#: Ranges of ids by approximate quantiles; each is cut further into equal spans of ids.
+RANGES = 256
 
 
 def terms(text: Column) -> Column:
@@ -27,12 +29,17 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row, ``terms``: the sorted hashes of terms within the band, counted over all documents."""
+    """One row, ``terms``: SLOTS lists with the hashes of terms within the band, counted over all documents.
+
+    A hash stands in the list of its remainder, so that looking it up reads one short list.
+    """
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = docs.where(F.col("text").isNotNull()).select(F.explode(terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     total = n.scalar()
     band = df.where((F.col("df") >= F.lit(low) * total) & (F.col("df") <= F.lit(high) * total))
-    return band.agg(F.sort_array(F.collect_list("t")).alias("terms"))
+    lists = band.groupBy(F.pmod("t", F.lit(SLOTS)).alias("id")).agg(F.collect_list("t").alias("terms"))
+    slots = docs.sparkSession.range(SLOTS).join(lists, "id", "left").select("id", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms"))
+    return slots.agg(F.sort_array(F.collect_list(F.struct("id", "terms"))).alias("s")).select(F.col("s.terms").alias("terms"))
 
 
 def fingerprint(own: Column, known: Column) -> Column:
@@ -72,28 +79,35 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_neighbour(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), and ``ghost``, for texts that stand in a bucket only as a neighbour of its first.
+    """doc_id, text (null: empty), ``bucket``, and ``ghost``, for texts that stand in a bucket only as a neighbour of its first.
 
-    Buckets are ranges of ids, bounded by approximate quantiles, and get the largest id of the bucket before (the first
-    gets the largest of all), so that each text's next in descending order, the largest lower id, is in its bucket.
-    Bounds and ids of neighbours are one for each bucket, MAX_BUCKETS at most.
+    Buckets get the largest id of the bucket before (the first gets the largest of all), so that each text's next in
+    descending order, the largest lower id, is in its bucket. Buckets are RANGES ranges of ids by approximate quantiles,
+    each in as many equal spans as make four buckets a shuffle partition, so their number grows with the session's. One
+    row a bucket is sorted in one task and broadcast: a few bytes for each shuffle partition.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = min(MAX_BUCKETS, 4 * partitions(docs))
-    ids = rows.select("doc_id")
-    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("b")).first().b or []))
-    at = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)).cast("array<bigint>"), lambda b: b < F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at)
-    last = {r.b: r.m for r in ids.where("doc_id is not null").groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("m")).collect()}
-    order = sorted(last)
-    target = {last[order[k - 1]]: order[k] for k in range(len(order))} if order else {}
-    rows = rows.withColumn("bucket", bucket)
-    if not target:
-        return rows.withColumn("ghost", F.lit(False))
-    pairs = F.create_map(*(F.lit(x) for k, b in target.items() for x in (k, b)))
-    also = F.when(F.col("doc_id").isin([*target]), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g")), F.struct(F.element_at(pairs, F.col("doc_id")).alias("b"), F.lit(True).alias("g"))))
-    places = F.coalesce(also, F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g"))))
-    return rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", F.col("p.b").alias("bucket"), F.col("p.g").alias("ghost"))
+    parts = 4 * partitions(docs)
+    n = min(RANGES, parts)
+    ids = rows.select("doc_id").where("doc_id is not null")
+    found = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    if found.lo is None:
+        return rows.select("doc_id", "text", F.lit(0).cast("long").alias("bucket"), F.lit(False).alias("ghost"))
+    ends = [*sorted({*found.b} - {found.hi}), found.hi]
+    starts = [found.lo - 1, *ends[:-1]]
+    spans = -(-parts // n)
+    r = F.size(F.filter(F.array(*(F.lit(b) for b in ends[:-1])).cast("array<bigint>"), lambda b: b < F.col("doc_id")))
+    at = lambda values: F.get(F.array(*(F.lit(v).cast("double") for v in values)), r)
+    part = F.least(F.floor((F.col("doc_id").cast("double") - at(starts)) / (at(ends) - at(starts)) * spans), F.lit(spans - 1).cast("long"))
+    bucket = F.coalesce(r.cast("long") * spans + F.greatest(part, F.lit(0).cast("long")), F.lit(0).cast("long"))
+    last = ids.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("m"))
+    in_order = Window.orderBy("b")
+    first = F.min("b").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    meets = last.select(F.col("m").alias("doc_id"), F.coalesce(F.lead("b").over(in_order), first).alias("b"))
+    rows = rows.withColumn("bucket", bucket).join(F.broadcast(meets), "doc_id", "left")
+    own, other = F.struct(F.col("bucket"), F.lit(False).alias("ghost")), F.struct(F.col("b").alias("bucket"), F.lit(True).alias("ghost"))
+    places = F.when(F.col("b").isNotNull(), F.array(own, other)).otherwise(F.array(own))
+    return rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.bucket", "p.ghost")
 
 
 def compare(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -113,9 +127,10 @@ def compare(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     third = F.expr("n_chars div 3").cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - third), F.substring(F.col("other"), F.lit(1), third)))
     rows = rows.select("doc_id", "bucket", "ghost", "text", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
-    rows = rows.withColumn("both", F.array_intersect(F.array_union("a", "b"), known))
-    inside = lambda c: F.sort_array(F.array_intersect(F.col(c), F.col("both")))
-    rows = rows.withColumns({"ka": inside("a"), "kb": inside("b")})
+    # The lexicon is named once, so that it stays a value of the plan and is not copied into the rows.
+    inside = F.transform(F.array("a", "b"), lambda own: F.filter(own, lambda t: F.array_contains(F.get(F.col("known"), F.pmod(t, F.lit(SLOTS)).cast("int")), t)))
+    rows = rows.withColumn("known", known).withColumn("inside", inside).drop("known")
+    rows = rows.withColumns({"ka": F.col("inside")[0], "kb": F.col("inside")[1]})
     rows = rows.withColumns({"fingerprint": fingerprint(F.col("a"), F.col("ka")), "edited_fingerprint": fingerprint(F.col("b"), F.col("kb"))})
     rows = rows.withColumn("next", F.coalesce(F.lag("fingerprint").over(order), F.col("fingerprint"))).where(~F.col("ghost"))
     return rows.select(
