@@ -38,8 +38,8 @@ def close_events(bar: DataFrame, closing_trade_ends_bar: bool = False) -> DataFr
 def snapshots(bar: DataFrame, states: DataFrame, tick: float, reach: int = 200, width: int = 4096) -> DataFrame:
     """Levels at each bar's close within ``reach`` ticks of its price: symbol, bar_id, tick_key, bid_size, ask_size.
 
-    A level holds from its event until its next. Those spans are cut at bins of ``width`` events in which a bar closes
-    and joined with the closes on bin and symbol.
+    A level holds from its event until its next. Those spans meet the closes by a range join with bins of ``width``
+    events and up, so a level that stands for long gives a few rows only.
     """
     from .joins import binned_range_join
 

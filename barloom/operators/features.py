@@ -94,14 +94,27 @@ def volatility(bar: DataFrame, tick: float, atr_n: int = 20, vol_n: int = 20) ->
     return bar.withColumns({"atr": F.greatest(F.avg("__tr").over(last(atr_n)), F.lit(tick)), "realized_volatility": F.when(moves >= 2, F.stddev_samp("__move").over(last(vol_n)))}).drop("__tr", "__move")
 
 
+def numbered_trades(trades: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """symbol, bar_id, size and ``i``, the trade's place among its symbol's, from 1.
+
+    Trades are numbered within blocks of ``block`` values of ``seq``; only the blocks' counts go through a window of the
+    whole symbol.
+    """
+    rows = trades.select("symbol", "bar_id", "size", "seq", F.floor(F.col("seq") / block).alias("__block"))
+    counts = rows.groupBy("symbol", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("symbol").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("symbol", "__block").orderBy("seq"))
+    placed = rows.withColumn("__k", within).join(counts.select("symbol", "__block", before.alias("__before")), ["symbol", "__block"])
+    return placed.select("symbol", "bar_id", "size", (F.col("__before") + F.col("__k")).alias("i"))
+
+
 def large_trades(bar: DataFrame, trades: DataFrame, n: int = 2000, p: float = 0.95, floor: float = 10.0, piece: int = 512) -> DataFrame:
     """Volume of trades of a bar no smaller than a percentile of the n trades before the bar.
 
     ``trades`` have ``bar_id``. Sizes are counted in pieces of ``piece`` trades and whole numbers, so a bar joins the
     few pieces that its n trades touch, not the trades; only the pieces at the ends give single trades.
     """
-    order = Window.partitionBy("symbol").orderBy("seq")
-    numbered = trades.select("symbol", "bar_id", "size", F.row_number().over(order).alias("i"))
+    numbered = numbered_trades(trades)
     first = numbered.groupBy("symbol", "bar_id").agg(F.min("i").alias("to"))
     spans = first.withColumns({"from": F.greatest(F.col("to") - n, F.lit(1)), "piece": F.explode(F.sequence(F.floor(F.greatest(F.col("to") - n, F.lit(1)) / piece), F.floor((F.col("to") - 1) / piece)))})
     kept = numbered.withColumn("piece", F.floor(F.col("i") / piece))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 
 import numpy as np
@@ -159,12 +160,6 @@ def top_stacks(found: DataFrame, n: int = 2) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
 
 
-def percentile_rank(sorted_values: Column, p: float) -> Column:
-    """The element whose place, from 0, is the floor of the number of elements times p."""
-    n = F.size(sorted_values)
-    return F.get(sorted_values, F.least(F.floor(n * p), n - 1).cast("int"))
-
-
 class _Percentile:
     """The percentile of whole-number volumes over the last bars, from a histogram that moves along."""
 
@@ -205,7 +200,7 @@ def volume_thresholds(bar: DataFrame, levels: DataFrame, p: float = 0.7, lookbac
     return sequential(rows, ["symbol"], ["bar_id"], lambda: _Percentile(p, lookback, floor, bucket_cap), [("volume_threshold", "double")], only=["symbol", "bar_id"])
 
 
-class _ZigZag:
+class ZigZag:
     """Pivots of one symbol, each known at the bar that confirms it."""
 
     def __init__(self, reversal: float, min_leg: float, min_bars: int):
@@ -222,7 +217,7 @@ class _ZigZag:
             return None
         pivot = ("high" if up else "low", *self.peak)
         self.way, self.peak = -self.way, (low if up else high, bar)
-        major = self.last is None or (abs(pivot[1] - self.last[1]) + 2.0**-52 >= self.min_leg and max(pivot[2] - self.last[2], 0) >= self.min_bars)
+        major = self.last is None or (abs(pivot[1] - self.last[1]) + sys.float_info.epsilon >= self.min_leg and max(pivot[2] - self.last[2], 0) >= self.min_bars)
         if major and (self.last is None or self.last[0] != pivot[0]):
             self.last = pivot
             return pivot
@@ -252,5 +247,5 @@ def zigzag(bar: DataFrame, reversal: float, min_leg: float = 0.0, min_leg_bars:
     """Confirmed pivots: symbol, bar_index (of the confirming bar, from 0), pivot_kind, pivot_price, pivot_bar."""
     rows = bar.select("symbol", (F.row_number().over(by_bar()) - 1).cast("long").alias("bar_index"), "high", "low")
     adds = [("pivot_kind", "string"), ("pivot_price", "double"), ("pivot_bar", "long")]
-    found = sequential(rows, ["symbol"], ["bar_index"], lambda: _ZigZag(reversal, min_leg, min_leg_bars), adds)
+    found = sequential(rows, ["symbol"], ["bar_index"], lambda: ZigZag(reversal, min_leg, min_leg_bars), adds)
     return found.where("pivot_kind is not null").drop("high", "low")

@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bins of one level in a bin of the next, and levels, of the range join.
+FAN, LEVELS = 16, 8
+
 
 def binned_range_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, stop: str, width: int) -> DataFrame:
     """Points (``at``) with the spans (``start`` <= at < ``stop``) of the same keys that hold them.
 
-    Spans are dealt to the bins of ``width`` that they touch, so the join is one on equal bins. Choose the width so
-    that a span touches a few bins.
+    Bins are ``width`` wide at the lowest level and FAN times as wide at each further one. A span is dealt to the bins
+    that it touches at the first level at which they are FAN at most, and a point to its bin at every level, so the join
+    is one on equal bins and a span of any length gives FAN rows at most. Empty spans meet nothing.
     """
-    p = points.withColumn("__bin", F.floor(F.col(at) / width))
-    s = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))))
+    widths = [width * FAN**k for k in range(LEVELS) if width * FAN**k < 1 << 62]
+    bin_of = lambda c, w: F.floor(c / F.lit(w))
+    ends = lambda w: (bin_of(F.col(start), w), bin_of(F.col(stop) - 1, w))
+    cells = None
+    for k, w in reversed([*enumerate(widths)]):
+        first, last = ends(w)
+        own = F.arrays_zip(F.array_repeat(F.lit(k), (last - first + 1).cast("int")).alias("l"), F.sequence(first, last).alias("b"))
+        cells = own if cells is None else F.when(last - first < FAN, own).otherwise(cells)
+    at_all = F.array(*(F.struct(F.lit(k).alias("l"), bin_of(F.col(at), w).alias("b")) for k, w in enumerate(widths)))
+    p, s = points.withColumn("__bin", F.explode(at_all)), spans.where(F.col(stop) > F.col(start)).withColumn("__bin", F.explode(cells))
     return p.join(s, [*keys, "__bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__bin")
 
 
-def calendar_hits(bar: DataFrame, calendar: DataFrame, impact: str | None = None, countries: tuple[str, ...] = ()) -> DataFrame:
-    """Each bar with calendar events (ts_ns, impact, country, title) after the bar before and up to its own end.
+def events_in_bars(bar: DataFrame, calendar: DataFrame, impact: str | None = None, countries: tuple[str, ...] = ()) -> DataFrame:
+    """Each bar with each of the calendar events (ts_ns, impact, country, title) after the bar before and up to its own end.
 
     A bar's span begins where the one before ended, the first bar's with its own first trade; filters come after an
-    event has met its bar. Returns symbol, bar_id, events, first_title.
+    event has met its bar.
     """
     by = Window.partitionBy("symbol").orderBy("bar_id")
     spans = bar.select("symbol", "bar_id", (F.coalesce(F.lag("ts_last_ns").over(by), F.col("ts_first_ns") - 1) + 1).alias("start"), (F.col("ts_last_ns") + 1).alias("stop")).where("stop > start")
@@ -33,9 +45,23 @@ def calendar_hits(bar: DataFrame, calendar: DataFrame, impact: str | None = None
         hit = hit.where(F.lower("impact") == impact.lower())
     if countries:
         hit = hit.where(F.col("country").isin(*countries))
+    return hit
+
+
+def calendar_hits(bar: DataFrame, calendar: DataFrame, impact: str | None = None, countries: tuple[str, ...] = ()) -> DataFrame:
+    """Each bar with calendar events: symbol, bar_id, events, first_title."""
+    hit = events_in_bars(bar, calendar, impact, countries)
     return hit.groupBy("symbol", "bar_id").agg(F.count(F.lit(1)).alias("events"), F.min_by("title", F.struct("ts_ns", "title")).alias("first_title"))
 
 
+def event_lines(bar: DataFrame, calendar: DataFrame, most: int = 5, impact: str | None = None, countries: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``most`` events of each bar by time and title, one line each, as ``lines``."""
+    by = Window.partitionBy("symbol", "bar_id").orderBy("ts_ns", "title")
+    first = events_in_bars(bar, calendar, impact, countries).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "country", "impact", "title"))), lambda e: F.concat_ws(" ", e["country"], e["impact"], e["title"]))
+    return first.groupBy("symbol", "bar_id").agg(F.array_join(listed, "\n").alias("lines"))
+
+
 def bar_at(times: DataFrame, bar: DataFrame, width: int) -> DataFrame:
     """``times`` (id, symbol, ts_ns) with the bar that holds each, else the one that begins nearest, the earlier of two."""
     spans = bar.select("symbol", "bar_id", F.col("ts_first_ns").alias("start"), (F.col("ts_last_ns") + 1).alias("stop"))

@@ -18,7 +18,9 @@ from barloom.operators import joins as J
 from barloom.operators import labels as L
 from barloom.operators import metrics as M
 from barloom.operators import replay as R
+from barloom.operators import results as RE
 from barloom.operators.broker import Costs, equity_of, trades_of
+from barloom.operators.strategy import cross_signals
 from barloom.plans import search as S
 from barloom.plans.backtest import REGISTRY, figures, prepare, run_trials
 from barloom.session import ship_package
@@ -370,26 +372,62 @@ def large_trades(spark, sf_dir):
     return FE.large_trades(B.bars(rows), rows, n=200).select(*KEY, "large_trade_threshold", "large_trade_volume")
 
 
-@_query()
+@_query(
+    _sql(
+        "select symbol, i as bar_index, kind as pivot_kind, price as pivot_price, pivot_at as pivot_bar from walk where kind is not null",
+        _BARS,
+        f"placed as (select symbol, row_number() over ({_W}) - 1 as i, high, low from bars)",
+        """walk as (select symbol, i, 0 as way, high as peak, i as peak_bar, cast(null as varchar) as last_kind, cast(null as double) as last_price, cast(null as bigint) as last_bar,
+ high as top, i as top_bar, low as bottom, i as bottom_bar, cast(null as varchar) as kind, cast(null as double) as price, cast(null as bigint) as pivot_at from placed where i = 0
+ union all select symbol, i, case when begun <> 0 then begun when turned then -way else way end,
+ case when begun = 1 then high when begun = -1 then low when turned then case when way = 1 then low else high end else p end, case when begun <> 0 or turned then i else pb end,
+ case when begun = 1 then 'low' when begun = -1 then 'high' when major then own else last_kind end, case when begun = 1 then b else case when begun = -1 then t else case when major then p else last_price end end end,
+ case when begun = 1 then bb when begun = -1 then tb when major then pb else last_bar end, t, tb, b, bb,
+ case when begun = 1 then 'low' when begun = -1 then 'high' when major then own end, case when begun = 1 then b when begun = -1 then t when major then p end, case when begun = 1 then bb when begun = -1 then tb when major then pb end
+ from (select *, turned and last_kind <> own and abs(p - last_price) + 2.220446049250313e-16 >= 80.0 and greatest(pb - last_bar, 0) >= 2 as major from
+ (select *, case when way <> 0 then 0 when high >= b + 80.0 then 1 when low <= t - 80.0 then -1 else 0 end as begun, (way = 1 and low <= p - 60.0) or (way = -1 and high >= p + 60.0) as turned, case when way = 1 then 'high' else 'low' end as own from
+ (select n.symbol, n.i, n.high, n.low, w.way, w.last_kind, w.last_price, w.last_bar, case when n.high > w.top then n.high else w.top end as t, case when n.high > w.top then n.i else w.top_bar end as tb,
+ case when n.low < w.bottom then n.low else w.bottom end as b, case when n.low < w.bottom then n.i else w.bottom_bar end as bb,
+ case when w.way = 1 and n.high > w.peak then n.high when w.way = -1 and n.low < w.peak then n.low else w.peak end as p, case when w.way = 1 and n.high > w.peak or w.way = -1 and n.low < w.peak then n.i else w.peak_bar end as pb
+ from walk w join placed n on n.symbol = w.symbol and n.i = w.i + 1))))""",
+        recursive=True,
+    )
+)
 def zigzag(spark, sf_dir):
     return I.zigzag(bars(spark, sf_dir), 60.0, 80.0, 2)
 
 
+_CAL = """cal as (select 1704067200000000000 + (epoch_us(o_orderdate) // 1000000 + o_orderkey * 7919) % 2592000 * 1000000000 as ts_ns, o_orderpriority from orders where o_orderpriority like '1-%')"""
+_SPANS = f"spans as (select symbol, bar_id, ts_last_ns, coalesce(lag(ts_last_ns) over ({_W}), ts_first_ns - 1) as prev from bars)"
+
+
+def _calendar(spark, sf_dir) -> DataFrame:
+    """All orders as calendar events, spread over the tape's thirty days."""
+    second = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000
+    ns = 1_704_067_200_000_000_000 + (second.cast("long") + F.col("o_orderkey") * 7919) % 2_592_000 * 1_000_000_000
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(ns.alias("ts_ns"), F.when(F.col("o_orderpriority").startswith("1-"), "High").otherwise("Low").alias("impact"), F.lit("US").alias("country"), F.col("o_orderpriority").alias("title"))
+
+
 @_query(
     _sql(
         """select s.symbol, s.bar_id, count(*) as events, arg_min(o.o_orderpriority, struct_pack(t := o.ts_ns, p := o.o_orderpriority)) as first_title from spans s join cal o on o.ts_ns > s.prev and o.ts_ns <= s.ts_last_ns group by s.symbol, s.bar_id""",
-        _BARS,
-        "cal as (select epoch_us(o_orderdate) * 1000 + (o_orderkey % 86400) * 1000000000 + 820454400000000000 as ts_ns, o_orderpriority from orders where o_orderdate >= timestamp '1998-01-01' and o_orderdate < timestamp '1998-02-01' and o_orderpriority like '1-%')",
-        f"spans as (select symbol, bar_id, ts_last_ns, coalesce(lag(ts_last_ns) over ({_W}), ts_first_ns - 1) as prev from bars)",
+        _BARS, _CAL, _SPANS,
     )
-)
+)
 def calendar_hits(spark, sf_dir):
-    """Orders of a month, moved into the tape's time, as calendar events."""
-    bar = bars(spark, sf_dir)
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderdate >= timestamp '1998-01-01' and o_orderdate < timestamp '1998-02-01'")
-    ns = F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000 + (F.col("o_orderkey") % 86_400) * 1_000_000_000 + 820_454_400_000_000_000
-    cal = orders.select(ns.alias("ts_ns"), F.when(F.col("o_orderpriority").startswith("1-"), "High").otherwise("Low").alias("impact"), F.lit("US").alias("country"), F.col("o_orderpriority").alias("title"))
-    return J.calendar_hits(bar, cal, "high", ("US",))
+    return J.calendar_hits(bars(spark, sf_dir), _calendar(spark, sf_dir), "high", ("US",))
+
+
+@_query(
+    _sql(
+        """select symbol, bar_id, string_agg('US High ' || title, chr(10) order by k) as lines from (select s.symbol, s.bar_id, o.o_orderpriority as title, row_number() over (partition by s.symbol, s.bar_id order by o.ts_ns, o.o_orderpriority) as k
+ from spans s join cal o on o.ts_ns > s.prev and o.ts_ns <= s.ts_last_ns) where k <= 3 group by symbol, bar_id""",
+        _BARS, _CAL, _SPANS,
+    )
+)
+def event_lines(spark, sf_dir):
+    return J.event_lines(bars(spark, sf_dir), _calendar(spark, sf_dir), 3, "high", ("US",))
 
 
 _FOLLOW = f"placed as (select *, row_number() over ({_W}) as i from bars)"
@@ -427,6 +465,121 @@ def ml_dataset(spark, sf_dir):
     return L.dataset(_features(spark, sf_dir), TICK, threshold=0.5)
 
 
+@_query(
+    _sql(
+        """select b.symbol, b.bar_id, cast(coalesce(p, 0) as double) as positive_imbalance_count, cast(coalesce(n, 0) as double) as negative_imbalance_count, round(coalesce(pr, 0), 6) as max_positive_imbalance_ratio, round(coalesce(nr, 0), 6) as max_negative_imbalance_ratio,
+ cast(coalesce(pl, 0) as double) as positive_stack_max_layers, cast(coalesce(nl, 0) as double) as negative_stack_max_layers from bars b
+ left join (select symbol, bar_id, count(*) filter (where buy) as p, count(*) filter (where sell) as n, max(case when buy then buy_vol / vb end) as pr, max(case when sell then sell_vol / va end) as nr from flags group by symbol, bar_id) using (symbol, bar_id)
+ left join (select symbol, bar_id, max(case when side = 'buy' then k end) as pl, max(case when side = 'sell' then k end) as nl from (select symbol, bar_id, side, run, count(*) as k from runs group by symbol, bar_id, side, run) group by symbol, bar_id) using (symbol, bar_id)""",
+        _BARS, _LEVELS, _FLAGS, _STACKS,
+    )
+)
+def imbalance_counts(spark, sf_dir):
+    rows = FE.imbalance_counts(bars(spark, sf_dir), levels(spark, sf_dir), 1.5, 0.0)
+    return rounded(rows, *KEY, "positive_imbalance_count", "negative_imbalance_count", "max_positive_imbalance_ratio", "max_negative_imbalance_ratio", "positive_stack_max_layers", "negative_stack_max_layers")
+
+
+_BIG_LEVELS = "big as (select symbol, bar_id, side, tick_key, arg_min(price, seq) as price, sum(size) as size, count(*) as runs from keyed where size >= 60 group by symbol, bar_id, side, tick_key)"
+
+
+@_query(
+    _sql(
+        """select symbol, bar_id, max(size) filter (where side = 1 and price >= high - 20) as buy_size, arg_max(price, struct_pack(s := size, k := tick_key)) filter (where side = 1 and price >= high - 20) as buy_price,
+ max(size) filter (where side = -1 and price <= low + 20) as sell_size, arg_max(price, struct_pack(s := size, k := tick_key)) filter (where side = -1 and price <= low + 20) as sell_price from big join bars using (symbol, bar_id) group by symbol, bar_id""",
+        _BARS, _BIG_LEVELS,
+    )
+)
+def big_trade_edges(spark, sf_dir):
+    rows = T.edge_sizes(T.big_levels(trades(spark, sf_dir), TICK, low=60.0), bars(spark, sf_dir), 20.0)
+    return rows.select(*KEY, *(F.col(f"{s}_edge.{c}").alias(f"{s}_{c}") for s in ("buy", "sell") for c in ("size", "price")))
+
+
+@_query(_sql("select symbol, bar_id, side, tick_key, size, runs, rank from (select *, row_number() over (partition by symbol, bar_id, side order by size desc, tick_key) as rank from big) where rank <= 2", _BIG_LEVELS))
+def big_trade_markers(spark, sf_dir):
+    rows = T.top_markers(T.big_levels(trades(spark, sf_dir), TICK, low=60.0), 2)
+    return rows.select(*KEY, "side", "tick_key", "size", "runs", F.col("rank").cast("long").alias("rank"))
+
+
+@_query(_sql("select symbol, bar_id, count(*) as n_levels, arg_min(price, tick_key) as lowest, arg_max(price, tick_key) as highest, sum(buy_vol) as buy_vol, sum(sell_vol) as sell_vol from levels where bar_id between 118360 and 118409 group by symbol, bar_id", _LEVELS))
+def ladder_window(spark, sf_dir):
+    rows = B.ladder_window(levels(spark, sf_dir), 118_360, 200_000, 50)
+    total = lambda c: F.aggregate("levels", F.lit(0.0), lambda a, x: a + x[c]).alias(c)
+    return rows.select(*KEY, F.size("levels").cast("long").alias("n_levels"), F.col("levels")[0]["price"].alias("lowest"), F.element_at("levels", -1)["price"].alias("highest"), total("buy_vol"), total("sell_vol"))
+
+
+@_query(_sql("select * from bars where bar_id between 118340 and 118419", _BARS))
+def bar_page(spark, sf_dir):
+    return B.page(bars(spark, sf_dir), 118_340, 80)
+
+
+_AVERAGES = f"""averages as (select symbol, bar_id, round(volume / avg(volume) over (w rows between 19 preceding and current row), 6) as volume_ratio, row_number() over w as n,
+ round(avg(close) over (w rows between 11 preceding and current row), 6) as f, round(avg(close) over (w rows between 25 preceding and current row), 6) as s from bars window w as ({_W}))"""
+
+
+@_query(
+    _sql(
+        """select symbol, bar_id, volume_ratio, case when f > s then 'up' when f < s then 'down' else 'flat' end as trend, cast(case when f0 <= s0 and f > s then 1 when f0 >= s0 and f < s then -1 else 0 end as int) as crossed
+ from (select *, lag(f) over (partition by symbol order by bar_id) as f0, lag(s) over (partition by symbol order by bar_id) as s0 from averages)""",
+        _BARS, _AVERAGES,
+    )
+)
+def average_crosses(spark, sf_dir):
+    """Crosses and trends of averages rounded to six digits, as equal averages of growing windows must tie in any order of addition."""
+    rows = rounded(I.technical(bars(spark, sf_dir)), *KEY, "volume", "volume_sma", "sma_fast", "sma_slow")
+    trend = F.when(F.col("sma_fast") > F.col("sma_slow"), "up").when(F.col("sma_fast") < F.col("sma_slow"), "down").otherwise("flat")
+    return rounded(cross_signals(rows).withColumn("trend", trend).withColumn("crossed", F.col("crossed").cast("int")), *KEY, "volume_ratio", "trend", "crossed")
+
+
+@_query(
+    _sql(
+        "select symbol, id, bar_index, value, coalesce(first_value(color ignore nulls) over (partition by symbol, id order by bar_index rows between unbounded preceding and unbounded following), '') as color from points",
+        _BARS,
+        f"placed as (select *, row_number() over ({_W}) - 1 as bar_index from bars)",
+        """points as (select symbol, 'close' as id, bar_index, close as value, case when bar_index >= 3 then 'c' || cast(bar_index as varchar) end as color from placed union all select symbol, 'volume', bar_index, volume, null from placed)""",
+    )
+)
+def visual_series(spark, sf_dir):
+    rows = bars(spark, sf_dir).withColumn("bar_index", (F.row_number().over(Window.partitionBy("symbol").orderBy("bar_id")) - 1).cast("long"))
+    color = F.when(F.col("bar_index") >= 3, F.concat(F.lit("c"), F.col("bar_index").cast("string")))
+    both = F.array(F.struct(F.lit("close").alias("id"), F.col("close").alias("value"), color.alias("color")), F.struct(F.lit("volume").alias("id"), F.col("volume").alias("value"), F.lit(None).cast("string").alias("color")))
+    points = rows.select(F.col("symbol").alias("run_id"), "bar_index", F.explode(both).alias("p")).select("run_id", "bar_index", "p.*")
+    return RE.visual_series(points).withColumnRenamed("run_id", "symbol").select("symbol", "id", "bar_index", "value", "color")
+
+
+@_query(_sql("select symbol, bar_id, 2 * count(*) as n_plots, min(low) as lowest, max(high) as highest, count(*) filter (where side = 'buy') as buy_markers from stacks group by symbol, bar_id", _LEVELS, _FLAGS, _STACKS))
+def stack_plots(spark, sf_dir):
+    rows = RE.stack_plots(I.stacks(I.diagonal_imbalances(levels(spark, sf_dir), 1.5), 2))
+    bound = lambda f, c: f(F.transform("plots", lambda p: p[c]))
+    return rows.select(*KEY, F.size("plots").cast("long").alias("n_plots"), bound(F.array_min, "low").alias("lowest"), bound(F.array_max, "high").alias("highest"), F.size(F.filter("plots", lambda p: (p["kind"] == "marker") & (p["side"] == "buy"))).cast("long").alias("buy_markers"))
+
+
+@_query("select o_orderkey as trade_id, o_totalprice - 150000 as pnl from orders where o_totalprice - 150000 >= 0 order by md5('7:' || o_orderkey), o_orderkey limit 200")
+def sampled_trades(spark, sf_dir):
+    made = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("trade_id"), (F.col("o_totalprice") - 150_000).alias("pnl"))
+    return RE.sampled_trades(made, F.col("trade_id"), 200, 7, "winners")
+
+
+@_query("select 'kind' as param, 'order' as value")
+def shared_params(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("run_id"), F.lit("order").alias("kind"), F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("b"))
+    return M.shared_params(rows, ["kind", "a", "b"])
+
+
+@_query(
+    _sql(
+        """select g.symbol, g.col, last_value(o.last_price ignore nulls) over w as last_price, coalesce(o.buy_volume, 0) as buy_volume, coalesce(o.sell_volume, 0) as sell_volume, last_value(q.bid ignore nulls) over w as bid, last_value(q.ask ignore nulls) over w as ask
+ from (select symbol, unnest(range(0, 120)) as col from (select distinct symbol from tape)) g
+ left join (select symbol, (ts_ns - 1704067200000000000) // 21600000000000 as col, arg_max(price, seq) as last_price, sum(case when side = 1 then size else 0.0 end) as buy_volume, sum(case when side = -1 then size else 0.0 end) as sell_volume from tape group by all) o using (symbol, col)
+ left join (select symbol, (ts_ns - 1704067200000000000) // 21600000000000 as col, arg_max(case when side > 0 then price - 5 else price end, seq) as bid, arg_max(case when side > 0 then price else price + 5 end, seq) as ask from tape group by all) q using (symbol, col)
+ window w as (partition by g.symbol order by g.col)"""
+    )
+)
+def column_traces(spark, sf_dir):
+    """Traces of thirty days in columns of six hours."""
+    tape = from_events(events(spark, sf_dir))
+    return K.column_traces(tape, K.quotes(tape, TICK, 3_600_000_000_000), 3_600_000_000_000, _T0, _T0 + 30 * 86_400_000_000_000, 120)
+
+
 @_query(
     _sql(
         "select factor, count(*) as n, round(corr(rx, ry), 6) as ic from ranked group by factor",
@@ -482,12 +635,10 @@ def drawdown(spark, sf_dir):
     return rounded(M.run_metrics(curve, none, 1000.0), "run_id", "ending_equity", "max_drawdown", "sharpe", "sortino")
 
 
-@_query("select 't' || lpad(cast(row_number() over (order by f, s, n) - 1 as varchar), 6, '0') as trial_id, f as technical_fast, s as technical_slow from (select f, s, f * 1000 + s as n from range(2, 5) a(f), range(3, 9) b(s))")
+@_query("select 't' || lpad(cast(row_number() over (order by f, s) - 1 as varchar), 6, '0') as trial_id, f as technical_fast, s as technical_slow from (select f, s from range(2, 201) a(f), range(3, 401) b(s) order by f, s limit 2000)")
 def param_grid(spark, sf_dir):
-    spec = REGISTRY.spec("indicator", "technical")
-    axes = S.space({"technical": spec}, {"technical.rsi_n": 14})
-    points = [p for p in S.grid(axes, 2000) if p["technical.fast"] < 5 and p["technical.slow"] < 9]
-    return S.trials(spark, points)
+    axes = S.space({"technical": REGISTRY.spec("indicator", "technical")}, {"technical.rsi_n": 14})
+    return S.trials(spark, S.grid(axes, 2000))
 
 
 @_query()

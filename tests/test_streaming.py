@@ -3,6 +3,9 @@
 import random
 
 from barloom.operators import bars as B
+from barloom.operators.book import book_states
+from barloom.operators.indicators import zigzag
+from barloom.streaming import states as ST
 from barloom.streaming.bars import stream_range_bars, stream_time_bars
 
 TAPE = "symbol string, seq long, ts_ns long, price double, size double, side int"
@@ -13,13 +16,13 @@ def tape():
     return [(f"S{k}", i, i * 7_000_000_000, 100 + r.randint(-30, 30) / 4, float(r.randint(1, 9)), r.choice([1, -1])) for k in range(2) for i in range(300)]
 
 
-def streamed(spark, tmp_path, rows, make, name):
+def streamed(spark, tmp_path, rows, make, name, schema=TAPE):
     for part in range(3):
-        spark.createDataFrame([x for x in rows if x[1] // 100 == part], TAPE).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{part}"))
-    src = tmp_path / "src"
+        spark.createDataFrame([x for x in rows if x[1] // 100 == part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{name}-in{part}"))
+    src = tmp_path / f"{name}-src"
     for part in range(3):
-        spark.read.parquet(str(tmp_path / f"in{part}")).coalesce(1).write.mode("append").parquet(str(src))
-        query = make(spark.readStream.schema(TAPE).parquet(str(src))).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+        spark.read.parquet(str(tmp_path / f"{name}-in{part}")).coalesce(1).write.mode("append").parquet(str(src))
+        query = make(spark.readStream.schema(schema).parquet(str(src))).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
         query.awaitTermination()
     return spark.read.parquet(str(tmp_path / name))
 
@@ -41,3 +44,27 @@ def test_time_bars(spark, tmp_path):
     key = lambda df: {(r.symbol, r.bar_id): (r.open, r.high, r.low, r.close, r.volume, r.trades, r.delta) for r in df.collect()}
     got, want = key(got), key(want)
     assert len(got) > 40 and all(want[k] == v for k, v in got.items())
+
+
+def test_states(spark, tmp_path):
+    """Pivots, book levels and histories of a stream are those of the batch operators."""
+    r = random.Random(8)
+    rows = [(s, i, i, 100.0 + (k := r.randint(-20, 20)), 99.0 + k, 99.5 + k) for s in ("A", "B") for i in range(300)]
+    schema = "symbol string, seq long, bar_id long, high double, low double, close double"
+    bar = spark.createDataFrame(rows, schema)
+    got = streamed(spark, tmp_path, rows, lambda t: ST.stream_zigzag(t, 12.0, 15.0, 2), "pivots", schema)
+    pivots = lambda df: sorted((x.symbol, x.bar_index, x.pivot_kind, x.pivot_price, x.pivot_bar) for x in df.collect())
+    assert pivots(got) == pivots(zigzag(bar, 12.0, 15.0, 2)) and got.count() > 10
+    held = streamed(spark, tmp_path, rows, lambda t: ST.stream_history(t, 5), "history", schema).collect()
+    close = {(x[0], x[2]): x[5] for x in rows}
+    assert len(held) == 600 and all(x.closes == [close[x.symbol, b] for b in range(max(0, x.bar_id - 4), x.bar_id + 1)] for x in held)
+
+
+def test_book_states(spark, tmp_path):
+    r = random.Random(9)
+    rows = [("A", i, i, r.choice(["add", "reduce", "set"]), 10.0 + r.randint(0, 3), float(r.randint(0, 9)), r.choice([1, -1])) for i in range(300)]
+    schema = "symbol string, seq long, ts_ns long, kind string, price double, size double, side int"
+    got = streamed(spark, tmp_path, rows, lambda t: ST.stream_book_states(t, 1.0), "book", schema)
+    want = book_states(spark.createDataFrame(rows, schema), 1.0)
+    key = lambda df: sorted((x.side, x.tick_key, x.seq, x.level_size) for x in df.collect())
+    assert key(got) == key(want)
