@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to a Python task, where the session doesn't say; long texts then come in small batches.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application, so that Python tasks can import it anywhere."""
+    """Sends this package to the executors, once an application, so that Python tasks can import it anywhere, and bounds
+    the session's Arrow batches by ARROW_BATCH unless it has a bound of its own."""
+    if spark.conf.get(ARROW_BATCH[0], None) is None:
+        spark.conf.set(*ARROW_BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
