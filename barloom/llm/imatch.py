@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +18,11 @@ LOW, HIGH = 0.01, 0.05
 SUBSETS = 16
 SCALES = (1, 4, 16)
 HEX = 6
+#: Terms of the lexicon below which a text is fingerprinted over all of its terms: so few fill too few subsets.
+LEAST_TERMS = 4
 NONE = "-" * HEX
-#: Buckets of ids in which texts meet their neighbours.
-MAX_BUCKETS = 1000
+#: Ranges of ids in which texts meet their neighbours, for each partition of the session.
+RANGES = 4
 
 
 def terms(text: Column) -> Column:
@@ -38,10 +43,10 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 def fingerprint(own: Column, known: Column) -> Column:
     """Hashes of the terms in each subset, in hexadecimal, ``------`` for a subset without terms.
 
-    ``own``: a text's terms; ``known``: those of the lexicon among them. A text without terms of the lexicon is
-    fingerprinted over all of its terms.
+    ``own``: a text's terms; ``known``: those of the lexicon among them. A text with under LEAST_TERMS
+    of the lexicon is fingerprinted over all of its terms.
     """
-    chosen = F.when(F.size(known) > 0, known).otherwise(own)
+    chosen = F.when(F.size(known) >= LEAST_TERMS, known).otherwise(own)
     return _hashes(F.array(*(_at_scale(chosen, s) for s in SCALES)))
 
 
@@ -71,29 +76,41 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(best)
 
 
+def id_ranges(ids: DataFrame, n: int) -> Column:
+    """The number of each doc_id's range (null: 0), rising with the ids; some ``n`` ranges of about as many rows each.
+
+    Approximate quantiles bound coarse ranges, and again fine ones within each. So a quantile's state has the square
+    root of n bounds, as has either array that an id is looked up in, and n may be as large as the corpus asks for.
+    """
+    wide = max(2, math.isqrt(n - 1) + 1)
+    cuts = F.percentile_approx("doc_id", [k / wide for k in range(1, wide)], 10 * wide)
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
+    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    ids = ids.where(F.col("doc_id").isNotNull())
+    coarse = sorted(set(ids.agg(cuts.alias("b")).first().b or []))
+    part = below(literal(coarse, "array<bigint>"))
+    found = {r.c: sorted(set(r.b)) for r in ids.groupBy(part.alias("c")).agg(cuts.alias("b")).collect()}
+    fine = literal([found.get(c, []) for c in range(len(coarse) + 1)], "array<array<bigint>>")
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part * wide + below(F.element_at(fine, part + 1)))
+
+
 def with_neighbour(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), and ``ghost``, for texts that stand in a bucket only as a neighbour of its first.
 
-    Buckets are ranges of ids, bounded by approximate quantiles, and get the largest id of the bucket before (the first
-    gets the largest of all), so that each text's next in descending order, the largest lower id, is in its bucket.
-    Bounds and ids of neighbours are one for each bucket, MAX_BUCKETS at most.
+    Buckets are ranges of ids, and get the largest id of the bucket before (the first gets the largest of all), so
+    that each text's next in descending order, the largest lower id, is in its bucket. What is broadcast, and numbered
+    in one task, is one row for each bucket; their number grows with the session's partitions.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = min(MAX_BUCKETS, 4 * partitions(docs))
     ids = rows.select("doc_id")
-    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("b")).first().b or []))
-    at = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)).cast("array<bigint>"), lambda b: b < F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at)
-    last = {r.b: r.m for r in ids.where("doc_id is not null").groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("m")).collect()}
-    order = sorted(last)
-    target = {last[order[k - 1]]: order[k] for k in range(len(order))} if order else {}
-    rows = rows.withColumn("bucket", bucket)
-    if not target:
-        return rows.withColumn("ghost", F.lit(False))
-    pairs = F.create_map(*(F.lit(x) for k, b in target.items() for x in (k, b)))
-    also = F.when(F.col("doc_id").isin([*target]), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g")), F.struct(F.element_at(pairs, F.col("doc_id")).alias("b"), F.lit(True).alias("g"))))
-    places = F.coalesce(also, F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g"))))
-    return rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", F.col("p.b").alias("bucket"), F.col("p.g").alias("ghost"))
+    rows = rows.withColumn("bucket", id_ranges(ids, RANGES * partitions(docs)))
+    last = rows.where(F.col("doc_id").isNotNull()).groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
+    up = Window.orderBy("bucket")
+    follower = F.coalesce(F.lead("bucket").over(up), F.first("bucket").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.join(F.broadcast(last.select("doc_id", follower.alias("follower"))), "doc_id", "left")
+    place = lambda bucket, ghost: F.struct(F.col(bucket).alias("bucket"), F.lit(ghost).alias("ghost"))
+    places = F.when(F.col("follower").isNull(), F.array(place("bucket", False))).otherwise(F.array(place("bucket", False), place("follower", True)))
+    return rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.bucket", "p.ghost")
 
 
 def compare(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
