@@ -20,6 +20,8 @@ UNKNOWN = "und"
 TEXTS_PER_LANGUAGE = 400
 #: Languages that a model may have at most; more are an error, for each adds to the model that all tasks hold.
 MAX_LANGUAGES = 256
+#: Languages whose code lengths of all bytes of a slice are held at a time.
+LANGUAGES_AT_ONCE = 16
 #: A code length is kept as a whole number of these parts of a bit, so sums do not depend on their order.
 PARTS = 1 << 16
 #: Bytes to which a text's evidence is scaled for the score.
@@ -146,7 +148,9 @@ def code_lengths(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
             at = heads + j
             c[at[j < n[full]]] = model.symbol[_START]
     where = model.row[(c3 * a + c2) * a + c1].astype(np.int64) * a + sym
-    out[full] = np.add.reduceat(model.bits[where], heads, axis=0, dtype=np.int64)
+    for k in range(0, len(model.langs), LANGUAGES_AT_ONCE):
+        some = slice(k, k + LANGUAGES_AT_ONCE)
+        out[full, some] = np.add.reduceat(model.bits[where, some], heads, axis=0, dtype=np.int64)
     return out
 
 
