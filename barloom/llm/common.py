@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,13 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``used`` under names that meet no others, and what gives a result its columns back."""
+    own = [c if c in used else f"__aside{k}" for k, c in enumerate(docs.columns)]
+    names = docs.columns
+    return docs.toDF(*own), lambda df: df.select(*own).toDF(*names)
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions for an explicit repartitioning: the session's shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

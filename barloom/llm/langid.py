@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import set_aside, text_slices
 
 UNKNOWN = "und"
 #: Labelled texts to learn from, for each language, in expectation; whole texts are counted.
@@ -154,40 +154,62 @@ def code_lengths(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _scored(frozen: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the best language, score and bits a byte for each text."""
+    best, score, per_byte = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+    for first, buf, off in text_slices(texts):
+        bits = code_lengths(frozen, buf, off) / PARTS
+        n = np.maximum(np.diff(off), 1)
+        low = bits.min(1)
+        at = slice(first, first + len(n))
+        best[at] = bits.argmin(1)
+        score[at] = 1 / np.exp2((low[:, None] - bits) * np.minimum(1, EVIDENCE_BYTES / n)[:, None]).sum(1)
+        per_byte[at] = low / n
+    return best, score, per_byte
+
+
 def _predict(model, extra: list[str]):
     def run(batches):
         frozen: Model = model.value
-        scale = 1.0 / PARTS
+        names = np.array([*frozen.langs, UNKNOWN], object)
         for batch in batches:
             ok = batch.column("__letter").to_numpy(zero_copy_only=False)
-            best, score, per_byte = np.zeros(len(ok), np.int64), np.zeros(len(ok)), np.zeros(len(ok))
-            for first, buf, off in text_slices(batch.column("text")):
-                bits = code_lengths(frozen, buf, off) * scale
-                n = np.maximum(np.diff(off), 1)
-                low = bits.min(1)
-                at = slice(first, first + len(n))
-                best[at] = bits.argmin(1)
-                score[at] = 1 / np.exp2((low[:, None] - bits) * np.minimum(1, EVIDENCE_BYTES / n)[:, None]).sum(1)
-                per_byte[at] = low / n
-            names = np.array([*frozen.langs, UNKNOWN], object)
+            best, score, per_byte = _scored(frozen, batch.column("text"))
             pred = pa.array(names[np.where(ok, best, len(frozen.langs))], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pred, pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, per_byte, 0.0))], names=[*extra, "lang_pred", "score", "bits_per_byte"])
 
     return run
 
 
+def _within(model, max_bits: float):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(model.value, batch.column("text"))[2] < max_bits))
+
+    return run
+
+
+def of_some_language(docs: DataFrame, model: Model | None, max_bits: float) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and takes under ``max_bits`` bits a byte in its best language; without
+    a model, those with a letter. Columns, whatever their names, and texts are unchanged."""
+    docs, named = set_aside(docs, "text")
+    docs = docs.where(F.col("text").rlike(r"\p{L}"))
+    if model is None:
+        return named(docs)
+    return named(docs.mapInArrow(_within(docs.sparkSession.sparkContext.broadcast(model), max_bits), docs.schema))
+
+
 def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
     """``columns`` of every row with lang_pred, score (0 to 1) and bits_per_byte, from the whole text alone.
 
     A text that is null, empty or without a letter is ``und`` with score 0, as is every text if nothing was learnt.
-    Ties go to the first language by name. Repeated rows are predicted alike; an empty table gives an empty result.
+    Predictions replace columns of their names. Ties go to the first language by name. Repeated rows are predicted alike; an empty table gives an empty result.
     """
+    columns = [c for c in columns if c not in ("lang_pred", "score", "bits_per_byte", "__letter")]
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.select(*columns, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*dict.fromkeys([*columns, "text"]), letter.alias("__letter"))
-    kept = [f for f in rows.schema.fields if f.name in columns]
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    assert len(kept) == len(columns)
     return rows.mapInArrow(_predict(sent, columns), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import set_aside, written
 
 LEVELS = ("domain", "lang", "source")
 MISSING = "(none)"
@@ -77,8 +77,8 @@ def budgets(leaves: DataFrame, weights: dict[tuple[str, ...], int], percent: int
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], int], percent: int = 100, max_epochs: int = 2, seed: int = 7) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source and any others) with ``__leaf``, ``__tokens`` and ``__copies``, how often
-    each row goes into the mixture.
+    """``docs`` (doc_id, text, lang, source and any others whose names don't begin with ``__``) with ``__leaf``, ``__tokens``
+    and ``__copies``, how often each row goes into the mixture.
 
     A leaf's share is whole epochs of all its rows, then the prefix of one more whose tokens come nearest to what is left, in
     the order of md5 of seed, epoch and id. The prefix ends at one hash a leaf: tokens are summed by leaf and by the
@@ -95,8 +95,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], int], pe
     share = written(share, "mix-shares")
     few = share.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     small = F.broadcast if few else (lambda df: df)
-    order = lambda id_: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(id_, F.lit("null"))))
-    hashed = light.join(small(share.where("rest > 0")), [*LEVELS]).withColumn("h", order(F.col("id"))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    order = lambda id_, epochs: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(epochs).cast("string"), F.coalesce(id_, F.lit("null"))))
+    hashed = light.join(small(share.where("rest > 0")), [*LEVELS]).withColumn("h", order(F.col("id"), "epochs")).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     sums = hashed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("tokens").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     last = sums.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
@@ -108,12 +108,14 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], int], pe
     end = F.coalesce(F.max(F.when(F.col("upto") - F.col("own") / 2 <= F.col("room"), F.col("h"))), F.first("bucket"))
     ends = inside.withColumns({"upto": upto, "own": own}).groupBy(*LEVELS).agg(end.alias("end"))
     plan = written(share.join(ends, [*LEVELS], "left"), "mix-plan")
-    leaf = plan.select(F.struct(*LEVELS).alias("__leaf"), "epochs", "end")
+    leaf = plan.select(F.struct(*LEVELS).alias("__leaf"), F.col("epochs").alias("__epochs"), F.col("end").alias("__end"))
     joined = rows.join(small(leaf), "__leaf", "left")
-    within = F.coalesce(order(F.col("doc_id").cast("string")) <= F.col("end"), F.lit(False))
-    return joined.withColumn("__copies", (F.coalesce(F.col("epochs"), F.lit(0)) + within.cast("long")).cast("long")).drop("epochs", "end")
+    within = F.coalesce(order(F.col("doc_id").cast("string"), "__epochs") <= F.col("__end"), F.lit(False))
+    return joined.withColumn("__copies", (F.coalesce(F.col("__epochs"), F.lit(0)) + within.cast("long")).cast("long")).drop("__epochs", "__end")
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the mixture's rows, each as often as it was chosen."""
-    return mixed.where(F.col("__copies") > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+def repeated(docs: DataFrame, domain: Column, *args, **kwargs) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it with these arguments; columns, whatever their names, are unchanged."""
+    docs, named = set_aside(docs, "doc_id", "text", "lang", "source")
+    mixed = mix(docs, domain, *args, **kwargs).where(F.col("__copies") > 0)
+    return named(mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")))

@@ -11,12 +11,15 @@ A sketch for the join has 2**58 bits a block and so is kept sparsely: a block is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DARK, discard, mix, partitions, text_slices, words, written
+from .common import DARK, discard, mix, partitions, set_aside, text_slices, words, written
 
 SHINGLE = 5
 #: Links have num * union <= den * intersection; the bounds below are for this ratio.
@@ -40,6 +43,29 @@ _M = np.uint64(0xD6E8FEB86659FD93)
 _KEY = "key long, cid long"
 
 
+@dataclass(frozen=True)
+class Likeness:
+    """What links two sets, and the sketches that find such sets.
+
+    Sets of ``shingle`` words are linked if den * intersection >= num * union. ``sketches(tokens, off)`` gives a sketch
+    in bytes for each set and, or None, an array of keys for each; ``block_keys(tokens, off, band)`` gives keys and rows
+    if the sketches don't. Linked sets have a key in common. ``matrices(sketches, n)`` arranges sketches for
+    ``may_link(n, matrices, x, y)``, which tells for rows x and y, pair by pair, whether a link is possible.
+    """
+
+    shingle: int
+    num: int
+    den: int
+    sketches: Callable
+    matrices: Callable
+    may_link: Callable
+    block_keys: Callable | None = None
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both > 0 and self.den * both >= self.num * (len(x) + len(y) - both)
+
+
 def _bands() -> np.ndarray:
     """Lower ends of size bands: sets that can be linked are of one band or of two that follow each other."""
     low = [3, 4]
@@ -51,16 +77,16 @@ def _bands() -> np.ndarray:
 BANDS = _bands()
 
 
-def shingle_sets(col: pa.Array):
+def shingle_sets(col: pa.Array, shingle: int = SHINGLE):
     """Yields (first row, hashes of distinct shingles row by row, sorted within a row; offsets of the rows)."""
     for first, buf, off in text_slices(col):
         _, _, w, at = words(buf, off, DARK)
         n = np.diff(at)
         with np.errstate(over="ignore"):
             h = np.zeros(len(w), np.uint64)
-            for j in range(SHINGLE):
+            for j in range(shingle):
                 h[: max(0, len(w) - j)] = h[: max(0, len(w) - j)] * _M + w[j:]
-            for short in range(1, SHINGLE):  # the whole text as one
+            for short in range(1, shingle):  # the whole text as one
                 rows = np.flatnonzero(n == short)
                 if len(rows):
                     s = np.full(len(rows), short, np.uint64)
@@ -68,7 +94,7 @@ def shingle_sets(col: pa.Array):
                         s = s * _M + w[at[rows] + j]
                     h[at[rows]] = s
         h = mix(h)
-        size = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+        size = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
         sets, sizes = [], np.zeros(len(n), np.int64)
         for i, (a, k) in enumerate(zip(at[:-1].tolist(), size.tolist(), strict=True)):
             x = np.sort(h[a : a + k])
@@ -125,30 +151,41 @@ def _may_link(n: np.ndarray, sketches: tuple[np.ndarray, np.ndarray], x: np.ndar
     return out
 
 
-def _plausible(batches):
+def _plausible(like: Likeness):
     """Of pairs (a, b, na, nb, sa, sb), those that sizes and sketches allow."""
-    for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            continue
-        n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
-        sketches = _matrices(batch.column(4).to_pylist() + batch.column(5).to_pylist(), n)
-        keep = pa.array(_may_link(n, sketches, np.arange(rows), np.arange(rows) + rows))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
+    def run(batches):
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            sketches = like.matrices(batch.column(4).to_pylist() + batch.column(5).to_pylist(), n)
+            keep = pa.array(like.may_link(n, sketches, np.arange(rows), np.arange(rows) + rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
 
-def _classes(batches):
-    for batch in batches:
-        for first, tokens, off in shingle_sets(batch.column(1)):
-            rows = len(off) - 1
-            for a in range(0, rows, 2000):
-                b = min(rows, a + 2000)
-                own = off[a : b + 1] - off[a]
-                t = tokens[off[a] : off[b]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first + a, b - a), batch.column(2).slice(first + a, b - a), pa.array(np.diff(own)), pa.array(_content_ids(t, own)), pa.array(_dense(t, own), pa.binary())],
-                    names=["doc_id", "h", "n", "cid", "sketch"],
-                )
+
+def _classes(like: Likeness):
+    def run(batches):
+        for batch in batches:
+            for first, tokens, off in shingle_sets(batch.column(1), like.shingle):
+                rows = len(off) - 1
+                for a in range(0, rows, 2000):
+                    b = min(rows, a + 2000)
+                    own = off[a : b + 1] - off[a]
+                    t = tokens[off[a] : off[b]]
+                    sketch, keys = like.sketches(t, own)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(first + a, b - a), batch.column(2).slice(first + a, b - a), pa.array(np.diff(own)), pa.array(_content_ids(t, own)), pa.array(sketch, pa.binary()),
+                            pa.nulls(b - a, pa.list_(pa.int64())) if keys is None else keys,
+                        ],
+                        names=["doc_id", "h", "n", "cid", "sketch", "keys"],
+                    )
+
+    return run
 
 
 def block_keys(tokens: np.ndarray, off: np.ndarray, band_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,20 +231,23 @@ def block_keys(tokens: np.ndarray, off: np.ndarray, band_of: np.ndarray) -> tupl
     return np.concatenate([key[kept], empty]).view(np.int64), np.concatenate([ok[doc[kept]], ok[rare]])
 
 
-def _keys(batches):
-    seen: set[int] = set()
-    for batch in batches:
-        for _, tokens, off in shingle_sets(batch.column(0)):
-            cid = _content_ids(tokens, off)
-            own = np.searchsorted(BANDS, np.diff(off), "right") - 1
-            new = np.array([c not in seen and not seen.add(c) for c in cid.tolist()], bool)
-            n = np.where(new, np.diff(off), 0)
-            keep = np.repeat(new, np.diff(off))
-            tokens, off = tokens[keep], np.concatenate([[0], np.cumsum(n)])
-            for step in (0, 1):
-                key, row = block_keys(tokens, off, np.maximum(own, 0) + step)
-                for a in range(0, len(key), 500_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 500_000]), pa.array(cid[row[a : a + 500_000]])], names=["key", "cid"])
+def _keys(like: Likeness):
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for _, tokens, off in shingle_sets(batch.column(0), like.shingle):
+                cid = _content_ids(tokens, off)
+                own = np.searchsorted(BANDS, np.diff(off), "right") - 1
+                new = np.array([c not in seen and not seen.add(c) for c in cid.tolist()], bool)
+                n = np.where(new, np.diff(off), 0)
+                keep = np.repeat(new, np.diff(off))
+                tokens, off = tokens[keep], np.concatenate([[0], np.cumsum(n)])
+                for step in (0, 1):
+                    key, row = like.block_keys(tokens, off, np.maximum(own, 0) + step)
+                    for a in range(0, len(key), 500_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 500_000]), pa.array(cid[row[a : a + 500_000]])], names=["key", "cid"])
+
+    return run
 
 
 def _meetings(batches):
@@ -242,7 +282,7 @@ def _meetings(batches):
             yield out(k[several], c[several], heads[several])
 
 
-def _near_pairs(forest: bool):
+def _near_pairs(like: Likeness, forest: bool):
     """Pairs of one bucket's piece, of different components, whose sizes and dense sketches allow a link: all of them, or
     as many as join the components that they connect. Where rows bring their sets, only linked pairs count."""
 
@@ -250,7 +290,7 @@ def _near_pairs(forest: bool):
         order = np.lexsort((t.column("n").to_numpy(), group))  # by size: past the first set too large, all are
         t, group = t.take(pa.array(order)), group[order]
         key, cid, comp, n, side = (t.column(x).to_numpy() for x in ("key", "cid", "comp", "n", "side"))
-        sketches, sets = _matrices(t.column("sketch").to_pylist(), n), t.column("set")
+        sketches, sets = like.matrices(t.column("sketch").to_pylist(), n), t.column("set")
         node = np.unique(np.stack([group, comp]), axis=1, return_inverse=True)[1].ravel()
         label = np.arange(node.max() + 1)
         up = label.tolist()
@@ -263,19 +303,19 @@ def _near_pairs(forest: bool):
         i, found = np.arange(len(cid)), []
         for step in range(1, len(cid)):
             i = i[i + step < len(cid)]
-            i = i[(group[i] == group[i + step]) & (3 * n[i + step] <= 4 * n[i])]
+            i = i[(group[i] == group[i + step]) & (like.num * n[i + step] <= like.den * n[i])]
             if not len(i):
                 break
             j = i + step
             m = (label[node[i]] != label[node[j]]) & ((side[i] != side[j]) | (side[i] == 2))
             x, y = i[m], j[m]
-            near = _may_link(n, sketches, x, y)
+            near = like.may_link(n, sketches, x, y)
             x, y = x[near], y[near]
             if forest and len(x):
                 joins = []
                 for k, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
                     p_, q_ = root(node[p]), root(node[q])
-                    if p_ != q_ and (not sets[p].is_valid or _linked(sets[p], sets[q])):
+                    if p_ != q_ and (not sets[p].is_valid or like.linked(*(np.frombuffer(sets[v].as_buffer(), np.uint64) for v in (p, q)))):
                         up[q_] = p_
                         joins.append(k)
                 x, y = x[joins], y[joins]
@@ -321,43 +361,51 @@ def _near_pairs(forest: bool):
     return run
 
 
-def _linked(x: pa.Scalar, y: pa.Scalar) -> bool:
-    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+def _verified(like: Likeness):
+    """Pairs of texts whose shingle sets are linked."""
 
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for step in range(0, batch.num_rows, 500):
+                part = batch.slice(step, 500)
+                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for r, ((i, x), (j, y)) in enumerate(zip(_sets(part.column(2), like), _sets(part.column(3), like), strict=True)):
+                    # Another text may have the same doc_id: the ids of the contents tell.
+                    keep[step + r] = i == a[r] and j == b[r] and like.linked(x, y)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-def _verified(batches):
-    """Pairs of texts whose shingle sets are linked."""
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for step in range(0, batch.num_rows, 500):
-            part = batch.slice(step, 500)
-            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for r, ((i, x), (j, y)) in enumerate(zip(_sets(part.column(2)), _sets(part.column(3)), strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                # Another text may have the same doc_id: the ids of the contents tell.
-                keep[step + r] = i == a[r] and j == b[r] and both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-
-def _set_rows(batches):
+    return run
+
+
+def _set_rows(like: Likeness):
     """cid and the set, as bytes, of texts that have the cid they are said to have, a few at a time."""
-    for batch in batches:
-        want = batch.column(0).to_pylist()
-        for step in range(0, len(want), 100):
-            part = batch.slice(step, min(100, len(want) - step))
-            same = [(cid, x.tobytes()) for (cid, x), w in zip(_sets(part.column(1)), want[step:], strict=False) if cid == w]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in same], pa.int64()), pa.array([x for _, x in same], pa.binary())], names=["cid", "set"])
 
+    def run(batches):
+        for batch in batches:
+            want = batch.column(0).to_pylist()
+            for step in range(0, len(want), 100):
+                part = batch.slice(step, min(100, len(want) - step))
+                same = [(cid, x.tobytes()) for (cid, x), w in zip(_sets(part.column(1), like), want[step:], strict=False) if cid == w]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in same], pa.int64()), pa.array([x for _, x in same], pa.binary())], names=["cid", "set"])
 
-def _sets(col: pa.Array):
+    return run
+
+
+def _sets(col: pa.Array, like: Likeness):
     """Yields the content id and the set of each row."""
-    for _, tokens, off in shingle_sets(col):
+    for _, tokens, off in shingle_sets(col, like.shingle):
         for i, cid in enumerate(_content_ids(tokens, off).tolist()):
             yield cid, tokens[off[i] : off[i + 1]]
 
 
+def _parity_sketches(tokens: np.ndarray, off: np.ndarray) -> tuple[list[bytes], None]:
+    return _dense(tokens, off), None
+
+
+PARITY = Likeness(SHINGLE, NUMERATOR, DENOMINATOR, _parity_sketches, _matrices, _may_link, block_keys)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, a written table, marked for broadcast if it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -392,7 +440,7 @@ def components(edges: DataFrame) -> DataFrame:
     return total if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
     """Pairs (a, b) of content ids whose texts are linked, as a written table.
 
     Sizes and dense sketches come first; only texts of documents that stand for a class in a pair that is left are
@@ -400,14 +448,14 @@ def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    pairs = written(pairs.mapInArrow(_plausible, "a long, b long"), "pairs")
+    pairs = written(pairs.mapInArrow(_plausible(like), "a long, b long"), "pairs")
     if pairs.isEmpty():
         return pairs
     some = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
     need = written(some.join(classes, "cid").select("cid", F.col("first").alias("doc_id")), "needed")
     texts = rows.join(small(need), "doc_id").select("cid", "text")
     left, right = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long").distinct(), "links")
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(like), "a long, b long").distinct(), "links")
 
 
 def _named(rows: DataFrame, roots: DataFrame | None, cid: str = "cid", out: str = "comp") -> DataFrame:
@@ -429,13 +477,13 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(old.unionByName(new), "roots")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, like: Likeness = PARITY) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
 
     Words are runs of characters other than ASCII white space, with A-Z as a-z; a set has the distinct shingles of five
     words, or a shorter text as one. Sets with 100 * intersection >= 75 * union are linked; component_id is the smallest
-    doc_id reachable. Null and empty texts have no set and are linked with nothing. Repeated rows and copies all stay;
-    other columns are ignored; an empty table gives an empty result. A text all of whose rows have a null
+    doc_id reachable; ``like`` may set other shingles, ratios and sketches. Null and empty texts have no set and are
+    linked with nothing. Repeated rows and copies all stay; other columns are ignored; an empty table gives an empty result. A text all of whose rows have a null
     id is linked with nothing and its component is null.
 
     Equal sets are one class from the start, so copies are never paired. In each of some rounds every component tries
@@ -445,7 +493,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Links within a component that follow from others are not looked for, as they change no component;
     ``jaccard_join`` has them all. Classes, keys and sets are told apart by 64-bit hashes.
     """
-    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
+    return _grouped(docs, like).select("doc_id", "n_shingles", "component_id")
 
 
 def _row_id() -> list:
@@ -453,15 +501,16 @@ def _row_id() -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")]
 
 
-def _buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _buckets(rows: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The class of each row (doc_id, text, and h, which is passed on), all classes with sets, and the buckets with several."""
-    each = written(rows.select("doc_id", "text", "h").mapInArrow(_classes, "doc_id long, h long, n long, cid long, sketch binary"), "classes")
-    classes = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    keys = rows.select("text").mapInArrow(_keys, _KEY).repartition(partitions(rows), "key").sortWithinPartitions("key", "cid")
+    each = written(rows.select("doc_id", "text", "h").mapInArrow(_classes(like), "doc_id long, h long, n long, cid long, sketch binary, keys array<long>"), "classes")
+    classes = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
+    keys = rows.select("text").mapInArrow(_keys(like), _KEY) if like.block_keys else classes.select(F.explode("keys").alias("key"), "cid")
+    keys = keys.repartition(partitions(rows), "key").sortWithinPartitions("key", "cid")
     return each, classes, written(keys.mapInArrow(_meetings, "key long, cid long, head long"), "buckets")
 
 
-def _compared(named: DataFrame, classes: DataFrame, parts: int, forest: bool = False, sets: DataFrame | None = None) -> DataFrame:
+def _compared(named: DataFrame, classes: DataFrame, parts: int, like: Likeness, forest: bool = False, sets: DataFrame | None = None) -> DataFrame:
     """Pairs (key, a, b) of classes of one bucket and different ``comp`` that sizes and dense sketches allow, as a written
     table: all, or a forest over the components that they connect; with ``sets`` (cid, set) only linked ones.
 
@@ -485,20 +534,20 @@ def _compared(named: DataFrame, classes: DataFrame, parts: int, forest: bool = F
     as_main = F.transform(F.sequence(F.lit(0).cast("long"), minors - 1), lambda o: cell(minors * minors + o * mains + own, F.lit(1)))
     cells = F.when(F.col("k") <= tile, F.array(cell(F.lit(0), F.lit(2)))).when(F.col("__minor"), F.concat(with_minors, with_mains)).otherwise(as_main)
     dealt = open_.select("key", "cid", "comp", "n", "sketch", "set", F.inline(cells)).repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
-    return written(dealt.mapInArrow(_near_pairs(forest), "key long, a long, b long"), "near")
+    return written(dealt.mapInArrow(_near_pairs(like, forest), "key long, a long, b long"), "near")
 
 
-def _rest(named: DataFrame, classes: DataFrame, rows: DataFrame, roots: DataFrame | None, parts: int) -> DataFrame | None:
+def _rest(named: DataFrame, classes: DataFrame, rows: DataFrame, roots: DataFrame | None, parts: int, like: Likeness) -> DataFrame | None:
     """Roots after all buckets (key, cid, comp) are settled.
 
     Buckets first give a forest of likely pairs. If all of a bucket's are links, nothing in it is left to be found. In
     the others every pair of different components is compared: small ones list what their sketches allow, and large ones
     verify it in place, with the sets.
     """
-    likely = _compared(named, classes, parts, forest=True)
+    likely = _compared(named, classes, parts, like, forest=True)
     if likely.isEmpty():
         return roots
-    links = verify(likely.select("a", "b").distinct(), classes, rows)
+    links = verify(likely.select("a", "b").distinct(), classes, rows, like)
     roots = _merged(roots, links)
     unsure = likely.join(links, ["a", "b"], "left_anti").select("key").distinct()
     again = _named(named.join(unsure, "key", "left_semi").select("key", "cid"), roots)
@@ -506,19 +555,19 @@ def _rest(named: DataFrame, classes: DataFrame, rows: DataFrame, roots: DataFram
     again = written(again.join(size, "key").select("key", "cid", "comp", (F.col("__k") > LISTED).alias("large")), "unsure")
     few, large = again.where("not large"), again.where("large").drop("large")
     if not few.isEmpty():
-        roots = _merged(roots, verify(_compared(few, classes, parts).select("a", "b").distinct(), classes, rows))
+        roots = _merged(roots, verify(_compared(few, classes, parts, like).select("a", "b").distinct(), classes, rows, like))
     if not large.isEmpty():
         need = written(large.select("cid").distinct().join(classes, "cid").select("cid", F.col("first").alias("doc_id")), "needed")
         texts = rows.join(small(need), "doc_id").select("cid", "text")
-        sets = written(texts.mapInArrow(_set_rows, "cid long, set binary").dropDuplicates(["cid"]), "sets")
+        sets = written(texts.mapInArrow(_set_rows(like), "cid long, set binary").dropDuplicates(["cid"]), "sets")
         large = large if roots is None else written(_named(large.select("key", "cid"), roots), "large")
-        found = _compared(large, classes, parts, forest=True, sets=sets)
+        found = _compared(large, classes, parts, like, forest=True, sets=sets)
         if not found.isEmpty():
             roots = _merged(roots, found.select("a", "b").distinct())
     return roots
 
 
-def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, like: Likeness = PARITY) -> tuple[DataFrame, DataFrame]:
     """The join itself: all links between different sets, and the class of each row of ``docs`` (doc_id, text).
 
     Links are rows (a, b) of class ids, a < b, each pair once. The second table has doc_id, n_shingles, class_id and
@@ -531,21 +580,21 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     keyed = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("h"))
     rows = written(keyed, "numbered")
-    each, classes, buckets = _buckets(rows)
+    each, classes, buckets = _buckets(rows, like)
     # ``_meetings`` gives several cids of a key, each once.
-    near = _compared(buckets.select("key", "cid", F.col("cid").alias("comp")), classes, partitions(docs))
-    links = verify(near.select("a", "b").distinct(), classes, rows)
+    near = _compared(buckets.select("key", "cid", F.col("cid").alias("comp")), classes, partitions(docs), like)
+    links = verify(near.select("a", "b").distinct(), classes, rows, like)
     ends = links.select(F.col("a").alias("cid")).unionAll(links.select(F.col("b").alias("cid")))
     degree = written(ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links")), "degrees")
     out = each.select(F.col("h").alias("doc_id"), "n", "cid").join(small(degree), "cid", "left")
     return links, out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
+def _grouped(docs: DataFrame, like: Likeness = PARITY) -> DataFrame:
     """near_groups with ``h``, the hash of the text, and ``top``, which tells components apart (null without a set):
     rows of one id can be in several, so component_id does not."""
     rows = docs.select(*_row_id(), F.col("text").cast("string").alias("text"))
-    each, classes, buckets = _buckets(rows)
+    each, classes, buckets = _buckets(rows, like)
     roots, tried = None, None
     for turn, leaders in enumerate([*LEADERS, 0]):
         named = _named(buckets.select("key", "cid"), roots)
@@ -569,11 +618,11 @@ def _grouped(docs: DataFrame) -> DataFrame:
         buckets = named
         if best.isEmpty():
             continue
-        links = verify(best, classes, rows)
+        links = verify(best, classes, rows, like)
         tried = best if tried is None else written(tried.unionAll(best), "tried")
         if not links.isEmpty():
             roots = _merged(roots, links)
-    roots = _rest(named, classes, rows, roots, partitions(docs))
+    roots = _rest(named, classes, rows, roots, partitions(docs), like)
     tops = _named(classes.select("cid", "first"), roots, "cid", "top")
     ids = tops.groupBy("top").agg(F.min("first").alias("component_id"))
     member = written(tops.join(ids, "top").select("cid", "top", "component_id"), "members")
@@ -583,19 +632,6 @@ def _grouped(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("top")).alias("top"))
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component and of each doc_id, for tables whose ids are unique.
-
-    It decides by id alone: where ids repeat or are null, rows with different texts go; see ``one_of_groups``.
-    """
-    groups = written(near_groups(docs), "groups")
-    dropped = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
-    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
-
-
 def one_of_groups(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: of its smallest doc_id, and of several such rows the first by text.
 
@@ -603,6 +639,7 @@ def one_of_groups(docs: DataFrame) -> DataFrame:
     all stay. Texts are told apart by 64-bit hashes; only rows of components that have their smallest id repeatedly are
     shuffled with their texts.
     """
+    docs, original = set_aside(docs, "doc_id", "text")
     groups = written(_grouped(docs).where("top is not null and doc_id is not null"), "groups")
     dropped = written(groups.where("component_id <> doc_id").select("doc_id", "h").distinct(), "dropped")
     doc_id, h = _row_id()
@@ -613,8 +650,8 @@ def one_of_groups(docs: DataFrame) -> DataFrame:
     several = first.groupBy("top").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("top")
     again = written(named(first.join(several, "top").select("doc_id", "h", "top").distinct()), "again")
     if again.isEmpty():
-        return kept.select(*docs.columns)
+        return original(kept)
     # Of rows that are equal throughout, any is the first.
     place = F.row_number().over(Window.partitionBy("__top").orderBy(F.col("text").cast("string"), F.to_json(F.struct(*docs.columns))))
     chosen = kept.join(small(again), ["__id", "__h"]).withColumn("__place", place).where("__place = 1")
-    return kept.join(small(again), ["__id", "__h"], "left_anti").select(*docs.columns).unionAll(chosen.select(*docs.columns))
+    return original(kept.join(small(again), ["__id", "__h"], "left_anti").select(*docs.columns).unionAll(chosen.select(*docs.columns)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import ship_package
 
-from . import chat, cotrain, decontaminate, imatch, langid, license_scan, mixing, parity_join, secret_scan, token_orc
+from . import bbit_minhash, chat, cotrain, decontaminate, imatch, langid, license_scan, mixing, parity_join, secret_scan, token_orc
 from .common import held_out, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,24 +91,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of word shingles, and which documents stay."""
+    return bbit_minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_cotrained_quality, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_cotrained_quality, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination, op11_bbit_minhash)}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-OP6_SQL = rf"""
+_GROUPS_SQL = rf"""
 with recursive w as (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') as w from documents),
-s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
- else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as s from w),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < {{k}} then [array_to_string(w, ' ')]
+ else list_distinct([array_to_string(w[i:i + {{k}} - 1], ' ') for i in range(1, len(w) - {{k}} + 2)]) end as s from w),
 e as materialized (select doc_id, hash(unnest(s)) as g, len(s) as n from s),
-links as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
- group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= {{num}} * greatest(a.n, b.n)
+ group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {{num}} * (a.n + b.n - count(*))),
 reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(r.m, s.doc_id)) as component_id
 from s left join (select a, min(b) as m from reach group by a) r on r.a = s.doc_id
 """
+OP6_SQL = _GROUPS_SQL.format(k=5, num=75)
+OP11_SQL = f"select *, doc_id = component_id as kept from ({_GROUPS_SQL.format(k=4, num=80)})"
 
 OP10_SQL = rf"""
 with d as materialized (select doc_id, regexp_extract_all({_LOW}, '{_ALNUM}') as w from documents),
@@ -126,4 +133,4 @@ from d left join words using (doc_id) left join items using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_parity_join": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_parity_join": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_bbit_minhash": OP11_SQL}

@@ -116,6 +116,8 @@ def test_mixture_from_its_definition(spark, docs):  # noqa: F811
 
 def test_stages_of_odd_rows(spark, sf_dir, odd, empty):  # noqa: F811
     """Nulls, empty and long texts, repeated rows, clashing names and no rows at all, in every stage on its own."""
+    names = ["score", "lang_pred", "bits_per_byte", "__letter", "end", "epochs", "window", "__leaf", "__id", "__h", "__copies"]
+    odd = odd.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")) for c in names})
     for name, stage in p.STAGES:
         got, none = stage(spark, odd, sf_dir), stage(spark, empty, sf_dir)
         assert none.count() == 0, name
@@ -125,6 +127,7 @@ def test_stages_of_odd_rows(spark, sf_dir, odd, empty):  # noqa: F811
             continue
         assert got.columns == odd.columns and none.columns == empty.columns, name
         n = collections.Counter(r.doc_id for r in got.collect())
+        assert all(r[c] == f"{c}{r.doc_id or 0}" for r in got.collect() for c in names), name
         if name == "mixing sources to target weights":  # nearly all tokens are those of one row, whose leaf is taken whole
             assert set(n) <= {None, 1, 2, 3, 4, 5, 6} and n[3] in (1, q.MIX_EPOCHS)
             continue
