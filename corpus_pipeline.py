@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from barloom.llm import queries as q
 from barloom.llm import decontaminate, langid, mixing, parity_join, token_orc
@@ -21,11 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged by its text alone: null ids and other null columns, repeated rows and extra columns make no difference. An
     empty table stays empty."""
     ship_package(spark)
-    model = langid.learn(docs, ~held_out("doc_id"))
-    if model is None:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    keep = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") < MAX_BITS_PER_BYTE)
-    return langid.predict(docs, model, docs.columns).where(keep).select(*docs.columns)
+    return langid.of_some_language(docs, langid.learn(docs, ~held_out("doc_id")), MAX_BITS_PER_BYTE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null names are a leaf of their own, null and empty texts count one token; rows of a leaf with equal ids, null ones
     too, go together. Extra columns stay as they are; an empty table stays empty."""
-    return mixing.repeated(mixing.mix(docs, q.domain(), q.MIX_WEIGHTS, 100, q.MIX_EPOCHS, q.MIX_SEED), docs.columns)
+    return mixing.repeated(docs, q.domain(), q.MIX_WEIGHTS, 100, q.MIX_EPOCHS, q.MIX_SEED)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
