@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import ship_package
 
-from . import bbit_minhash, chat, cotrain, decontaminate, imatch, langid, license_scan, mixing, parity_join, secret_scan, token_orc
+from . import bbit_minhash, chat, code_vectors, cotrain, decontaminate, imatch, langid, license_scan, mixing, parity_join, secret_scan, token_orc
 from .common import held_out, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,8 +96,13 @@ def op11_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, their errors and the digest of the codebooks."""
+    return code_vectors.coded(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_cotrained_quality, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination, op11_bbit_minhash)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_cotrained_quality, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination, op11_bbit_minhash, op12_filtering_lloyd)}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -132,5 +137,27 @@ from d left join words using (doc_id) left join items using (doc_id)
 """
 
 
+def _lloyd_round(k: int) -> str:
+    """Nearest entries under codebook k, and the codebook that follows."""
+    return f"""
+a{k} as materialized (select x.vec_id, part, x, min({{'d': zz - 2 * list_inner_product(z, x), 'entry': entry}}).entry as entry, min(zz - 2 * list_inner_product(z, x)) + any_value(xx) as d
+ from x join b{k} using (part) group by x.vec_id, part, x),
+m{k} as (select part, entry, list(v order by j) as z from (select part, entry, j, floor(sum(x[j]) / count(*)) as v from a{k}, (select unnest(range(1, 17)) as j) group by part, entry, j) group by part, entry),
+b{k + 1} as materialized (select part, entry, z, list_inner_product(z, z) as zz from (select part, entry, coalesce(m{k}.z, b{k}.z) as z from b{k} left join m{k} using (part, entry)))"""
+
+
+#: Vectors have 64 components here; whole numbers are held as doubles, which are exact for them.
+OP12_SQL = f"""
+with v as materialized (select vec_id, label, list_transform(embedding, lambda c: floor(1024 * cast(c as double))) as e from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+x as materialized (select *, list_inner_product(x, x) as xx from (select vec_id, part, e[16 * part + 1:16 * part + 16] as x from v, (select unnest(range(4)) as part))),
+b0 as materialized (select part, cast(rank as int) as entry, x as z, xx as zz from x join (select vec_id, row_number() over (order by vec_id) - 1 as rank from v) using (vec_id) where rank < 256),
+{",".join(_lloyd_round(k) for k in range(5))},
+c as (select vec_id, string_agg(lower(printf('%02x', cast(entry as int))), '' order by part) as code, cast(sum(d) as bigint) as error from a4 group by vec_id),
+digest as (select sha256(string_agg(cast(cast(n as bigint) as varchar), ',' order by part, entry, j)) as codebooks_sha256 from (select part, entry, unnest(z) as n, unnest(range(16)) as j from b4))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from c join v using (vec_id), digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_parity_join": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_bbit_minhash": OP11_SQL}
+    return {"op6_parity_join": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_bbit_minhash": OP11_SQL, "op12_filtering_lloyd": OP12_SQL}
