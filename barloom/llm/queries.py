@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.session import ship_package
 
-from . import bbit_minhash, chat, code_vectors, cotrain, decontaminate, imatch, langid, license_scan, mixing, parity_join, secret_scan, token_orc
+from . import bbit_minhash, chat, code_vectors, cotrain, decontaminate, imatch, impact_index, langid, license_scan, mixing, parity_join, secret_scan, token_orc
 from .common import held_out, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,8 +101,13 @@ def op12_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_vectors.coded(table(spark, sf_dir, "embeddings"))
 
 
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item, from an index of all documents."""
+    return impact_index.search(impact_index.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_cotrained_quality, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination, op11_bbit_minhash, op12_filtering_lloyd)}
+    return {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_cotrained_quality, op4_chat_windows, op5_imatch, op6_parity_join, op7_mixing, op8_secret_scan, op9_language_id, op10_decontamination, op11_bbit_minhash, op12_filtering_lloyd, op13_impact_search)}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -159,5 +164,18 @@ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint)
 """
 
 
+OP13_SQL = rf"""
+with d as materialized (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all({_LOW}, '{_ALNUM}')) as term from documents) group by doc_id, term),
+n as (select doc_id, cast(sum(tf) as bigint) as n from d group by doc_id),
+whole as (select count(*) as docs, cast(sum(n) as bigint) as words from n),
+m as (select doc_id, 75 + (25 * n * docs) // words as m from n, whole),
+w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from d, whole group by term, docs),
+i as (select item_id, term, count(*) as c from (select item_id, unnest(regexp_extract_all({_LOW}, '{_ALNUM}')) as term from benchmark) group by item_id, term),
+scores as (select item_id, doc_id, cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score from i join w using (term) join d using (term) join m using (doc_id) group by item_id, doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from scores where score > 0
+qualify rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_parity_join": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_bbit_minhash": OP11_SQL, "op12_filtering_lloyd": OP12_SQL}
+    return {"op6_parity_join": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_bbit_minhash": OP11_SQL, "op12_filtering_lloyd": OP12_SQL, "op13_impact_search": OP13_SQL}
