@@ -138,8 +138,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     empty table gives an empty result. A row with a null id goes where rows with ids have its set; a set all of whose
     rows have null ids is linked with nothing, its component is null and its rows are kept.
 
-    Equal sets are one class, which alone has keys. Bands with several classes are settled as buckets of the parity join
-    are (``parity_join.near_groups``): links with leaders first, then forests of likely pairs, then what is unsure in full.
+    Equal sets are one class, which alone has keys. Bands with several classes give forests of pairs that the estimates
+    allow; what these connect is compared on full sets until its components are sure (``parity_join._clusters``).
     """
     groups = near_groups(docs.select("doc_id", "text"), MINHASH)
     return groups.withColumn("kept", F.col("doc_id").cast("long").eqNullSafe(F.col("component_id")))

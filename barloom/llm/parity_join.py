@@ -595,6 +595,40 @@ def _grouped(docs: DataFrame, like: Likeness = PARITY) -> DataFrame:
     rows of one id can be in several, so component_id does not."""
     rows = docs.select(*_row_id(), F.col("text").cast("string").alias("text"))
     each, classes, buckets = _buckets(rows, like)
+    join = _rounds if like.block_keys else _clusters
+    return _labelled(each, classes, join(buckets, classes, rows, partitions(docs), like))
+
+
+def _clusters(buckets: DataFrame, classes: DataFrame, rows: DataFrame, parts: int, like: Likeness) -> DataFrame | None:
+    """Roots of all classes that are linked, for sketches by which few pairs pass that are no links.
+
+    Buckets give forests of likely pairs. Of each class the pair that most buckets have is verified, which joins most of
+    a group. What likely pairs connect is a cluster; in each that has several components, these are compared with the
+    sets at hand, each class once, however many buckets it is in.
+    """
+    likely = _compared(buckets.select("key", "cid", F.col("cid").alias("comp")), classes, parts, like, forest=True)
+    met = written(likely.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")), "met")
+    if met.isEmpty():
+        return None
+    ends = met.select(F.explode(F.array("a", "b")).alias("cid"), "a", "b", "k")
+    best = ends.groupBy("cid").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    links = verify(best, classes, rows, like)
+    roots = None if links.isEmpty() else _merged(None, links)
+    named = _named(_named(met, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    cluster = components(named).select(F.col("node").alias("comp"), F.col("root").alias("key"))
+    if cluster.isEmpty():
+        return roots
+    members = _named(ends.select("cid").distinct(), roots).join(cluster, "comp").select("key", "cid", "comp")
+    members = written(members, "members")
+    need = written(members.join(classes, "cid").select("cid", F.col("first").alias("doc_id")), "needed")
+    texts = rows.join(small(need), "doc_id").select("cid", "text")
+    sets = written(texts.mapInArrow(_set_rows(like), "cid long, set binary").dropDuplicates(["cid"]), "sets")
+    found = _compared(members, classes, parts, like, forest=True, sets=sets)
+    return roots if found.isEmpty() else _merged(roots, found.select("a", "b").distinct())
+
+
+def _rounds(buckets: DataFrame, classes: DataFrame, rows: DataFrame, parts: int, like: Likeness) -> DataFrame | None:
+    """Roots of all classes that are linked: links with leaders of buckets first, then what ``_rest`` finds."""
     roots, tried = None, None
     for turn, leaders in enumerate([*LEADERS, 0]):
         named = _named(buckets.select("key", "cid"), roots)
@@ -622,7 +656,11 @@ def _grouped(docs: DataFrame, like: Likeness = PARITY) -> DataFrame:
         tried = best if tried is None else written(tried.unionAll(best), "tried")
         if not links.isEmpty():
             roots = _merged(roots, links)
-    roots = _rest(named, classes, rows, roots, partitions(docs), like)
+    return _rest(named, classes, rows, roots, parts, like)
+
+
+def _labelled(each: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows with the smallest doc_id of their component."""
     tops = _named(classes.select("cid", "first"), roots, "cid", "top")
     ids = tops.groupBy("top").agg(F.min("first").alias("component_id"))
     member = written(tops.join(ids, "top").select("cid", "top", "component_id"), "members")
