@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequential import sequential
+from .scans import scan
 
 NS = 1_000_000_000
 
@@ -30,23 +30,33 @@ class _RangeBars:
     """Numbers the trades of one symbol: the trade that fills a bar's range is its last."""
 
     def __init__(self, span: float):
-        self.span, self.bar, self.high, self.low = span, 0, None, None
-
-    def __call__(self, pdf):
-        out = []
-        for price in pdf["price"].to_numpy():
-            self.high = price if self.high is None else max(self.high, price)
-            self.low = price if self.low is None else min(self.low, price)
-            out.append(self.bar)
-            if self.high - self.low >= self.span:
-                self.bar, self.high, self.low = self.bar + 1, None, None
+        self.span, self.count, self.high, self.low = span, 0, None, None
+
+    def state(self):
+        return self.high, self.low
+
+    def restore(self, state):
+        self.high, self.low = state
+
+    def __call__(self, pdf, first):
+        out, bar, high, low = [], self.count, self.high, self.low
+        for price in pdf["price"].tolist():
+            high = price if high is None or price > high else high
+            low = price if low is None or price < low else low
+            out.append(bar)
+            if high - low >= self.span:
+                bar, high, low = bar + 1, None, None
+        self.count, self.high, self.low = bar, high, low
         return pdf.assign(bar_id=out)
 
 
-def range_bar_ids(trades: DataFrame, range_ticks: int = 30, tick: float = 0.25) -> DataFrame:
-    """Adds ``bar_id`` of bars that close when their range reaches a number of ticks. A bar begins where the one before
-    ended, so each symbol is read in order, in pieces, with only the open bar kept."""
-    return sequential(trades, ["symbol"], ["seq"], lambda: _RangeBars(range_ticks * tick), [("bar_id", "long")])
+def range_bar_ids(trades: DataFrame, range_ticks: int = 30, tick: float = 0.25, block: int | None = None) -> DataFrame:
+    """Adds ``bar_id`` of bars that close when their range reaches a number of ticks.
+
+    A bar begins where the one before ended, so blocks of a symbol's trades hand on their open bar (``scans.scan``):
+    runs from different starts soon close a bar at the same trade, so a block seldom runs more than twice.
+    """
+    return scan(trades, "symbol", "seq", lambda: _RangeBars(range_ticks * tick), [("bar_id", "long")], block=block)
 
 
 def with_contract_tick(tape: DataFrame, default: float = 0.25) -> DataFrame:

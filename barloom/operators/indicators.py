@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .sequential import sequential
+from .scans import affine_scan, scan
 
 def by_bar() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("bar_id")
@@ -45,24 +45,9 @@ def technical(bar: DataFrame, fast: int = 12, slow: int = 26, rsi_n: int = 14, b
     return bar.withColumns({"trend": trend, "rsi_state": state}).drop("__up", "__down", "__n")
 
 
-class _Ema:
-    def __init__(self, n: dict[str, int]):
-        self.alpha, self.value = {k: 2 / (v + 1) for k, v in n.items()}, {}
-
-    def __call__(self, pdf):
-        for name, alpha in self.alpha.items():
-            value, out = self.value.get(name), []
-            for close in pdf["close"].to_numpy():
-                value = close if value is None else alpha * close + (1 - alpha) * value
-                out.append(value)
-            self.value[name] = value
-            pdf[name] = out
-        return pdf
-
-
-def ema(bar: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
-    """Exponential averages, begun with the first close."""
-    return sequential(bar, ["symbol"], ["bar_id"], lambda: _Ema({"ema_fast": fast, "ema_slow": slow}), [("ema_fast", "double"), ("ema_slow", "double")])
+def ema(bar: DataFrame, fast: int = 12, slow: int = 26, block: int | None = None) -> DataFrame:
+    """Exponential averages, begun with the first close; blocks of a symbol's bars are affine maps that are composed."""
+    return affine_scan(bar, "symbol", "bar_id", "close", {"ema_fast": 2 / (fast + 1), "ema_slow": 2 / (slow + 1)}, block)
 
 
 def true_range() -> Column:
@@ -164,10 +149,19 @@ class _Percentile:
     """The percentile of whole-number volumes over the last bars, from a histogram that moves along."""
 
     def __init__(self, p: float, lookback: int, floor: float, cap: int):
-        self.p, self.lookback, self.floor = p, lookback, floor
+        self.p, self.lookback, self.floor, self.count = p, lookback, floor, 0
         self.counts, self.total, self.held = np.zeros(cap + 1, np.int64), 0, deque()
 
-    def __call__(self, pdf):
+    def state(self):
+        return tuple((b.tolist(), n.tolist()) for b, n in self.held)
+
+    def restore(self, state):
+        for b, n in state:
+            own = np.asarray(b, np.int64), np.asarray(n, np.int64)
+            self._add(own, 1)
+            self.held.append(own)
+
+    def __call__(self, pdf, first):
         out = []
         for buckets, numbers in zip(pdf["buckets"], pdf["numbers"], strict=True):
             found = self.floor
@@ -186,27 +180,33 @@ class _Percentile:
         self.total += sign * int(own[1].sum())
 
 
-def volume_thresholds(bar: DataFrame, levels: DataFrame, p: float = 0.7, lookback: int = 500, floor: float = 10.0, bucket_cap: int = 4095) -> DataFrame:
+def volume_thresholds(bar: DataFrame, levels: DataFrame, p: float = 0.7, lookback: int = 500, floor: float = 10.0, bucket_cap: int = 4095, block: int | None = None) -> DataFrame:
     """``volume_threshold`` of each bar: a percentile of the level volumes, by whole numbers, of the bars before.
 
     Volumes are counted by bar and bucket first, 4,096 buckets at most, so what moves and what a fold holds depends on
-    bars, not on trades.
+    bars, not on trades. What a block of bars hands on is the counts of its last ``lookback``.
     """
     both = levels.select("symbol", "bar_id", F.explode(F.array("buy_vol", "sell_vol")).alias("v")).where("v > 0")
     counts = both.groupBy("symbol", "bar_id", F.least(F.round("v"), F.lit(bucket_cap)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("symbol", "bar_id").agg(F.collect_list(F.struct("bucket", "n")).alias("h"))
     none = lambda c, t: F.coalesce(F.col(c), F.array().cast(f"array<{t}>")).alias(c.split(".")[1])
     rows = bar.select("symbol", "bar_id").join(counts, ["symbol", "bar_id"], "left").select("symbol", "bar_id", none("h.bucket", "int").alias("buckets"), none("h.n", "bigint").alias("numbers"))
-    return sequential(rows, ["symbol"], ["bar_id"], lambda: _Percentile(p, lookback, floor, bucket_cap), [("volume_threshold", "double")], only=["symbol", "bar_id"])
+    return scan(rows, "symbol", "bar_id", lambda: _Percentile(p, lookback, floor, bucket_cap), [("volume_threshold", "double")], ["symbol", "bar_id"], block)
 
 
 class ZigZag:
     """Pivots of one symbol, each known at the bar that confirms it."""
 
     def __init__(self, reversal: float, min_leg: float, min_bars: int):
-        self.reversal, self.min_leg, self.min_bars = reversal, min_leg, min_bars
+        self.reversal, self.min_leg, self.min_bars, self.count = reversal, min_leg, min_bars, 0
         self.way, self.peak, self.last, self.high, self.low = 0, None, None, None, None
 
+    def state(self):
+        return self.way, self.peak, self.last, self.high, self.low
+
+    def restore(self, state):
+        self.way, self.peak, self.last, self.high, self.low = state
+
     def step(self, bar: int, high: float, low: float):
         if self.way == 0:
             return self._begin(bar, high, low)
@@ -235,17 +235,21 @@ class ZigZag:
                 return pivot
         return None
 
-    def __call__(self, pdf):
-        found = [self.step(int(b), h, lo) for b, h, lo in zip(pdf["bar_index"], pdf["high"], pdf["low"], strict=True)]
+    def __call__(self, pdf, first):
+        pdf["bar_index"] = range(first, first + len(pdf))
+        found = [self.step(b, h, lo) for b, h, lo in zip(pdf["bar_index"].tolist(), pdf["high"].tolist(), pdf["low"].tolist(), strict=True)]
         for k, name in enumerate(("pivot_kind", "pivot_price", "pivot_bar")):
             pdf[name] = [None if p is None else p[k] for p in found]
         pdf["pivot_bar"] = pdf["pivot_bar"].astype("Int64")
         return pdf
 
 
-def zigzag(bar: DataFrame, reversal: float, min_leg: float = 0.0, min_leg_bars: int = 0) -> DataFrame:
-    """Confirmed pivots: symbol, bar_index (of the confirming bar, from 0), pivot_kind, pivot_price, pivot_bar."""
-    rows = bar.select("symbol", (F.row_number().over(by_bar()) - 1).cast("long").alias("bar_index"), "high", "low")
-    adds = [("pivot_kind", "string"), ("pivot_price", "double"), ("pivot_bar", "long")]
-    found = sequential(rows, ["symbol"], ["bar_index"], lambda: ZigZag(reversal, min_leg, min_leg_bars), adds)
-    return found.where("pivot_kind is not null").drop("high", "low")
+def zigzag(bar: DataFrame, reversal: float, min_leg: float = 0.0, min_leg_bars: int = 0, block: int | None = None) -> DataFrame:
+    """Confirmed pivots: symbol, bar_index (of the confirming bar, from 0), pivot_kind, pivot_price, pivot_bar.
+
+    Filters under zero count as zero, and a reversal under the least difference as that. Blocks of a symbol's bars hand on their open leg and last pivot (``scans.scan``).
+    """
+    filters = max(reversal, sys.float_info.epsilon), max(min_leg, 0.0), max(min_leg_bars, 0)
+    adds = [("bar_index", "long"), ("pivot_kind", "string"), ("pivot_price", "double"), ("pivot_bar", "long")]
+    found = scan(bar.select("symbol", "bar_id", "high", "low"), "symbol", "bar_id", lambda: ZigZag(*filters), adds, ["symbol"], block)
+    return found.where("pivot_kind is not null")

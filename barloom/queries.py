@@ -19,6 +19,7 @@ from barloom.operators import labels as L
 from barloom.operators import metrics as M
 from barloom.operators import replay as R
 from barloom.operators import results as RE
+from barloom.operators import run_tree as RT
 from barloom.operators.broker import Costs, equity_of, trades_of
 from barloom.operators.strategy import cross_signals
 from barloom.plans import search as S
@@ -55,6 +56,14 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 KEY = ("symbol", "bar_id")
+#: Order numbers of a block where one symbol's fold is dealt to tasks.
+BLOCK = 1024
+
+
+def _bars_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.bars(B.time_bar_ids(from_events(events(spark, sf_dir), 1), 600))
+
+
 _TAPE = """tape as (select 'U' || cast(user_id % 8 as varchar) as symbol, event_id as seq, epoch_us(ts) * 1000 as ts_ns, value as price,
  cast(json_extract_string(props, '$.k') as double) as size, case when event_type in ('click', 'purchase') then 1 else -1 end as side from events),
 keyed as (select *, ts_ns // 1000000000 // 14400 as bar_id, cast(round(price / 5.0) as bigint) as tick_key from tape)"""
@@ -83,6 +92,11 @@ def _sql(select: str, *ctes: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{', '.join([_TAPE, *ctes])} {select}"
 
 
+def _one_symbol(sql: str, secs: int = SECS) -> str:
+    """The same over a tape of one symbol, in bars of another length."""
+    return sql.replace("user_id % 8", "user_id % 1").replace(f"// {SECS}", f"// {secs}")
+
+
 _BUILT: dict[str, tuple[Query, str | None]] = {}
 
 
@@ -115,6 +129,13 @@ def range_bars(spark, sf_dir):
     return B.bars(B.range_bar_ids(tape, 30, TICK)).select(*KEY, "open", "high", "low", "close", "volume", "trades")
 
 
+@_query(_one_symbol(_BUILT["range_bars"][1]))
+def range_bars_one_symbol(spark, sf_dir):
+    """All trades as one symbol's, dealt to tasks in blocks."""
+    tape = from_events(events(spark, sf_dir), 1).select("symbol", "seq", "ts_ns", "price", "size", "side")
+    return B.bars(B.range_bar_ids(tape, 30, TICK, BLOCK)).select(*KEY, "open", "high", "low", "close", "volume", "trades")
+
+
 @_query(_sql("select symbol, bar_id, arg_max(price, struct_pack(v := buy_vol + sell_vol, k := -tick_key)) as poc, count(*) as n_levels, sum(buy_vol) as buy_vol, sum(sell_vol) as sell_vol from levels group by symbol, bar_id", _LEVELS))
 def ladder_poc(spark, sf_dir):
     rows = levels(spark, sf_dir)
@@ -177,6 +198,12 @@ def ema(spark, sf_dir):
     return rounded(I.ema(bars(spark, sf_dir).select(*KEY, "close")), *KEY, "ema_fast", "ema_slow")
 
 
+@_query(_one_symbol(_BUILT["ema"][1], 600))
+def ema_one_symbol(spark, sf_dir):
+    """Bars of ten minutes of one symbol, dealt to tasks in blocks."""
+    return rounded(I.ema(_bars_of_one(spark, sf_dir).select(*KEY, "close"), block=BLOCK), *KEY, "ema_fast", "ema_slow")
+
+
 @_query(
     _sql(
         """select symbol, bar_id, case when n > 10 then round(case when path > 0 then least(greatest(abs(close - c0) / path, 0), 1) else 0.0 end, 6) end as efficiency_ratio,
@@ -397,6 +424,11 @@ def zigzag(spark, sf_dir):
     return I.zigzag(bars(spark, sf_dir), 60.0, 80.0, 2)
 
 
+@_query(_one_symbol(_BUILT["zigzag"][1], 600))
+def zigzag_one_symbol(spark, sf_dir):
+    return I.zigzag(_bars_of_one(spark, sf_dir), 60.0, 80.0, 2, BLOCK)
+
+
 _CAL = """cal as (select 1704067200000000000 + (epoch_us(o_orderdate) // 1000000 + o_orderkey * 7919) % 2592000 * 1000000000 as ts_ns, o_orderpriority from orders where o_orderpriority like '1-%')"""
 _SPANS = f"spans as (select symbol, bar_id, ts_last_ns, coalesce(lag(ts_last_ns) over ({_W}), ts_first_ns - 1) as prev from bars)"
 
@@ -559,7 +591,10 @@ def sampled_trades(spark, sf_dir):
     return RE.sampled_trades(made, F.col("trade_id"), 200, 7, "winners")
 
 
-@_query("select 'kind' as param, 'order' as value")
+@_query(
+    """with runs as (select o_orderkey as run_id, 'order' as kind, o_orderpriority as a, o_orderstatus as b from orders), long as (select 'kind' as param, kind as value from runs union all select 'a', a from runs union all select 'b', b from runs)
+select param, min(value) as value from long group by param having count(distinct value) = 1 and count(value) = count(*)"""
+)
 def shared_params(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("run_id"), F.lit("order").alias("kind"), F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("b"))
     return M.shared_params(rows, ["kind", "a", "b"])
@@ -656,6 +691,44 @@ def experiment_tree(spark, sf_dir):
     return M.experiment_tree(rows, ["a", "b"])
 
 
+def _tree_level(k: int) -> str:
+    """What the nodes of level k branch on, their children, and the parameters that are open below."""
+    return f"""
+act{k} as (select node, key, rank from open{k} group by node, key, rank having count(distinct value) > 1),
+chosen{k} as materialized (select o.run_id, o.node as parent, o.net_pnl, o.key, o.value, o.node || '/' || o.key || '=' || o.value as node from open{k} o join (select node, arg_min(key, rank) as key from act{k} group by node) using (node, key)),
+open{k + 1} as materialized (select c.run_id, c.node, o.net_pnl, o.key, o.value, o.rank from open{k} o join act{k} a on a.node = o.node and a.key = o.key join chosen{k} c on c.run_id = o.run_id where o.key <> c.key),
+fixed{k + 1} as (select node, string_agg(key || '=' || value, ',' order by rank) as implied from (select node, key, rank, min(value) as value from open{k + 1} group by node, key, rank having count(distinct value) = 1) group by node),
+nodes{k + 1} as (select node, parent, {k + 1} as depth, key, value, coalesce(any_value(implied), '') as implied, count(*) as runs, max(net_pnl) as best, arg_min(run_id, struct_pack(p := -net_pnl, r := run_id)) as best_run
+ from chosen{k} left join fixed{k + 1} using (node) group by node, parent, key, value)"""
+
+
+@_query(
+    f"""with runs as (select o_orderkey as run_id, o_orderstatus as strategy, o_totalprice as net_pnl, o_orderpriority as a, cast(year(o_orderdate) as varchar) as b,
+ case when o_orderpriority like '1%' then 'x' when o_orderpriority like '5%' then null else cast(o_custkey % 3 as varchar) end as c, '0' as d, case when o_orderstatus = 'F' then 'done' else 'open' end as e from orders),
+long as materialized (select run_id, strategy, net_pnl, k.key, k.own, coalesce(k.own, '—') as value from runs, unnest([struct_pack(key := 'a', own := a), struct_pack(key := 'b', own := b), struct_pack(key := 'c', own := c), struct_pack(key := 'd', own := d), struct_pack(key := 'e', own := e)]) u(k)),
+shared as (select key from long group by key having count(distinct value) = 1 and count(own) = count(*)),
+keys as (select strategy as node, key, count(distinct value) as v, count(own) = count(*) as everywhere, min(value) as one from long group by strategy, key having count(own) > 0),
+root as (select strategy as node, count(*) as runs, max(net_pnl) as best, arg_min(run_id, struct_pack(p := -net_pnl, r := run_id)) as best_run from runs group by strategy),
+constant as (select node, string_agg(key || '=' || one, ',' order by key) as implied from keys where v = 1 and everywhere and key not in (select key from shared) group by node),
+open0 as materialized (select run_id, strategy as node, net_pnl, key, value, rank from long join (select node as strategy, key, row_number() over (partition by node order by v, key) as rank from keys where v > 1) using (strategy, key)),
+{",".join(_tree_level(k) for k in range(3))},
+nodes as (select node, cast(null as varchar) as parent, 0 as depth, 'strategy' as key, node as value, coalesce(implied, '') as implied, runs, best, best_run from root left join constant using (node)
+ {" ".join(f"union all select * from nodes{k}" for k in (1, 2, 3))}),
+ends as (select run_id, arg_max(node, depth) as node, max(depth) as depth from (select run_id, strategy as node, 0 as depth from runs {" ".join(f"union all select run_id, node, {k + 1} from chosen{k}" for k in range(3))}) group by run_id)
+select node as node_id, parent as parent_id, depth, key, value, implied, runs, best, best_run, cast(row_number() over (partition by parent order by best desc, value) as int) as place, cast(null as bigint) as run_id from nodes
+union all select e.node || '/#' || e.run_id, e.node, e.depth + 1, null, null, '', 1, r.net_pnl, e.run_id, null, e.run_id from ends e join runs r using (run_id)"""
+)
+def run_tree(spark, sf_dir):
+    """Orders as runs: two parameters that branch everywhere, one that others imply, one of each strategy, one that all share."""
+    first = F.col("o_orderpriority").substr(1, 1)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("strategy"), F.col("o_totalprice").alias("net_pnl"), F.col("o_orderpriority").alias("a"), F.year("o_orderdate").alias("b"),
+        F.when(first == "1", "x").when(first != "5", (F.col("o_custkey") % 3).cast("string")).alias("c"), F.lit("0").alias("d"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("e"),
+    )
+    tree = RT.run_tree(rows, ["a", "b", "c", "d", "e"])
+    return tree.withColumn("implied", F.array_join(F.transform("implied", lambda p: F.concat(p["key"], F.lit("="), p["value"])), ","))
+
+
 _STATES = """ev as (select *, case when seq % 7 = 0 then 'set' when seq % 3 = 0 then 'reduce' else 'add' end as kind from keyed),
 parts as (select *, case when kind = 'reduce' then -size else size end as change, sum(cast(kind = 'set' as int)) over (partition by symbol, side, tick_key order by seq) as part from ev),
 sums as (select *, sum(change) over (partition by symbol, side, tick_key, part order by seq) as total from parts),
