@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 
@@ -71,6 +72,8 @@ def ascii_lower(text: Column) -> Column:
 # --- vectorised words -------------------------------------------------------
 
 _SLICE_BYTES = 1 << 20
+#: malloc_trim of the C library, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -102,8 +105,16 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def text_slices(col: pa.Array):
-    """Yields (first row, byte buffer, offsets of rows within it) in runs of whole rows of about 1 MB; null is empty."""
+def give_back() -> None:
+    """Returns freed memory of Arrow and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def text_slices(col: pa.Array, size: int = _SLICE_BYTES):
+    """Yields (first row, byte buffer, offsets of rows within it) in runs of whole rows of about ``size`` bytes; null is
+    empty. What is freed on the way goes back to the system at the end, as the worker may long be idle after it."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
@@ -116,9 +127,10 @@ def text_slices(col: pa.Array):
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + _SLICE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         yield a, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    give_back()
 
 
 def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

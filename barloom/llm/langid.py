@@ -26,6 +26,8 @@ LANGUAGES_AT_ONCE = 16
 PARTS = 1 << 16
 #: Bytes to which a text's evidence is scaled for the score.
 EVIDENCE_BYTES = 32.0
+#: Bytes of texts that are scored at a time.
+SLICE_BYTES = 1 << 18
 _START = 0x0A
 _DRAW = 1 << 40
 
@@ -157,7 +159,7 @@ def code_lengths(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _scored(frozen: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the best language, score and bits a byte for each text."""
     best, score, per_byte = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
-    for first, buf, off in text_slices(texts):
+    for first, buf, off in text_slices(texts, SLICE_BYTES):
         bits = code_lengths(frozen, buf, off) / PARTS
         n = np.maximum(np.diff(off), 1)
         low = bits.min(1)

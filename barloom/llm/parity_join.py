@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import DARK, discard, mix, partitions, set_aside, text_slices, words, written
 
 SHINGLE = 5
+#: Bytes of texts whose shingles are hashed at a time, and keys that are passed on in a batch.
+SLICE_BYTES, KEYS = 1 << 18, 1 << 16
 #: Links have num * union <= den * intersection; the bounds below are for this ratio.
 NUMERATOR, DENOMINATOR = 75, 100
 SKETCH_BITS = 4096
@@ -79,7 +81,7 @@ BANDS = _bands()
 
 def shingle_sets(col: pa.Array, shingle: int = SHINGLE):
     """Yields (first row, hashes of distinct shingles row by row, sorted within a row; offsets of the rows)."""
-    for first, buf, off in text_slices(col):
+    for first, buf, off in text_slices(col, SLICE_BYTES):
         _, _, w, at = words(buf, off, DARK)
         n = np.diff(at)
         with np.errstate(over="ignore"):
@@ -244,8 +246,8 @@ def _keys(like: Likeness):
                 tokens, off = tokens[keep], np.concatenate([[0], np.cumsum(n)])
                 for step in (0, 1):
                     key, row = like.block_keys(tokens, off, np.maximum(own, 0) + step)
-                    for a in range(0, len(key), 500_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 500_000]), pa.array(cid[row[a : a + 500_000]])], names=["key", "cid"])
+                    for a in range(0, len(key), KEYS):
+                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + KEYS]), pa.array(cid[row[a : a + KEYS]])], names=["key", "cid"])
 
     return run
 
@@ -501,7 +503,7 @@ def _row_id() -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")]
 
 
-def _buckets(rows: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _buckets(rows: DataFrame, like: Likeness = PARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The class of each row (doc_id, text, and h, which is passed on), all classes with sets, and the buckets with several."""
     each = written(rows.select("doc_id", "text", "h").mapInArrow(_classes(like), "doc_id long, h long, n long, cid long, sketch binary, keys array<long>"), "classes")
     classes = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")

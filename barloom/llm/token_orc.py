@@ -11,14 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, workspace
+from .common import give_back, partitions, workspace
 
 END = 2
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 #: Entries of either half of a worker's piece cache; each takes some 200 bytes.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 #: Characters of texts that are cut into pieces at a time; a longer text is one such run.
-RUN_CHARS = 4 << 20
+RUN_CHARS = 1 << 20
 #: Signs that end many words.
 _TAIL = frozenset(".,;:!?)")
 #: White space other than single spaces and line feeds between dark characters, markers of special tokens, and NUL.
@@ -127,6 +127,7 @@ def _encode_partition(path: str, end: int):
                 )
                 start, lo = int(stop[-1]), hi
         pieces.old = {}  # the worker may go on to other work
+        give_back()
 
     return run
 
