@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .indicators import by_bar
+from .passage import first_passage
 
 #: Dataset columns that are a feature times the direction.
 SIGNED = {"signed_delta_zscore": "delta_zscore", "signed_delta_ratio": "delta_ratio", "signed_bar_move_ticks": "bar_move_ticks", "signed_bar_move_zscore": "bar_move_zscore", "signed_delta_efficiency": "delta_efficiency", "signed_cvd_change_3": "cvd_change_3", "signed_distance_to_vwap_ticks": "distance_to_vwap_ticks"}
@@ -56,6 +57,33 @@ def failure(direction: Column, atr: Column, continue_atr: float = 1.0, reverse_a
     return F.when(first == 0, 0).when((first == 1) & (F.greatest(gain, F.lit(0.0)) <= early_share * atr), 1)
 
 
+def _passing(bar: DataFrame, up: Column, ahead: Column, back: Column, horizon: int, block: int | None) -> DataFrame:
+    """``bar`` with ``__on`` and ``__back``, whether its first bar beyond ``ahead`` or ``back`` is beyond each; null without one."""
+    levels = bar.withColumns({"__up": up, "__ahead": ahead, "__stop": back})
+    upward = F.col("__up")
+    found = first_passage(levels, F.when(upward, F.col("__ahead")).otherwise(F.col("__stop")), F.when(upward, F.col("__stop")).otherwise(F.col("__ahead")), horizon, block)
+    on = F.when(upward, F.col("passed_high") >= F.col("__ahead")).otherwise(F.col("passed_low") <= F.col("__ahead"))
+    off = F.when(upward, F.col("passed_low") <= F.col("__stop")).otherwise(F.col("passed_high") >= F.col("__stop"))
+    return found.withColumns({"__on": on, "__back": off}).drop("__ahead", "__stop", "place", "passed", "passed_high", "passed_low")
+
+
+def with_continuation(bar: DataFrame, direction: Column, tick: float, target_ticks: float = 8, stop_ticks: float = 5, horizon: int = 5, block: int | None = None) -> DataFrame:
+    """``bar`` with the label of ``continuation``, for a horizon of any length."""
+    target, stop = F.col("close") + direction * target_ticks * tick, F.col("close") - direction * stop_ticks * tick
+    rows = _passing(bar, direction >= 0, target, stop, horizon, block)
+    return rows.withColumn("label", F.when(F.col("__back"), 0).when(F.col("__on"), 1)).drop("__up", "__on", "__back")
+
+
+def with_failure(bar: DataFrame, direction: Column, atr: Column, continue_atr: float = 1.0, reverse_atr: float = 1.0, horizon: int = 10, early: int = 3, early_share: float = 0.2, block: int | None = None) -> DataFrame:
+    """``bar`` with the label of ``failure``, for a horizon of any length."""
+    ahead, back = F.col("close") + direction * continue_atr * atr, F.col("close") - direction * reverse_atr * atr
+    soon = by_bar().rowsBetween(1, early)
+    gain = F.when(direction >= 0, F.max("high").over(soon) - F.col("close")).otherwise(F.col("close") - F.min("low").over(soon))
+    rows = _passing(bar.withColumns({"__gain": gain, "__atr": atr}), direction >= 0, ahead, back, horizon, block)
+    label = F.when(F.col("__on"), 0).when(F.col("__back") & (F.greatest("__gain", F.lit(0.0)) <= early_share * F.col("__atr")), 1)
+    return rows.withColumn("label", label).drop("__up", "__on", "__back", "__gain", "__atr")
+
+
 def direction() -> Column:
     """The side that was the aggressor: the sign of the score of delta, up if it is nought."""
     return F.when(F.col("delta_zscore") < 0, -1).otherwise(1)

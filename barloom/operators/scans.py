@@ -57,23 +57,24 @@ class _InOrder:
         return out
 
 
-def _bytes(table: pa.Table) -> bytes:
+def packed(table: pa.Table) -> bytes:
+    """Rows as Arrow data."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def _table(data: bytes) -> pa.Table:
+def unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
-def _packed(key: str):
+def _blocks_of(key: str):
     """Packs rows that come sorted by key and __block: a row for each block, with its rows as Arrow data."""
 
     def out(held: list[pa.RecordBatch]):
         t = pa.Table.from_batches(held).combine_chunks()
-        data = _bytes(t.drop_columns([key, "__block"]))
+        data = packed(t.drop_columns([key, "__block"]))
         return pa.RecordBatch.from_arrays([t.column(key).slice(0, 1).combine_chunks(), t.column("__block").slice(0, 1).combine_chunks(), pa.array([len(t)], pa.int64()), pa.array([data], pa.binary())], names=[key, "block", "n", "data"])
 
     def run(batches):
@@ -103,15 +104,15 @@ def pack(df: DataFrame, key: str, order: str, block: int = BLOCK, also: list[str
     dealt = df.withColumn("__block", F.floor(F.col(order) / block).cast("long"))
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key, "__block").sortWithinPartitions(key, "__block", order, *(also or []))
     kind = df.schema[key].dataType.simpleString()
-    packed = written(dealt.mapInArrow(_packed(key), f"{key} {kind}, block long, n long, data binary"), "blocks")
+    blocks = written(dealt.mapInArrow(_blocks_of(key), f"{key} {kind}, block long, n long, data binary"), "blocks")
     before = F.sum("n").over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    places = written(packed.select(key, "block", "n").withColumn("first", F.coalesce(before, F.lit(0))).drop("n"), "places")
-    return beside(packed, places, key)
+    places = written(blocks.select(key, "block", "n").withColumn("first", F.coalesce(before, F.lit(0))).drop("n"), "places")
+    return beside(blocks, places, key)
 
 
-def beside(packed: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+def beside(blocks: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Blocks with the row that ``rows``, a written table, has for them; blocks without one go."""
-    return packed.alias("p").join(small(rows).alias("r"), F.col(f"p.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("p.block") == F.col("r.block"))).select("p.*", *(F.col(f"r.{c}") for c in rows.columns if c not in (key, "block")))
+    return blocks.alias("p").join(small(rows).alias("r"), F.col(f"p.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("p.block") == F.col("r.block"))).select("p.*", *(F.col(f"r.{c}") for c in rows.columns if c not in (key, "block")))
 
 
 def _previous(key: str, *columns: Column) -> list[Column]:
@@ -141,7 +142,7 @@ def scan(df: DataFrame, key: str, order: str, make: Callable[[], Fold], adds: li
             out = []
             for row in pdf.itertuples(index=False):
                 fold = start(row)
-                fold(_table(row.data).to_pandas().assign(**{key: getattr(row, key)}), row.first)
+                fold(unpacked(row.data).to_pandas().assign(**{key: getattr(row, key)}), row.first)
                 out.append((getattr(row, key), row.block, row.begin, pickle.dumps(fold.state()), fold.count))
             yield pd.DataFrame(out, columns=[key, "block", "begin", "end", "count"])
 
@@ -165,7 +166,7 @@ def scan(df: DataFrame, key: str, order: str, make: Callable[[], Fold], adds: li
             for row in pdf.itertuples(index=False):
                 fold = start(row)
                 fold.count = row.offset
-                yield fold(_table(row.data).to_pandas().assign(**{key: getattr(row, key)}), row.first)[schema.names]
+                yield fold(unpacked(row.data).to_pandas().assign(**{key: getattr(row, key)}), row.first)[schema.names]
 
     return beside(blocks, starts, key).mapInPandas(rows, schema)
 
@@ -184,7 +185,7 @@ def affine_scan(df: DataFrame, key: str, order: str, value: str, shares: dict[st
         for pdf in pieces:
             out = []
             for row in pdf.itertuples(index=False):
-                x = _table(row.data).column(value).to_pandas().tolist()
+                x = unpacked(row.data).column(value).to_pandas().tolist()
                 ends = [v for a in shares.values() for v in ((1 - a) ** len(x), _smooth(x, a, 0.0)[-1])]
                 out.append((getattr(row, key), row.block, x[0], *ends))
             yield pd.DataFrame(out, columns=[key, "block", "head", *(c.split()[0] for c in maps.split(", "))])
@@ -197,7 +198,7 @@ def affine_scan(df: DataFrame, key: str, order: str, value: str, shares: dict[st
     def rows(pieces):
         for pdf in pieces:
             for values in pdf.to_dict("records"):
-                part = _table(values["data"]).to_pandas().assign(**{key: values[key]})
+                part = unpacked(values["data"]).to_pandas().assign(**{key: values[key]})
                 x = part[value].tolist()
                 for name, a in shares.items():
                     part[name] = _smooth(x, a, values[f"__{name}"])

@@ -487,6 +487,22 @@ def failure_label(spark, sf_dir):
     return bars(spark, sf_dir).withColumn("label", L.failure(F.lit(1), F.lit(30.0))).where("label is not null").select(*KEY, "label")
 
 
+_LONG = f"placed as (select *, row_number() over ({_W}) as i from bars)"
+
+
+@_query(
+    _sql(
+        """select p.symbol, p.bar_id, cast(arg_min(case when f.low <= p.close - 250 then 0 else 1 end, f.i) as int) as label from placed p join placed f on f.symbol = p.symbol and f.i > p.i and f.i <= p.i + 10000
+ and (f.low <= p.close - 250 or f.high >= p.close + 400) group by p.symbol, p.bar_id""",
+        _BARS, _LONG,
+    ).replace(f"// {SECS}", "// 600")
+)
+def long_continuation(spark, sf_dir):
+    """Labels of bars of ten minutes from the 10,000 bars after each."""
+    bar = B.bars(B.time_bar_ids(from_events(events(spark, sf_dir)), 600))
+    return L.with_continuation(bar, F.lit(1), TICK, 80, 50, 10_000, BLOCK).where("label is not null").select(*KEY, "label")
+
+
 def _features(spark, sf_dir) -> DataFrame:
     rows = trades(spark, sf_dir)
     return FE.trade_flow(B.bars(rows), B.ladder(rows, TICK), rows, TICK)
