@@ -2,52 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .folds import folded, time_of
 
 BAR = "symbol string, bar_id long, ts_first_ns long, ts_last_ns long, open double, high double, low double, close double, volume double, trades long, delta double"
 
 
+def _figures() -> list:
+    signed = F.col("size") * F.col("side")
+    return [
+        F.min_by("ts_ns", "seq").alias("ts_first_ns"), F.max_by("ts_ns", "seq").alias("ts_last_ns"), F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "seq").alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trades"), F.sum(signed).alias("delta"),
+    ]
+
+
 def stream_time_bars(trades: DataFrame, bar_secs: int, late: str = "10 minutes") -> DataFrame:
     """Time bars of a stream (symbol, seq, ts_ns, price, size, side), each emitted when the watermark passes its end.
 
     Trades later than ``late`` behind the newest are left out; the batch operator has no such rule.
     """
-    rows = trades.withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000"))).withWatermark("ts", late)
-    signed = F.col("size") * F.col("side")
+    rows = trades.withColumn("ts", time_of()).withWatermark("ts", late)
     by = rows.groupBy("symbol", F.window("ts", f"{bar_secs} seconds"))
-    return by.agg(
-        F.min_by("ts_ns", "seq").alias("ts_first_ns"), F.max_by("ts_ns", "seq").alias("ts_last_ns"), F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "seq").alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trades"), F.sum(signed).alias("delta"),
-    ).select("symbol", F.expr(f"unix_seconds(window.start) div {bar_secs}").alias("bar_id"), *[c.split()[0] for c in BAR.split(", ")[2:]])
+    return by.agg(*_figures()).select("symbol", F.expr(f"unix_seconds(window.start) div {bar_secs}").alias("bar_id"), *[c.split()[0] for c in BAR.split(", ")[2:]])
 
 
-def stream_range_bars(trades: DataFrame, range_ticks: int, tick: float) -> DataFrame:
-    """Range bars of a stream, each emitted with the trade that fills its range; the open bar is the state of a symbol.
+def stream_sliding_bars(trades: DataFrame, bar_secs: int, slide_secs: int, late: str = "10 minutes") -> DataFrame:
+    """Bars of ``bar_secs`` that begin every ``slide_secs``, so each trade is in several; ``bar_id`` numbers their beginnings."""
+    rows = trades.withColumn("ts", time_of()).withWatermark("ts", late)
+    by = rows.groupBy("symbol", F.window("ts", f"{bar_secs} seconds", f"{slide_secs} seconds"))
+    return by.agg(*_figures()).select("symbol", F.expr(f"unix_seconds(window.start) div {slide_secs}").alias("bar_id"), *[c.split()[0] for c in BAR.split(", ")[2:]])
 
-    Trades of one trigger are put in order of ``seq``; across triggers they are taken as they come.
-    """
-    span = range_ticks * tick
 
-    def step(key, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, bar = (state.get[0], list(state.get[1:])) if state.exists else (0, None)
-        if bar is not None and bar[0] < 0:
-            bar = None
+def stream_session_bars(trades: DataFrame, gap_secs: int, late: str = "10 minutes") -> DataFrame:
+    """A bar for each run of trades without a gap of ``gap_secs``, emitted when the watermark is a gap past its end;
+    ``bar_id`` is the second in which it begins. Runs that a trade in between joins are merged in the state."""
+    rows = trades.withColumn("ts", time_of()).withWatermark("ts", late)
+    by = rows.groupBy("symbol", F.session_window("ts", f"{gap_secs} seconds").alias("window"))
+    return by.agg(*_figures()).select("symbol", F.expr("unix_seconds(window.start)").alias("bar_id"), *[c.split()[0] for c in BAR.split(", ")[2:]])
+
+
+class _RangeBar:
+    """The open bar of a symbol; a trade that fills its range closes it."""
+
+    def __init__(self, span: float):
+        self.span, self.number, self.bar = span, 0, None
+
+    def __call__(self, key, trades):
         done = []
-        for row in pd.concat(list(pieces)).sort_values("seq").itertuples(index=False):
-            if bar is None:
-                bar = [row.ts_ns, row.ts_ns, row.price, row.price, row.price, row.price, 0.0, 0, 0.0]
-            bar[1], bar[3], bar[4], bar[5] = row.ts_ns, max(bar[3], row.price), min(bar[4], row.price), row.price
-            bar[6], bar[7], bar[8] = bar[6] + row.size, bar[7] + 1, bar[8] + row.size * row.side
-            if bar[3] - bar[4] >= span:
-                done.append((key[0], number, *bar))
-                number, bar = number + 1, None
-        state.update((number, *(bar or (-1, -1, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0))))
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in BAR.split(", ")])
-
-    kept = "number long, a long, b long, o double, h double, l double, c double, v double, n long, d double"
-    return trades.groupBy("symbol").applyInPandasWithState(step, BAR, kept, "append", GroupStateTimeout.NoTimeout)
+        for row in trades.itertuples(index=False):
+            b = self.bar or [row.ts_ns, row.ts_ns, row.price, row.price, row.price, row.price, 0.0, 0, 0.0]
+            b[1], b[3], b[4], b[5] = row.ts_ns, max(b[3], row.price), min(b[4], row.price), row.price
+            b[6], b[7], b[8] = b[6] + row.size, b[7] + 1, b[8] + row.size * row.side
+            self.bar = b
+            if b[3] - b[4] >= self.span:
+                done.append((key[0], self.number, *b))
+                self.number, self.bar = self.number + 1, None
+        return pd.DataFrame(done, columns=[c.split()[0] for c in BAR.split(", ")])
+
+
+def stream_range_bars(trades: DataFrame, range_ticks: int, tick: float, late: str | None = None) -> DataFrame:
+    """Range bars of a stream, each emitted with the trade that fills its range; the open bar is the state of a symbol.
+    ``late`` orders trades by their times (``folds.folded``)."""
+    return folded(trades, ["symbol"], "seq", lambda: _RangeBar(range_ticks * tick), BAR, time_of(), late)
