@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,16 +38,21 @@ def eastern_minute(ts_ns: Column) -> Column:
 
 
 def parse_sessions(text: str) -> list[tuple[int, int]]:
-    """Half-open minute windows of ``"09:35-11:30,13:30-15:45"``; parts that do not parse are left out."""
-    out = []
-    for part in text.split(","):
-        try:
-            a, b = part.strip().split("-")
-            (h1, m1), (h2, m2) = a.split(":"), b.split(":")
-            out.append((int(h1) * 60 + int(m1), int(h2) * 60 + int(m2)))
-        except ValueError:
-            continue
-    return out
+    """Half-open minute windows of a list such as ``"08:00-12:15, 14:00-22:00"``.
+
+    A part is left out unless both its ends are times of a day and the first is the earlier; without any part that is
+    left, every minute is in session.
+    """
+    ends = [[_minute(x) for x in part.split("-", 1)] for part in text.split(",")]
+    return [(e[0], e[1]) for e in ends if len(e) == 2 and None not in e and e[0] < e[1]]
+
+
+def _minute(text: str) -> int | None:
+    """Minutes since midnight of ``h:m``, digits only."""
+    found = re.fullmatch(r"\+?([0-9]+):\+?([0-9]+)", text.strip(), re.ASCII)
+    if not found or int(found[1]) > 23 or int(found[2]) > 59:
+        return None
+    return 60 * int(found[1]) + int(found[2])
 
 
 def in_sessions(minute: Column, sessions: list[tuple[int, int]]) -> Column:

@@ -13,8 +13,8 @@ def binned_range_join(points: DataFrame, spans: DataFrame, keys: list[str], at:
     """Points (``at``) with the spans (``start`` <= at < ``stop``) of the same keys that hold them.
 
     Bins are ``width`` wide at the lowest level and FAN times as wide at each further one. A span is dealt to the bins
-    that it touches at the first level at which they are FAN at most, and a point to its bin at every level, so the join
-    is one on equal bins and a span of any length gives FAN rows at most. Empty spans meet nothing.
+    that it touches at the first level at which they are FAN at most, and a point to its bin at every level that spans
+    have, so the join is one on equal bins and a span of any length gives FAN rows at most. Empty spans meet nothing.
     """
     widths = [width * FAN**k for k in range(LEVELS) if width * FAN**k < 1 << 62]
     bin_of = lambda c, w: F.floor(c / F.lit(w))
@@ -25,27 +25,25 @@ def binned_range_join(points: DataFrame, spans: DataFrame, keys: list[str], at:
         own = F.arrays_zip(F.array_repeat(F.lit(k), (last - first + 1).cast("int")).alias("l"), F.sequence(first, last).alias("b"))
         cells = own if cells is None else F.when(last - first < FAN, own).otherwise(cells)
     at_all = F.array(*(F.struct(F.lit(k).alias("l"), bin_of(F.col(at), w).alias("b")) for k, w in enumerate(widths)))
-    p, s = points.withColumn("__bin", F.explode(at_all)), spans.where(F.col(stop) > F.col(start)).withColumn("__bin", F.explode(cells))
+    s = spans.where(F.col(stop) > F.col(start)).withColumn("__bin", F.explode(cells))
+    used = s.agg(F.collect_set("__bin.l")).scalar()
+    p = points.withColumn("__bin", F.explode(at_all)).where(F.array_contains(used, F.col("__bin.l")))
     return p.join(s, [*keys, "__bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__bin")
 
 
-def events_in_bars(bar: DataFrame, calendar: DataFrame, impact: str | None = None, countries: tuple[str, ...] = ()) -> DataFrame:
+def events_in_bars(bar: DataFrame, calendar: DataFrame, impact: str | None = None, countries: tuple[str, ...] = (), width: int = 3_600_000_000_000) -> DataFrame:
     """Each bar with each of the calendar events (ts_ns, impact, country, title) after the bar before and up to its own end.
 
-    A bar's span begins where the one before ended, the first bar's with its own first trade; filters come after an
-    event has met its bar.
+    A bar's span begins where the one before ended, the first bar's with its own first trade; ``width`` is about that of a
+    bar, in nanoseconds.
     """
-    by = Window.partitionBy("symbol").orderBy("bar_id")
-    spans = bar.select("symbol", "bar_id", (F.coalesce(F.lag("ts_last_ns").over(by), F.col("ts_first_ns") - 1) + 1).alias("start"), (F.col("ts_last_ns") + 1).alias("stop")).where("stop > start")
-    width = 86_400_000_000_000
-    days = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
-    events = calendar.withColumn("__bin", F.floor(F.col("ts_ns") / width))
-    hit = days.join(events, "__bin").where((F.col("ts_ns") >= F.col("start")) & (F.col("ts_ns") < F.col("stop")))
     if impact and impact.lower() != "all":
-        hit = hit.where(F.lower("impact") == impact.lower())
+        calendar = calendar.where(F.lower("impact") == impact.lower())
     if countries:
-        hit = hit.where(F.col("country").isin(*countries))
-    return hit
+        calendar = calendar.where(F.col("country").isin(*countries))
+    by = Window.partitionBy("symbol").orderBy("bar_id")
+    spans = bar.select("symbol", "bar_id", (F.coalesce(F.lag("ts_last_ns").over(by), F.col("ts_first_ns") - 1) + 1).alias("start"), (F.col("ts_last_ns") + 1).alias("stop")).where("stop > start")
+    return binned_range_join(calendar, spans, [], "ts_ns", "start", "stop", width)
 
 
 def calendar_hits(bar: DataFrame, calendar: DataFrame, impact: str | None = None, countries: tuple[str, ...] = ()) -> DataFrame:

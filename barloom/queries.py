@@ -257,6 +257,19 @@ def session_bars(spark, sf_dir):
     return FE.with_day(bars(spark, sf_dir)).where(in_sessions(F.col("time_of_day_minutes"), parse_sessions("09:30-16:00"))).select(*KEY, "day", "time_of_day_minutes")
 
 
+@_query(_sql("select symbol, bar_id, day, time_of_day_minutes from days where time_of_day_minutes >= 600 and time_of_day_minutes < 720", _BARS, _ET))
+def session_bars_of_odd_windows(spark, sf_dir):
+    """Windows that end before they begin or are no times of a day are left out; the one that is left holds."""
+    windows = parse_sessions("16:00-09:30, 25:00-26:99, 10:00-12:00, 13:00")
+    return FE.with_day(bars(spark, sf_dir)).where(in_sessions(F.col("time_of_day_minutes"), windows)).select(*KEY, "day", "time_of_day_minutes")
+
+
+@_query(_sql("select symbol, bar_id, day, time_of_day_minutes from days", _BARS, _ET))
+def session_bars_without_windows(spark, sf_dir):
+    """Without a window that holds, every bar is in session."""
+    return FE.with_day(bars(spark, sf_dir)).where(in_sessions(F.col("time_of_day_minutes"), parse_sessions("16:00-09:30"))).select(*KEY, "day", "time_of_day_minutes")
+
+
 @_query(
     _sql(
         """select symbol, bar_id, cvd, cvd - lag(cvd, 1) over w as cvd_change_1, cvd - lag(cvd, 3) over w as cvd_change_3, cvd - lag(cvd, 5) over w as cvd_change_5, round((cvd - lag(cvd, 5) over w) / 5, 6) as cvd_slope_5

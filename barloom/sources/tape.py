@@ -15,7 +15,8 @@ def read_text_tape(spark: SparkSession, path: str, symbol: str, kinds: tuple[str
 
     Rows: ``c,ts,0,exchange,symbol,type,tick,multiplier,n``; ``T,ts,id,price,size,side``; ``A|R,ts,id,price,size,side``
     and ``r,ts,id,side,price,size``. Kinds that are not asked for go before a field of theirs is parsed. A trade whose
-    side is missing or another code is a sell. Rows that do not parse are left out.
+    side is missing or another code is a sell. Rows that do not parse, and prices and sizes that are not finite, are left
+    out; a contract's time is not needed, and null where it doesn't parse.
 
     ``seq`` numbers events by file, place of the split within it, and place within the split, so it grows with the
     lines; it is unique but has gaps.
@@ -38,8 +39,9 @@ def read_text_tape(spark: SparkSession, path: str, symbol: str, kinds: tuple[str
         F.when(is_contract & (F.size("f") > 7), F.coalesce(at(7, "double"), F.lit(1.0))).alias("multiplier"),
         F.when(is_set, code.isNotNull()).otherwise(F.lit(True)).alias("sided"),
     )
-    whole = F.col("price").isNotNull() & (F.col("size") >= 0) & (F.col("size") < float("inf")) & F.col("sided")
-    good = F.col("ts_ns").isNotNull() & F.when(is_contract, F.col("tick_size").isNotNull() & F.col("multiplier").isNotNull()).otherwise(whole)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    whole = F.col("ts_ns").isNotNull() & finite("price") & finite("size") & (F.col("size") >= 0) & F.col("sided")
+    good = F.when(is_contract, F.col("tick_size").isNotNull() & F.col("multiplier").isNotNull()).otherwise(whole)
     # Spark deals splits to partitions by size, so the row id alone need not follow the file.
     splits = out.select("file", "block").distinct()
     splits = splits.withColumn("split", F.row_number().over(Window.orderBy("file", "block")) - 1)

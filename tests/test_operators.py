@@ -160,6 +160,7 @@ def test_eastern_time_changes(spark):
 
 def test_sessions(spark):
     assert MT.parse_sessions("09:35-11:30,13:30-15:45") == [(575, 690), (810, 945)] and MT.parse_sessions("junk") == []
+    assert MT.parse_sessions("16:00-09:30,24:00-25:00,10:60-11:00, 8:5 - 9:00 ,10:00-10:00,1:00-2:00-3:00,-1:00-2:00,07:00") == [(485, 540)]
     inside = lambda m, s: spark.range(1).select(MT.in_sessions(F.lit(m), s).alias("x")).first().x
     assert inside(600, MT.parse_sessions("09:35-11:30")) and not inside(700, MT.parse_sessions("09:35-11:30")) and inside(1, [])
 
