@@ -25,7 +25,8 @@ from barloom.operators.strategy import cross_signals
 from barloom.plans import search as S
 from barloom.plans.backtest import REGISTRY, figures, prepare, run_trials
 from barloom.session import ship_package
-from barloom.sources.tape import book_from_events, from_events
+from barloom.sources.tape import book_from_events, from_events, read_text_tape
+from barloom.storage import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 SECS, TICK = 14_400, 5.0
@@ -784,6 +785,39 @@ def book_snapshot(spark, sf_dir):
     return K.snapshots(K.close_events(bars(spark, sf_dir)), states, TICK, reach=20)
 
 
+_LINES = """made as (select event_id as id, epoch_us(ts) * 1000 as ts_ns, value as price, cast(json_extract_string(props, '$.k') as bigint) as size, event_id % 13 as m,
+ case when event_type in ('click', 'purchase') then 2 else 1 end as code from events)"""
+
+
+@_query(
+    _sql(
+        """select kind, side, count(*) as events, round(sum(price), 4) as prices, sum(size) as sizes, sum(ts_ns // 1000000000) as seconds from (
+ select case when m in (0, 1) then 'trade' when m = 2 then 'add' when m = 3 then 'reduce' when m = 4 then 'set' when m in (5, 6, 10) then 'trade' when m = 7 then 'add' end as kind,
+ case when m = 0 then -1 when m = 4 then case when code = 1 then 1 else -1 end when m = 6 then -1 when code = 2 then 1 else -1 end as side, case when m = 7 then price * 10 else price end as price, cast(size as double) as size, ts_ns from made where m <= 7 or (m = 10 and size = 0))
+ group by kind, side""",
+        _LINES,
+    )
+)
+def text_tape(spark, sf_dir):
+    """The events as a text tape with rows of every kind, sound and unsound (a size of -0 is sound), written and read again."""
+    e = events(spark, sf_dir)
+    ns = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) * 1000")
+    code, m = F.when(F.col("event_type").isin("click", "purchase"), "2").otherwise("1"), F.col("event_id") % 13
+    price, size = F.col("value").cast("string"), F.get_json_object("props", "$.k")
+    row = lambda *x: F.concat_ws(",", *(F.lit(v) if isinstance(v, str) else v for v in x))
+    line = (
+        F.when(m == 0, row("T", ns, "x", F.format_string("%.6f", "value"), size)).when(m == 1, row("T", ns, "x", F.format_string("%.6f", "value"), size, code))
+        .when(m == 2, row("AddLimit", ns, "x", price, size, code)).when(m == 3, row("R", ns, "x", price, F.concat(F.lit("+"), size), code)).when(m == 4, row("r", ns, "x", code, price, size))
+        .when(m == 5, row("T", ns, "x", F.format_string("%.6f", "value"), size, F.concat(code, F.lit("\r")))).when(m == 6, row("T", ns, "x", F.format_string("%.6f", "value"), size, "buy")).when(m == 7, row("A", ns, "x", F.concat(F.format_string("%.6f", "value"), F.lit("e1")), size, code))
+        .when(m == 8, row("A", ns, "x", "NaN", size, code)).when(m == 9, row("R", ns, "x", F.concat(F.lit(" "), price), size, code)).when(m == 10, row("T", ns, "x", price, F.concat(F.lit("-"), size), code))
+        .when(m == 11, row("r", ns, "x", "bid", price, size)).otherwise(row("c", "-", "0", "e", "s", "t", "0.25"))
+    )
+    path = workspace(spark, "tape")
+    e.select(line.alias("value")).write.text(path)
+    rows = read_text_tape(spark, path, "S", split_bytes=1 << 16)
+    return rows.groupBy("kind", F.col("side").cast("int").alias("side")).agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("price"), 4).alias("prices"), F.sum("size").alias("sizes"), F.sum(F.expr("ts_ns div 1000000000")).alias("seconds"))
+
+
 _T0, _T1 = 1_704_067_200_000_000_000, 1_704_067_200_000_000_000 + 20 * 86_400_000_000_000
 
 

@@ -2,52 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a text tape by their first field; each names the kind of event that it makes.
-ROW_KINDS = {"c": "contract", "T": "trade", "A": "add", "AddLimit": "add", "R": "reduce", "ReduceLimit": "reduce", "r": "set"}
+from .tape_lines import SPLIT_BYTES, register
+
 ALL_KINDS = ("contract", "trade", "add", "reduce", "set")
+#: Numbers of book and contract rows: whole, and with a fraction or an exponent; values that are no number are let through
+#: for contracts. Nothing may stand around them.
+_WHOLE, _NUMBER, _ANY = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+#: Trade rows are read from left to right: digits as far as they go, then a comma if there is one. Nothing is tried twice.
+_DIGITS, _DECIMAL = "-?+[0-9]++", r"-?+(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)"
+_TRADE = f"^T,({_DIGITS}),?+[^,]*+,?+({_DECIMAL}),?+({_DECIMAL}),?+({_DIGITS})?+"
 
 
-def read_text_tape(spark: SparkSession, path: str, symbol: str, kinds: tuple[str, ...] = ALL_KINDS, buy_aggressor_code: int = 2, bid_book_code: int = 1) -> DataFrame:
-    """Events of a comma-separated tape, in the order of its lines.
+def events_of_lines(lines: DataFrame, symbol: str, buy_aggressor_code: int = 2, bid_book_code: int = 1) -> DataFrame:
+    """Events of a tape's lines (seq, kind, value).
 
     Rows: ``c,ts,0,exchange,symbol,type,tick,multiplier,n``; ``T,ts,id,price,size,side``; ``A|R,ts,id,price,size,side``
-    and ``r,ts,id,side,price,size``. Kinds that are not asked for go before a field of theirs is parsed. A trade whose
-    side is missing or another code is a sell. Rows that do not parse, and prices and sizes that are not finite, are left
-    out; a contract's time is not needed, and null where it doesn't parse.
-
-    ``seq`` numbers events by file, place of the split within it, and place within the split, so it grows with the
-    lines; it is unique but has gaps.
+    and ``r,ts,id,side,price,size``. A trade or change whose side is missing or another code is a sell. Rows that do not
+    parse, and prices and sizes that are not finite, are left out; so are sizes below zero. A contract's time is not
+    needed; a multiplier must be there and is 1 if it doesn't parse.
     """
-    lines = spark.read.text(path)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    is_set, is_contract, is_trade = F.col("kind") == "set", F.col("kind") == "contract", F.col("kind") == "trade"
     f = F.split("value", ",")
-    kind = F.create_map(*(F.lit(x) for kv in ROW_KINDS.items() for x in kv))[F.get(f, F.lit(0))]
-    rows = lines.select("file", "block", "row", f.alias("f"), kind.alias("kind")).where(F.col("kind").isin(*kinds))
-    at = lambda i, t: F.trim(F.get("f", F.lit(i))).try_cast(t)
-    is_set, is_contract = F.col("kind") == "set", F.col("kind") == "contract"
-    code = F.when(is_set, at(3, "long")).otherwise(F.coalesce(at(5, "long"), F.lit(0)))
+    at = lambda i, rule, t: F.when(F.get("f", F.lit(i)).rlike(rule), F.get("f", F.lit(i)).try_cast(t))
+    trade = lambda i, t: F.nullif(F.regexp_extract("value", _TRADE, i), F.lit("")).try_cast(t)
+    whole, number = lambda i: at(i, _WHOLE, "long"), lambda i: at(i, _NUMBER, "double")
+    code = F.when(is_set, whole(3)).when(is_trade, F.coalesce(trade(4, "long"), F.lit(0))).otherwise(F.coalesce(whole(5), F.lit(0)))
     buy = F.when(is_set, code == bid_book_code).otherwise(code == buy_aggressor_code)
-    out = rows.select(
-        F.lit(symbol).alias("symbol"), "file", "block", "row", "kind", at(1, "long").alias("ts_ns"),
-        F.when(is_set, at(4, "double")).when(~is_contract, at(3, "double")).alias("price"),
-        F.when(is_set, at(5, "double")).when(~is_contract, at(4, "double")).alias("size"),
+    out = lines.select("seq", "kind", "value", f.alias("f")).select(
+        F.lit(symbol).alias("symbol"), "seq", "kind", F.when(is_trade, trade(1, "long")).otherwise(whole(1)).alias("ts_ns"),
+        F.when(is_trade, trade(2, "double")).when(is_set, number(4)).when(~is_contract, number(3)).alias("price"),
+        F.when(is_trade, trade(3, "double")).when(is_set, number(5)).when(~is_contract, number(4)).alias("size"),
         F.when(~is_contract, F.when(buy, 1).otherwise(-1)).cast("tinyint").alias("side"),
-        F.when(is_contract, at(6, "double")).alias("tick_size"),
-        F.when(is_contract & (F.size("f") > 7), F.coalesce(at(7, "double"), F.lit(1.0))).alias("multiplier"),
+        F.when(is_contract, at(6, _ANY, "double")).alias("tick_size"),
+        F.when(is_contract & (F.size("f") > 7), F.coalesce(at(7, _ANY, "double"), F.lit(1.0))).alias("multiplier"),
         F.when(is_set, code.isNotNull()).otherwise(F.lit(True)).alias("sided"),
     )
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    whole = F.col("ts_ns").isNotNull() & finite("price") & finite("size") & (F.col("size") >= 0) & F.col("sided")
-    good = F.when(is_contract, F.col("tick_size").isNotNull() & F.col("multiplier").isNotNull()).otherwise(whole)
-    # Spark deals splits to partitions by size, so the row id alone need not follow the file.
-    splits = out.select("file", "block").distinct()
-    splits = splits.withColumn("split", F.row_number().over(Window.orderBy("file", "block")) - 1)
-    out = out.where(good).join(F.broadcast(splits), ["file", "block"])
-    seq = F.shiftleft(F.col("split").cast("long"), 33) + F.col("row").bitwiseAND((1 << 33) - 1)
-    return out.select("symbol", seq.alias("seq"), "kind", "ts_ns", "price", "size", "side", "tick_size", "multiplier")
+    good = F.col("ts_ns").isNotNull() & finite("price") & finite("size") & (F.col("size") >= 0) & F.col("sided")
+    good = F.when(is_contract, F.col("tick_size").isNotNull() & F.col("multiplier").isNotNull()).otherwise(good)
+    return out.where(good).drop("sided")
+
+
+def read_text_tape(spark: SparkSession, path: str, symbol: str, kinds: tuple[str, ...] = ALL_KINDS, buy_aggressor_code: int = 2, bid_book_code: int = 1, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Events of a comma-separated tape, a file or a folder of files, as ``events_of_lines`` reads its rows.
+
+    One scan of byte ranges (``tape_lines``); kinds that are not asked for do not leave the reader. ``seq`` grows with the
+    lines, and with the files by name; it is unique but has gaps.
+    """
+    register(spark)
+    lines = spark.read.format("tape_lines").option("path", path).option("splitBytes", split_bytes).option("kinds", ",".join(kinds)).load()
+    return events_of_lines(lines, symbol, buy_aggressor_code, bid_book_code)
+
+
+def stream_text_tape(spark: SparkSession, path: str, symbol: str, buy_aggressor_code: int = 2, bid_book_code: int = 1) -> DataFrame:
+    """The same from a folder whose files grow; only whole lines are read, each once, also over restarts."""
+    register(spark)
+    return events_of_lines(spark.readStream.format("tape_lines").option("path", path).load(), symbol, buy_aggressor_code, bid_book_code)
 
 
 def from_events(events: DataFrame, symbols: int = 8) -> DataFrame:
