@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.storage import estimated_bytes, small, written
+
+#: Tables of fewer bytes, as the optimizer sees them, have the values of a factor ranked in one task.
+SMALL_BYTES = 32 << 20
+
 
 def covered(rows: DataFrame, factors: list[str], least: float = 0.5) -> list[str]:
     """Factors that have finite values in at least a share of the rows."""
@@ -30,17 +35,33 @@ def split(rows: DataFrame, order: list[str], share: float = 0.7, pieces: int = 2
     return dealt.withColumn("__place", place).join(F.broadcast(before), "__piece").withColumn("train", F.col("__before") + F.col("__place") <= k).drop("__piece", "__place", "__n", "__before")
 
 
-def spearman(rows: DataFrame, factors: list[str], label: str) -> DataFrame:
+def ranked(counts: DataFrame, group: str, value: str, pieces: int = 0) -> DataFrame:
+    """Numbers ``k`` of each ``value`` of each ``group`` with ``upto``, the sum of those up to it. With ``pieces``, values
+    are dealt to so many ranges, which are summed up first, so a group of any size is many tasks' work."""
+    if not pieces:
+        return counts.withColumn("upto", F.sum("k").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = written(counts.repartitionByRange(pieces, group, value).withColumn("__piece", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(group, "__piece").agg(F.sum("k").alias("__k"))
+    before = F.sum("__k").over(Window.partitionBy(group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    sums = written(sums.select(group, "__piece", F.coalesce(before, F.lit(0)).alias("__before")), "sums")
+    within = F.sum("k").over(Window.partitionBy(group, "__piece").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = dealt.withColumn("upto", within).join(small(sums), [group, "__piece"])
+    return placed.withColumn("upto", F.col("upto") + F.col("__before")).select(*counts.columns, "upto")
+
+
+def spearman(rows: DataFrame, factors: list[str], label: str, pieces: int | None = None) -> DataFrame:
     """factor, n, ic: the correlation of average ranks over rows where both values are finite; null under three rows, 0
-    without spread. Ranks come from counts by value: the values are summed up, not the rows."""
+    without spread. Ranks come from counts by value: the values are summed up, not the rows, in ``pieces`` ranges of
+    values (0: one for each factor; if it isn't given, that for small tables, else the session's partitions)."""
+    if pieces is None:
+        pieces = 0 if estimated_bytes(rows) < SMALL_BYTES else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = rows.select(F.col(label).cast("double").alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("x")) for c in factors))).alias("f")).select("f.factor", "f.x", "y")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     long = long.where(finite("x") & finite("y"))
 
     def ranks(c: str) -> DataFrame:
         count = long.groupBy("factor", c).agg(F.count(F.lit(1)).alias("k"))
-        upto = F.sum("k").over(Window.partitionBy("factor").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return count.select("factor", c, (upto - (F.col("k") - 1) / 2).alias(f"r{c}"))
+        return ranked(count, "factor", c, pieces).select("factor", c, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"r{c}"))
 
     both = long.join(ranks("x"), ["factor", "x"]).join(ranks("y"), ["factor", "y"])
     out = both.groupBy("factor").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("c"))

@@ -23,6 +23,7 @@ from barloom.operators import run_tree as RT
 from barloom.operators.broker import Costs, equity_of, trades_of
 from barloom.operators.strategy import cross_signals
 from barloom.plans import search as S
+from barloom.plans import tables as TB
 from barloom.plans.backtest import REGISTRY, figures, prepare, run_trials
 from barloom.session import ship_package
 from barloom.sources.tape import book_from_events, from_events, read_text_tape
@@ -657,6 +658,28 @@ def spearman_ic(spark, sf_dir):
     return rounded(FA.spearman(bars(spark, sf_dir), ["volume", "delta", "trades"], "close"))
 
 
+@_query(_BUILT["spearman_ic"][1])
+def spearman_ic_by_ranges(spark, sf_dir):
+    """The same with each factor's values ranked in ranges."""
+    return rounded(FA.spearman(bars(spark, sf_dir), ["volume", "delta", "trades"], "close", 8))
+
+
+@_query(_one_symbol(_BUILT["ema"][1], 600))
+def averages_in_sql(spark, sf_dir):
+    """Exponential averages through a table function."""
+    TB.register(spark)
+    _bars_of_one(spark, sf_dir).select(*KEY, "close").createOrReplaceTempView("bars_of_one")
+    return rounded(spark.sql("select * from averages(table(bars_of_one) partition by symbol order by (bar_id), 12, 26)"), *KEY, "ema_fast", "ema_slow")
+
+
+@_query(_BUILT["range_bars"][1])
+def range_bars_in_sql(spark, sf_dir):
+    TB.register(spark)
+    from_events(events(spark, sf_dir)).select("symbol", "seq", "ts_ns", "price", "size", "side").createOrReplaceTempView("trades_of_all")
+    made = spark.sql(f"select * from range_bars(table(trades_of_all) partition by symbol order by (seq), 30, {TICK})")
+    return B.bars(made).select(*KEY, "open", "high", "low", "close", "volume", "trades")
+
+
 def _run(spark, sf_dir) -> DataFrame:
     points = [{"side": s, "volume_min": v, "stop_ticks": a, "target_ticks": 12.0} for s in ("long_only", "long_short") for v in (0.0, 0.8) for a in (3.0, 6.0)]
     rows = prepare(from_events(events(spark, sf_dir)), TICK, params={"time": {"bar_secs": 3600}, "technical": {"fast": 5, "slow": 12}})

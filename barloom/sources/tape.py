@@ -105,19 +105,3 @@ def write_table(df: DataFrame, path: str) -> None:
     """A dataset as CSV with a header; numbers that are missing or not finite are empty."""
     finite = [F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
     df.select(*finite).write.option("header", True).option("nullValue", "").csv(path)
-
-
-ANNOTATION = "id string, run_id string, ts_ns long, text string"
-
-
-def annotations(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.schema(ANNOTATION).json(path).where(F.col("run_id") == run_id)
-
-
-def annotate(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
-
-
-def without_annotation(spark: SparkSession, path: str, run_id: str, id_: str, to: str) -> None:
-    """Writes the annotations but for one to a new place, to be put in the old one's stead."""
-    spark.read.schema(ANNOTATION).json(path).where(~((F.col("run_id") == run_id) & (F.col("id") == id_))).write.json(to)

@@ -257,15 +257,10 @@ def test_text_tape(spark, tmp_path):
     assert TP.read_text_tape(spark, str(tmp_path / "tape.csv"), "S", ("trade",)).count() == 2
 
 
-def test_calendar_and_annotations(spark, tmp_path):
+def test_calendar(spark, tmp_path):
     (tmp_path / "c.json").write_text('[{"date":"2026-01-05T10:00:00.250-05:00","impact":"High","country":"US","title":"A"},{"date":"2026-01-05T10:00:00","title":"B"}]')
     (row,) = TP.read_calendar(spark, str(tmp_path / "c.json")).collect()
     assert (row.title, row.ts_ns) == ("A", 1_767_625_200_000_000_000)
-    rows = spark.createDataFrame([("a", "r", 1, "x"), ("b", "r", 2, "y")], TP.ANNOTATION)
-    TP.annotate(rows, str(tmp_path / "n"))
-    assert TP.annotations(spark, str(tmp_path / "n"), "r").count() == 2
-    TP.without_annotation(spark, str(tmp_path / "n"), "r", "a", str(tmp_path / "m"))
-    assert [r.id for r in TP.annotations(spark, str(tmp_path / "m"), "r").collect()] == ["b"]
 
 
 def test_calendar_hits_fall_between_bars(spark):
