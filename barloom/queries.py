@@ -523,9 +523,58 @@ def _features(spark, sf_dir) -> DataFrame:
     return FE.trade_flow(B.bars(rows), B.ladder(rows, TICK), rows, TICK)
 
 
-@_query()
+_RAW_Z = "case when count({0}) over p >= 30 and stddev_samp({0}) over p >= 1e-9 then ({0} - avg({0}) over p) / stddev_samp({0}) over p end as {1}"
+_STRICT = _FLAGS.replace("buy_vol >= 1.5 * vb", "buy_vol >= 3.0 * vb and buy_vol >= 5.0").replace("sell_vol >= 1.5 * va", "sell_vol >= 3.0 * va and sell_vol >= 5.0")
+#: Columns of the dataset as SQL over the tables joined below; other features have their own names there.
+_DATASET = {
+    "buy_volume": "greatest((volume + delta) / 2, 0)", "sell_volume": "greatest((volume - delta) / 2, 0)", "delta_ratio": "delta / greatest(volume, 1e-9)", "average_trade_size": "volume / greatest(trades, 1)",
+    "large_trade_ratio": "large_trade_volume / greatest(volume, 1e-9)", "bar_range_ticks": "(high - low) / 5.0", "close_location": "(close - low) / greatest(high - low, 5.0)",
+    "cvd_slope_5": "cvd_change_5 / 5", "cvd_slope_10": "cvd_change_10 / 10", "distance_to_vwap_ticks": "(close - vwap) / 5.0", "distance_to_recent_high_ticks": "(rh - close) / 5.0", "distance_to_recent_low_ticks": "(close - rl) / 5.0",
+    "recent_range_position": "case when rh is not null then (close - rl) / greatest(rh - rl, 5.0) end", "distance_to_session_high_ticks": "(sh - close) / 5.0", "distance_to_session_low_ticks": "(close - sl) / 5.0",
+}
+_OF = lambda c: f"({_DATASET.get(c, c)})"
+_FLIPPED = {"signed_close_location": "close_location", "signed_range_position": "recent_range_position"}
+
+
+@_query(
+    _sql(
+        "select symbol, bar_id, ts_first_ns, dir, "
+        + ", ".join(f"round(cast({c} as double), 6) as {c}" for c in L.FIELDS)
+        + ", round(abs(delta), 6) as delta_abs, "
+        + ", ".join(f"round(cast({_OF(c)} as double), 6) as {c}" for c in L.FEATURES)
+        + ", "
+        + ", ".join(f"round(cast(dir * {_OF(v)} as double), 6) as {k}" for k, v in L.SIGNED.items())
+        + ", "
+        + ", ".join(f"round(cast(case when dir >= 0 then {_OF(v)} else 1 - {_OF(v)} end as double), 6) as {k}" for k, v in _FLIPPED.items())
+        + f", round(case when dir >= 0 then {_OF('distance_to_recent_high_ticks')} else {_OF('distance_to_recent_low_ticks')} end, 6) as signed_distance_to_range_edge_ticks, label from joined",
+        _BARS, _LEVELS, _ET, _BASE, _STRICT, _STACKS,
+        f"z as (select symbol, bar_id, {', '.join(_RAW_Z.format(c, o) for c, o in FE.SCORED.items())} from base window p as ({_W} rows between 100 preceding and 1 preceding))",
+        """c as (select symbol, bar_id, cvd, cvd - lag(cvd, 1) over w as cvd_change_1, cvd - lag(cvd, 3) over w as cvd_change_3, cvd - lag(cvd, 5) over w as cvd_change_5, cvd - lag(cvd, 10) over w as cvd_change_10
+ from (select *, sum(delta) over (partition by symbol, day order by bar_id) as cvd from days) window w as (partition by symbol, day order by bar_id))""",
+        """money as (select d.symbol, d.bar_id, sum(m.pv) over w / sum(m.v) over w as vwap, max(d.high) over e as sh, min(d.low) over e as sl, d.time_of_day_minutes
+ from days d join (select symbol, bar_id, sum(price * (buy_vol + sell_vol)) as pv, sum(buy_vol + sell_vol) as v from levels group by symbol, bar_id) m using (symbol, bar_id)
+ window w as (partition by d.symbol, d.day order by d.bar_id rows between unbounded preceding and current row), e as (partition by d.symbol, d.day order by d.bar_id rows between unbounded preceding and 1 preceding))""",
+        f"recent as (select symbol, bar_id, max(high) over w as rh, min(low) over w as rl from bars window w as ({_W} rows between 20 preceding and 1 preceding))",
+        "counts as (select symbol, bar_id, count(*) filter (where buy) as p, count(*) filter (where sell) as n, max(case when buy then buy_vol / vb end) as pr, max(case when sell then sell_vol / va end) as nr from flags group by symbol, bar_id)",
+        "layers as (select symbol, bar_id, max(case when side = 'buy' then k end) as pl, max(case when side = 'sell' then k end) as nl from (select symbol, bar_id, side, run, count(*) as k from runs group by symbol, bar_id, side, run) group by symbol, bar_id)",
+        f"moves as (select *, greatest(high - low, abs(high - lag(close) over ({_W})), abs(low - lag(close) over ({_W}))) as tr, (close - lag(close) over ({_W})) / 5.0 as move from bars)",
+        f"""risk as (select symbol, bar_id, greatest(avg(tr) over w, 5.0) as atr, case when count(move) over w >= 2 then stddev_samp(move) over w end as realized_volatility from moves window w as ({_W} rows between 19 preceding and current row))""",
+        "numbered as (select symbol, bar_id, size, row_number() over (partition by symbol order by seq) as i from keyed)",
+        "firsts as (select symbol, bar_id, min(i) as i0 from numbered group by symbol, bar_id)",
+        """limits as (select f.symbol, f.bar_id, greatest(coalesce(round(list_sort(list(n.size) filter (where n.size is not null))[cast(floor(count(n.size) * cast(0.95 as double)) as bigint) + 1]), 10.0), 10.0) as t
+ from firsts f left join numbered n on n.symbol = f.symbol and n.i < f.i0 and n.i >= f.i0 - 2000 group by f.symbol, f.bar_id)""",
+        "large as (select symbol, bar_id, sum(case when size >= t then size else 0.0 end) as large_trade_volume from keyed join limits using (symbol, bar_id) group by symbol, bar_id)",
+        """every as (select base.*, z.* exclude (symbol, bar_id), c.* exclude (symbol, bar_id), money.* exclude (symbol, bar_id), recent.* exclude (symbol, bar_id), risk.* exclude (symbol, bar_id), large_trade_volume,
+ coalesce(p, 0) as positive_imbalance_count, coalesce(n, 0) as negative_imbalance_count, coalesce(pr, 0) as max_positive_imbalance_ratio, coalesce(nr, 0) as max_negative_imbalance_ratio, coalesce(pl, 0) as positive_stack_max_layers, coalesce(nl, 0) as negative_stack_max_layers,
+ cast(case when delta_zscore < 0 then -1 else 1 end as int) as dir, row_number() over (partition by base.symbol order by base.bar_id) as i
+ from base join z using (symbol, bar_id) join c using (symbol, bar_id) join money using (symbol, bar_id) join recent using (symbol, bar_id) join risk using (symbol, bar_id) join large using (symbol, bar_id) left join counts using (symbol, bar_id) left join layers using (symbol, bar_id))""",
+        """labels as (select e.symbol, e.bar_id, cast(arg_min(case when (e.dir = 1 and f.low <= e.close - 25) or (e.dir = -1 and f.high >= e.close + 25) then 0 else 1 end, f.i) as int) as label from every e join every f on f.symbol = e.symbol and f.i > e.i and f.i <= e.i + 5
+ and (f.low <= e.close - case when e.dir = 1 then 25 else 40 end or f.high >= e.close + case when e.dir = 1 then 40 else 25 end) group by e.symbol, e.bar_id)""",
+        "joined as (select * from every join labels using (symbol, bar_id) where abs(delta_zscore) >= 0.5)",
+    )
+)
 def ml_dataset(spark, sf_dir):
-    return L.dataset(_features(spark, sf_dir), TICK, threshold=0.5)
+    return rounded(L.dataset(_features(spark, sf_dir), TICK, threshold=0.5))
 
 
 @_query(
