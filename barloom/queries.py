@@ -26,6 +26,7 @@ from barloom.plans import search as S
 from barloom.plans import tables as TB
 from barloom.plans.backtest import REGISTRY, figures, prepare, run_trials
 from barloom.session import ship_package
+from barloom.sources import heatmap_store as HS
 from barloom.sources.tape import book_from_events, from_events, read_text_tape
 from barloom.storage import workspace
 
@@ -907,6 +908,15 @@ def heatmap_grid(spark, sf_dir):
     return K.heatmap(samples, 21_600_000_000_000, _T0, _T1, 0, 99, 80, 40)
 
 
+@_query(_sql(f"select symbol, ts_ns, price, cast(cast(size as float) as double) as size, cast(side as int) as side, (select min(ts_ns) from tape n where n.symbol = 'U3' and n.ts_ns > {_T1}) as next_trade_ns from tape where symbol = 'U3' and ts_ns between {_T0 + 5 * 86_400_000_000_000} and {_T1}"))
+def stored_trades(spark, sf_dir):
+    """A window of one symbol's trades from the store, and the time of the next one."""
+    path = workspace(spark, "trades")
+    HS.write_trades(from_events(events(spark, sf_dir)), path)
+    after = HS.next_trade_ns(spark, path, "U3", _T1).scalar()
+    return HS.read_trades(spark, path, "U3", _T0 + 5 * 86_400_000_000_000, _T1).withColumn("next_trade_ns", after)
+
+
 @_query(
     _sql(
         """select symbol, bucket, bid, ask from (select *, lag(bid) over w as b0, lag(ask) over w as a0 from (select symbol, ts_ns // 3600000000000 as bucket, arg_max(case when side > 0 then price - 5 else price end, seq) as bid, arg_max(case when side > 0 then price else price + 5 end, seq) as ask from keyed group by all)

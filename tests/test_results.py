@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.operators import features as FE
 from barloom.operators import results as RE
 from barloom.operators.joins import binned_range_join
+from barloom.sources import heatmap_store as HS
 from barloom.sources.heatmap_store import read_samples, write_samples
 
 
@@ -65,3 +66,29 @@ def test_heatmap_store(spark, tmp_path):
     got = read_samples(spark, str(tmp_path / "heat"), "U", 10, 12)
     assert sorted(tuple(x) for x in got.collect()) == [x for x in rows if x[0] == "U" and 10 <= x[1] < 12]
     assert "GreaterThanOrEqual(bucket,10)" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trade_store(spark, tmp_path):
+    """Windows of stored trades are those of the table; a window reads the blocks that it touches; ties and null rows."""
+    r, rows = random.Random(2), []
+    for k in range(3000):
+        rows.append((r.choice("AB"), k, (k // 3) * 10**9, 100 + r.randint(-9, 9) / 4, float(r.randint(1, 9)), r.choice([1, -1])))
+    rows.append(("A", 9999, None, 1.0, 1.0, 1))
+    table = spark.createDataFrame(rows, "symbol string, seq long, ts_ns long, price double, size double, side int").repartition(4)
+    path = str(tmp_path / "trades")
+    HS.write_trades(table, path, 100)
+    blocks = spark.read.parquet(path)
+    assert blocks.agg(F.sum("n")).first()[0] == 3000 and blocks.where("n > 100").count() == 0
+    for t0, t1 in ((0, 10**12), (100 * 10**9, 103 * 10**9), (5, 6), (999 * 10**9, 10**15), (-5, -1)):
+        want = sorted(x[2:] for x in rows if x[0] == "A" and x[2] is not None and t0 <= x[2] <= t1)
+        got = HS.read_trades(spark, path, "A", t0, t1)
+        assert sorted((x.ts_ns, x.price, x.size, x.side) for x in got.collect()) == want
+        later = [x[2] for x in rows if x[0] == "A" and x[2] is not None and x[2] > t1]
+        assert HS.next_trade_ns(spark, path, "A", t1).first()[0] == min(later, default=None)
+    few = blocks.where("symbol = 'A' and last_ns >= 100000000000 and first_ns <= 103000000000").count()
+    assert 1 <= few <= 3 < blocks.count()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = HS.read_trades(spark, path, "A", 0, 5)._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(last_ns,0)" in plan and "LessThanOrEqual(first_ns,5)" in plan
+    assert HS.read_trades(spark, path, "none", 0, 5).count() == 0
