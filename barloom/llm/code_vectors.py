@@ -25,8 +25,8 @@ PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 LIMIT = 1 << 26
 #: Vectors of a chunk at most, and bytes of their whole numbers.
 CHUNK, CHUNK_BYTES = 16_384, 4 << 20
-#: Points of a leaf at least.
-LEAF = 8
+#: Points of a leaf at least. Fewer give smaller boxes, but the boxes of more nodes to compare with the entries.
+LEAF = 32
 #: Pairs of nodes or points with entries that are compared at once.
 _AT_ONCE = 1 << 17
 
