@@ -16,9 +16,9 @@ from .common import give_back, partitions, workspace
 END = 2
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 #: Entries of either half of a worker's piece cache; each takes some 200 bytes.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 200_000
 #: Characters of texts that are cut into pieces at a time; a longer text is one such run.
-RUN_CHARS = 1 << 20
+RUN_CHARS = 4 << 20
 #: Signs that end many words.
 _TAIL = frozenset(".,;:!?)")
 #: White space other than single spaces and line feeds between dark characters, markers of special tokens, and NUL.
