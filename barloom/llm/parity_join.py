@@ -30,7 +30,7 @@ SKETCH_BITS = 4096
 #: Sets with fewer elements keep a sketch folded to this size; it also stands first in every comparison.
 FOLDED_BITS, FOLD_BELOW = 1024, 512
 #: Rounds in which each component tries the most frequent meetings with leaders of buckets, and the leaders a bucket has
-#: in each, before buckets are compared in full.
+#: in each (one in the first), before buckets are compared in full.
 LEADERS = (1, 4)
 #: Rows of a table that is broadcast at most; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -630,37 +630,48 @@ def _clusters(buckets: DataFrame, classes: DataFrame, rows: DataFrame, parts: in
 
 
 def _rounds(buckets: DataFrame, classes: DataFrame, rows: DataFrame, parts: int, like: Likeness) -> DataFrame | None:
-    """Roots of all classes that are linked: links with leaders of buckets first, then what ``_rest`` finds."""
-    roots, tried = None, None
-    for turn, leaders in enumerate([*LEADERS, 0]):
-        named = _named(buckets.select("key", "cid"), roots)
-        lead = lambda j, turn=turn: F.min(F.struct(F.xxhash64("comp", F.lit(100 * turn + j)), "comp", "cid")).alias(f"h{j}")
-        heads = named.groupBy("key").agg(*map(lead, range(leaders)), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        led = named.join(heads, "key")
-        # Buckets within one component are settled; the others go on.
-        named = written(led.select("key", "cid", "comp"), "open")
-        if not leaders:
+    """Roots of all classes that are linked: links with leaders of buckets first, then what ``_rest`` finds.
+
+    At first each class is a component of its own, no bucket is settled, and a bucket's leader is its first class, with
+    which ``_meetings`` names its rows; nothing is joined for that round.
+    """
+    roots, tried, named = None, None, buckets.select("key", "cid", F.col("cid").alias("comp"))
+    for turn, leaders in enumerate(LEADERS):
+        if turn:
+            # Buckets within one component are settled; the others go on.
+            named = _unsettled(buckets, roots)
             discard(buckets)
-            break
-        slots = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"h{j}.comp").alias("comp"), F.col(f"h{j}.cid").alias("cid")) for j in range(leaders)))
-        met = led.select("cid", "comp", F.explode(slots).alias("h")).where("comp <> h.comp")
-        met = met.groupBy("comp", "h.j", F.least("cid", "h.cid").alias("a"), F.greatest("cid", "h.cid").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-        if turn:  # chance meets once, kin often; what is left out here is compared at the end
-            met = met.where("k > 1")
+            buckets = named
+            lead = lambda j, turn=turn: F.min(F.struct(F.xxhash64("comp", F.lit(100 * turn + j)), "comp", "cid")).alias(f"h{j}")
+            heads = named.groupBy("key").agg(*map(lead, range(leaders)))
+            slots = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"h{j}.comp").alias("comp"), F.col(f"h{j}.cid").alias("cid")) for j in range(leaders)))
+            met = named.join(heads, "key").select("cid", "comp", F.explode(slots).alias("h")).where("comp <> h.comp")
+            met = met.groupBy("comp", "h.j", F.least("cid", "h.cid").alias("a"), F.greatest("cid", "h.cid").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+            met = met.where("k > 1")  # chance meets once, kin often; what is left out here is compared at the end
+        else:
+            met = buckets.where("cid <> head").groupBy(F.col("cid").alias("comp"), F.lit(0).alias("j"), F.col("head").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("k"))
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
         best = written(met.groupBy("comp", "j").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "tries")
-        discard(buckets)
-        buckets = named
         if best.isEmpty():
             continue
         links = verify(best, classes, rows, like)
         tried = best if tried is None else written(tried.unionAll(best), "tried")
         if not links.isEmpty():
-            roots = _merged(roots, links)
+            roots = small(_merged(roots, links))
+    if roots is not None:
+        named = _unsettled(buckets, roots)
+        discard(buckets)
     return _rest(named, classes, rows, roots, parts, like)
 
 
+def _unsettled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members (key, cid, comp) of buckets that are in several components, as a written table."""
+    named = _named(buckets.select("key", "cid"), roots)
+    ends = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return written(named.join(ends, "key").select("key", "cid", "comp"), "open")
+
+
 def _labelled(each: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Rows with the smallest doc_id of their component."""
     tops = _named(classes.select("cid", "first"), roots, "cid", "top")

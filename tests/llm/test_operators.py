@@ -255,6 +255,17 @@ def test_jaccard_pieces_of_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows)
 
 
+def test_jaccard_first_round_joins_no_buckets(spark, monkeypatch):
+    """The leaders of the first round are those that the buckets come with."""
+    base = [f"w{k}" for k in range(40)]
+    rows = {k: " ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 40, 3)} | {99: "a b c d e f"}
+    plans, write = [], parity_join.written
+    monkeypatch.setattr(parity_join, "written", lambda df, name: (name == "tries" and plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    got = parity_join.near_groups(spark.createDataFrame([*rows.items()], "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows)
+    assert plans and "Join" not in plans[0]
+
+
 def test_jaccard_rows_of_a_large_group(spark, monkeypatch):
     """A large group of near copies, some too far from all: the buckets' rows grow with its members, not with their pairs; and
     the buckets that are verified in place, with their sets, give the same components."""
