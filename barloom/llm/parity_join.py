@@ -32,8 +32,8 @@ FOLDED_BITS, FOLD_BELOW = 1024, 512
 #: Rounds in which each component tries the most frequent meetings with leaders of buckets, and the leaders a bucket has
 #: in each (one in the first), before buckets are compared in full.
 LEADERS = (1, 4)
-#: Rows of a table that is broadcast at most; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of a table that is broadcast at most, some 10 MB of the driver's; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Members of a bucket that are compared in one piece; more are dealt to pairs of pieces.
 TILE = 2048
 #: Buckets with more members have their last pairs verified in place, so that they give one row for each component at most.

@@ -266,6 +266,12 @@ def test_jaccard_first_round_joins_no_buckets(spark, monkeypatch):
     assert plans and "Join" not in plans[0]
 
 
+def test_tables_over_100_000_rows_are_not_broadcast(spark):
+    """What the driver gathers for a broadcast stays at some 10 MB."""
+    hints = [parity_join.small(spark.range(n))._jdf.queryExecution().analyzed().toString().count("broadcast") for n in (100_000, 100_001)]
+    assert hints == [1, 0]
+
+
 def test_jaccard_rows_of_a_large_group(spark, monkeypatch):
     """A large group of near copies, some too far from all: the buckets' rows grow with its members, not with their pairs; and
     the buckets that are verified in place, with their sets, give the same components."""
