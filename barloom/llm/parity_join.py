@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import DARK, discard, mix, partitions, set_aside, text_slices, words, written
 
 SHINGLE = 5
-#: Bytes of texts whose shingles are hashed at a time, and keys that are passed on in a batch.
-SLICE_BYTES, KEYS = 1 << 18, 1 << 16
+#: Bytes of texts whose shingles are hashed at a time, keys that are passed on in a batch, and keys that are packed together.
+SLICE_BYTES, KEYS, PACKED = 1 << 18, 1 << 16, 1 << 19
+#: Low bytes of a key that are shuffled; its top 16 bits give the partition. And the most keys in a run of one set's.
+KEY_BYTES, RUN = 5, 255
 #: Links have num * union <= den * intersection; the bounds below are for this ratio.
 NUMERATOR, DENOMINATOR = 75, 100
 SKETCH_BITS = 4096
@@ -42,7 +45,9 @@ LISTED = 512
 TILE_ELEMENTS = 500_000
 _LARGEST = 1 << 40
 _M = np.uint64(0xD6E8FEB86659FD93)
-_KEY = "key long, cid long"
+_PACK = "part int, cids binary, counts binary, keys binary"
+#: Members up to which a bucket is told by its set of members.
+WHOLE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -69,10 +74,17 @@ class Likeness:
 
 
 def _bands() -> np.ndarray:
-    """Lower ends of size bands: sets that can be linked are of one band or of two that follow each other."""
-    low = [3, 4]
+    """Lower ends of size bands: sets that can be linked are of one band or of two that follow each other.
+
+    Bands are as wide as three steps from a set's size to the largest that it can be linked with, so only the last third
+    of a band, by the logarithm of sizes, has keys in the next one too.
+    """
+    low = [3]
     while low[-1] < _LARGEST:
-        low.append(4 * (low[-1] - 1) // 3 + 1)
+        n = low[-1]
+        for _ in range(3):
+            n = 4 * (n - 1) // 3 + 1
+        low.append(max(n, low[-1] + 1))
     return np.array(low, np.int64)
 
 
@@ -193,19 +205,20 @@ def _classes(like: Likeness):
 def block_keys(tokens: np.ndarray, off: np.ndarray, band_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the sparse sketches' blocks that have to be joined, and the rows they are of.
 
-    ``band_of``: for each row, the band of the larger set of the pairs to be found: its own or the next. With d the
+    ``band_of``: for each row, the band of the larger set of the pairs to be found: its own or the next, which has none
+    for a set whose largest partner is of its own band. With d the
     most elements that its pairs are apart and z its empty blocks of B, a linked set agrees in at least s = B - d - z
     blocks that are not empty. So, of all keys in one common order, the first d + 1 of each set have one in common
     (the prefix filter); the fullest blocks come first, as they meet least by chance. A row with s < 1, which is
     rare, gives all its keys and one that stands for empty blocks.
     """
     n = np.diff(off)
-    ok = np.flatnonzero(n >= BANDS[0])
+    ok = np.flatnonzero((n >= BANDS[0]) & (4 * n // 3 >= BANDS[band_of]))
     if not len(ok):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = band_of[ok]
-    blocks = (45 * BANDS[g]) // 100 + 5
-    apart = np.minimum(2 * (BANDS[g + 1] - 1) // 7, n[ok] // 3)
+    blocks = (76 * BANDS[g]) // 100 + 6
+    apart = (n[ok] + np.minimum(4 * n[ok] // 3, BANDS[g + 1] - 1)) // 7
     base = np.concatenate([[0], np.cumsum(blocks)])
     row = np.repeat(np.arange(len(ok)), n[ok])
     take = np.repeat(off[:-1][ok], n[ok]) + np.arange(len(row)) - np.repeat(np.cumsum(n[ok]) - n[ok], n[ok])
@@ -233,8 +246,10 @@ def block_keys(tokens: np.ndarray, off: np.ndarray, band_of: np.ndarray) -> tupl
     return np.concatenate([key[kept], empty]).view(np.int64), np.concatenate([ok[doc[kept]], ok[rare]])
 
 
-def _keys(like: Likeness):
-    def run(batches):
+def _keys(like: Likeness, parts: int):
+    """Keys of all sets, packed by the partition they go to."""
+
+    def found(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, tokens, off in shingle_sets(batch.column(0), like.shingle):
@@ -246,42 +261,119 @@ def _keys(like: Likeness):
                 tokens, off = tokens[keep], np.concatenate([[0], np.cumsum(n)])
                 for step in (0, 1):
                     key, row = like.block_keys(tokens, off, np.maximum(own, 0) + step)
-                    for a in range(0, len(key), KEYS):
-                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + KEYS]), pa.array(cid[row[a : a + KEYS]])], names=["key", "cid"])
+                    yield key, cid[row]
 
-    return run
+    def run(batches):
+        held, many = [], 0
+        for key, cid in chain(found(batches), [(None, None)]):
+            if key is not None:
+                held.append((key, cid))
+                many += len(key)
+            if many and (key is None or many >= PACKED):
+                key, cid = (np.concatenate(x) for x in zip(*held, strict=True))
+                held, many = [], 0
+                for a in range(0, len(key), PACKED):
+                    yield pack_keys(key[a : a + PACKED], cid[a : a + PACKED], parts)
 
+    return run
 
-def _meetings(batches):
-    """Of rows sorted by key and cid, those whose key has several cids, with the key's first cid. Holds one row back."""
-    last_key = last_cid = head = None
-    waiting = False
 
-    def out(k, c, h):
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(h)], names=["key", "cid", "head"])
+def pack_keys(key: np.ndarray, cid: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each partition that keys go to: the cids of runs of keys of one set, the runs' lengths, the keys' low bytes.
 
+    A key keeps its partition, some log2(parts) bits, and KEY_BYTES: equal keys stay equal, and the few others that become
+    equal are meetings by chance.
+    """
+    key = key.view(np.uint64)
+    part = (((key >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)).astype(np.int64)
+    order = np.lexsort((cid, part))
+    key, cid, part = key[order], cid[order], part[order]
+    head = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (cid[1:] != cid[:-1])]))
+    at = np.arange(len(key)) - np.repeat(head, np.diff(np.append(head, len(key))))
+    head = np.flatnonzero(at % RUN == 0)
+    row = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    runs = np.searchsorted(head, np.append(row, len(key)))
+    low = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+
+    def blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+    counts = np.diff(np.append(head, len(key))).astype(np.uint8)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[row].astype(np.int32)), blobs(cid[head], 8 * runs), blobs(counts, runs), blobs(low, KEY_BYTES * np.append(row, len(key)))],
+        names=["part", "cids", "counts", "keys"],
+    )
+
+
+def unpack_keys(batches):
+    """Rows (key, cid) of packed keys."""
     for batch in batches:
-        k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        if last_key is not None and len(k):
-            new[0] = k[0] != last_key or c[0] != last_cid
-        k, c = k[new], c[new]
-        if not len(k):
-            continue
-        start = np.ones(len(k), bool)
-        start[1:] = k[1:] != k[:-1]
-        start[0] = last_key is None or k[0] != last_key
-        at = np.maximum.accumulate(np.where(start, np.arange(len(k)), -1))
-        heads = np.where(at >= 0, c[at], head if head is not None else 0)
-        if waiting and not start[0]:
-            yield out(np.array([last_key]), np.array([head]), np.array([head]))
-        several = ~start
-        several[:-1] |= ~start[1:]
-        waiting = bool(start[-1])
-        last_key, last_cid, head = k[-1], c[-1], heads[-1]
-        if several.any():
-            yield out(k[several], c[several], heads[several])
+        for part, *blobs in zip(*(batch.column(k) for k in range(4)), strict=True):
+            cids, counts, low = (np.frombuffer(x.as_buffer(), t) for x, t in zip(blobs, (np.int64, np.uint8, np.uint8), strict=True))
+            key = np.zeros((len(low) // KEY_BYTES, 8), np.uint8)
+            key[:, :KEY_BYTES] = low.reshape(-1, KEY_BYTES)
+            key = key.view("<u8").ravel().astype(np.int64) + (part.as_py() << 8 * KEY_BYTES)
+            cid = np.repeat(cids, counts)
+            for a in range(0, len(key), KEYS):
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + KEYS]), pa.array(cid[a : a + KEYS])], names=["key", "cid"])
+
+
+def _meetings(alike: bool):
+    """Of rows sorted by key and cid, those whose key has several cids, with the key's first cid and a weight of 1.
+
+    With ``alike``, buckets of the same members become one, as far as they are at hand: its key is made of its members and
+    its weight is the number of these buckets. Those with more than WHOLE members are not held for that and keep their key.
+    """
+
+    def out(k, c, head, weight):
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(head), pa.array(weight)], names=["key", "cid", "head", "weight"])
+
+    def closed(k, c):
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(first, len(k)))
+        weight = np.ones(len(first), np.int64)
+        use = np.flatnonzero(size > 1)
+        if alike and len(use):
+            with np.errstate(over="ignore"):
+                name = mix(np.add.reduceat(mix(c.view(np.uint64) ^ _M), first) + size.astype(np.uint64)).view(np.int64)
+            _, at, several = np.unique(name[use], return_index=True, return_counts=True)
+            weight[use[at]] = several
+            use = use[at]
+            k = np.repeat(name, size)
+        if len(use):
+            take = np.repeat(first[use], size[use]) + np.arange(size[use].sum()) - np.repeat(np.cumsum(size[use]) - size[use], size[use])
+            yield out(k[take], c[take], np.repeat(c[first[use]], size[use]), np.repeat(weight[use], size[use]))
+
+    def run(batches):
+        k = c = np.zeros(0, np.int64)
+        wide = None  # key, first and last cid of a bucket whose rows go on at once
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                k, c = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([c, batch.column(1).to_numpy()])
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            k, c = k[new], c[new]
+            if wide and len(k):
+                end = int(np.searchsorted(k, wide[0], "right"))
+                own = c[:end][c[:end] != wide[2]]
+                if len(own):
+                    yield out(np.full(len(own), wide[0]), own, np.full(len(own), wide[1]), np.ones(len(own), np.int64))
+                    wide = (*wide[:2], own[-1])
+                k, c = k[end:], c[end:]
+                if len(k):
+                    wide = None
+            if not len(k):
+                continue
+            cut = len(k) if batch is None else int(np.searchsorted(k, k[-1], "left"))
+            if cut:
+                yield from closed(k[:cut], c[:cut])
+            k, c = k[cut:], c[cut:]
+            if len(k) > WHOLE:
+                yield out(k, c, np.full(len(k), c[0]), np.ones(len(k), np.int64))
+                wide = (k[0], c[0], c[-1])
+                k, c = k[:0], c[:0]
+
+    return run
 
 
 def _near_pairs(like: Likeness, forest: bool):
@@ -507,9 +599,15 @@ def _buckets(rows: DataFrame, like: Likeness = PARITY) -> tuple[DataFrame, DataF
     """The class of each row (doc_id, text, and h, which is passed on), all classes with sets, and the buckets with several."""
     each = written(rows.select("doc_id", "text", "h").mapInArrow(_classes(like), "doc_id long, h long, n long, cid long, sketch binary, keys array<long>"), "classes")
     classes = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
-    keys = rows.select("text").mapInArrow(_keys(like), _KEY) if like.block_keys else classes.select(F.explode("keys").alias("key"), "cid")
-    keys = keys.repartition(partitions(rows), "key").sortWithinPartitions("key", "cid")
-    return each, classes, written(keys.mapInArrow(_meetings, "key long, cid long, head long"), "buckets")
+    parts, met = partitions(rows), "key long, cid long, head long, weight long"
+    if not like.block_keys:
+        keys = classes.select(F.explode("keys").alias("key"), "cid").repartition(parts, "key").sortWithinPartitions("key", "cid")
+        return each, classes, written(keys.mapInArrow(_meetings(False), met), "buckets")
+    packed = rows.select("text").mapInArrow(_keys(like, parts), _PACK).repartitionById(parts, F.col("part"))
+    keys = packed.mapInArrow(unpack_keys, "key long, cid long").sortWithinPartitions("key", "cid")
+    # Kin share many keys, and most of these have the same members.
+    buckets = keys.mapInArrow(_meetings(True), met).groupBy("key", "cid").agg(F.min("head").alias("head"), F.sum("weight").alias("weight"))
+    return each, classes, written(buckets, "buckets")
 
 
 def _compared(named: DataFrame, classes: DataFrame, parts: int, like: Likeness, forest: bool = False, sets: DataFrame | None = None) -> DataFrame:
@@ -645,11 +743,11 @@ def _rounds(buckets: DataFrame, classes: DataFrame, rows: DataFrame, parts: int,
             lead = lambda j, turn=turn: F.min(F.struct(F.xxhash64("comp", F.lit(100 * turn + j)), "comp", "cid")).alias(f"h{j}")
             heads = named.groupBy("key").agg(*map(lead, range(leaders)))
             slots = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"h{j}.comp").alias("comp"), F.col(f"h{j}.cid").alias("cid")) for j in range(leaders)))
-            met = named.join(heads, "key").select("cid", "comp", F.explode(slots).alias("h")).where("comp <> h.comp")
-            met = met.groupBy("comp", "h.j", F.least("cid", "h.cid").alias("a"), F.greatest("cid", "h.cid").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+            met = named.join(heads, "key").select("cid", "comp", "weight", F.explode(slots).alias("h")).where("comp <> h.comp")
+            met = met.groupBy("comp", "h.j", F.least("cid", "h.cid").alias("a"), F.greatest("cid", "h.cid").alias("b")).agg(F.sum("weight").alias("k"))
             met = met.where("k > 1")  # chance meets once, kin often; what is left out here is compared at the end
         else:
-            met = buckets.where("cid <> head").groupBy(F.col("cid").alias("comp"), F.lit(0).alias("j"), F.col("head").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+            met = buckets.where("cid <> head").groupBy(F.col("cid").alias("comp"), F.lit(0).alias("j"), F.col("head").alias("a"), F.col("cid").alias("b")).agg(F.sum("weight").alias("k"))
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
         best = written(met.groupBy("comp", "j").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "tries")
@@ -666,10 +764,10 @@ def _rounds(buckets: DataFrame, classes: DataFrame, rows: DataFrame, parts: int,
 
 
 def _unsettled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members (key, cid, comp) of buckets that are in several components, as a written table."""
-    named = _named(buckets.select("key", "cid"), roots)
+    """Members (key, cid, comp, weight) of buckets that are in several components, as a written table."""
+    named = _named(buckets.select("key", "cid", "weight"), roots)
     ends = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return written(named.join(ends, "key").select("key", "cid", "comp"), "open")
+    return written(named.join(ends, "key").select("key", "cid", "comp", "weight"), "open")
 
 
 def _labelled(each: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
