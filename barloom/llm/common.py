@@ -76,7 +76,7 @@ _SLICE_BYTES = 1 << 20
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers: list[np.ndarray] = []
+_kept: dict[str, dict] = {}
 
 
 def _byte_values() -> np.ndarray:
@@ -98,11 +98,12 @@ BYTES = _byte_values()
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+    powers = kept("texts")
+    if not powers or len(powers["up"]) < n:
         up, down = np.full(n, _P, np.uint64), np.full(n, _P_INV, np.uint64)
         up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _powers[0][:n], _powers[1][:n]
+        powers |= {"up": np.cumprod(up, dtype=np.uint64), "down": np.cumprod(down, dtype=np.uint64)}
+    return powers["up"][:n], powers["down"][:n]
 
 
 def give_back() -> None:
@@ -112,9 +113,21 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def kept(work: str) -> dict:
+    """What this worker keeps from task to task for one kind of work. What it kept for another kind goes, as an executor
+    has more workers than tasks and each would come to hold the aids of all the work there was."""
+    if work not in _kept:
+        if _kept:
+            _kept.clear()
+            give_back()
+        _kept[work] = {}
+    return _kept[work]
+
+
 def text_slices(col: pa.Array, size: int = _SLICE_BYTES):
     """Yields (first row, byte buffer, offsets of rows within it) in runs of whole rows of about ``size`` bytes; null is
     empty. What is freed on the way goes back to the system at the end, as the worker may long be idle after it."""
+    kept("texts")
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:

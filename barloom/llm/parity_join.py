@@ -26,7 +26,7 @@ SHINGLE = 5
 #: Bytes of texts whose shingles are hashed at a time, keys that are passed on in a batch, and keys that are packed together.
 SLICE_BYTES, KEYS, PACKED = 1 << 18, 1 << 16, 1 << 19
 #: Low bytes of a key that are shuffled; its top 16 bits give the partition. And the most keys in a run of one set's.
-KEY_BYTES, RUN = 5, 255
+KEY_BYTES, RUN = 5, 127
 #: Links have num * union <= den * intersection; the bounds below are for this ratio.
 NUMERATOR, DENOMINATOR = 75, 100
 SKETCH_BITS = 4096
@@ -45,7 +45,7 @@ LISTED = 512
 TILE_ELEMENTS = 500_000
 _LARGEST = 1 << 40
 _M = np.uint64(0xD6E8FEB86659FD93)
-_PACK = "part int, cids binary, counts binary, keys binary"
+_PACK = "part int, cids array<long>, counts array<byte>, keys binary"
 #: Members up to which a bucket is told by its set of members.
 WHOLE = 1 << 16
 
@@ -295,21 +295,31 @@ def pack_keys(key: np.ndarray, cid: np.ndarray, parts: int) -> pa.RecordBatch:
     runs = np.searchsorted(head, np.append(row, len(key)))
     low = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
 
-    def blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-        return pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(runs.astype(np.int32)), pa.array(values))
 
-    counts = np.diff(np.append(head, len(key))).astype(np.uint8)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part[row].astype(np.int32)), blobs(cid[head], 8 * runs), blobs(counts, runs), blobs(low, KEY_BYTES * np.append(row, len(key)))],
-        names=["part", "cids", "counts", "keys"],
-    )
+    counts = np.diff(np.append(head, len(key))).astype(np.int8)
+    ends = (KEY_BYTES * np.append(row, len(key))).astype(np.int32)
+    keys = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+    return pa.RecordBatch.from_arrays([pa.array(part[row].astype(np.int32)), lists(cid[head]), lists(counts), keys], names=["part", "cids", "counts", "keys"])
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """Rows (key, cid) of packed keys, each key as a hash of its partition and bytes.
+
+    Spark's own expressions do it: a second Python function in the task that sorts keys would take a second worker for
+    each core, which stays and comes to hold as much as the first.
+    """
+    cids = F.flatten(F.transform(F.arrays_zip("cids", "counts"), lambda x: F.array_repeat(x["cids"], x["counts"].cast("int"))))
+    each = packed.select("part", "keys", F.posexplode_outer(cids).alias("i", "cid"))
+    return each.select(F.xxhash64("part", F.expr(f"substring(keys, {KEY_BYTES} * i + 1, {KEY_BYTES})")).alias("key"), "cid")
 
 
 def unpack_keys(batches):
-    """Rows (key, cid) of packed keys."""
+    """Rows (key, cid) of packed keys in batches, with the keys' own bits; ``unpacked`` does it for a table."""
     for batch in batches:
-        for part, *blobs in zip(*(batch.column(k) for k in range(4)), strict=True):
-            cids, counts, low = (np.frombuffer(x.as_buffer(), t) for x, t in zip(blobs, (np.int64, np.uint8, np.uint8), strict=True))
+        for part, *lists, keys in zip(*(batch.column(k) for k in range(4)), strict=True):
+            (cids, counts), low = (x.values.to_numpy() for x in lists), np.frombuffer(keys.as_buffer(), np.uint8)
             key = np.zeros((len(low) // KEY_BYTES, 8), np.uint8)
             key[:, :KEY_BYTES] = low.reshape(-1, KEY_BYTES)
             key = key.view("<u8").ravel().astype(np.int64) + (part.as_py() << 8 * KEY_BYTES)
@@ -604,7 +614,7 @@ def _buckets(rows: DataFrame, like: Likeness = PARITY) -> tuple[DataFrame, DataF
         keys = classes.select(F.explode("keys").alias("key"), "cid").repartition(parts, "key").sortWithinPartitions("key", "cid")
         return each, classes, written(keys.mapInArrow(_meetings(False), met), "buckets")
     packed = rows.select("text").mapInArrow(_keys(like, parts), _PACK).repartitionById(parts, F.col("part"))
-    keys = packed.mapInArrow(unpack_keys, "key long, cid long").sortWithinPartitions("key", "cid")
+    keys = unpacked(packed).sortWithinPartitions("key", "cid")
     # Kin share many keys, and most of these have the same members.
     buckets = keys.mapInArrow(_meetings(True), met).groupBy("key", "cid").agg(F.min("head").alias("head"), F.sum("weight").alias("weight"))
     return each, classes, written(buckets, "buckets")

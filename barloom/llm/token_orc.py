@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,22 +12,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, partitions, workspace
+from .common import give_back, kept, partitions, workspace
 
 END = 2
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 #: Entries of either half of a worker's piece cache; each takes some 200 bytes.
 CACHE_ENTRIES = 200_000
-#: Characters of texts that are cut into pieces at a time; a longer text is one such run.
-RUN_CHARS = 4 << 20
+#: Entries that a worker keeps for its next task.
+KEPT_ENTRIES = 20_000
+#: Characters of texts that are cut into pieces at a time; a longer text is one such run, and a run takes some 30 bytes a character.
+RUN_CHARS = 1 << 20
 #: Signs that end many words.
 _TAIL = frozenset(".,;:!?)")
 #: White space other than single spaces and line feeds between dark characters, markers of special tokens, and NUL.
 _UNCUT = "<\\||\\x00|[ \n][ \n]|^[ \n]|[ \n]$|[\\t\\x0b-\\x0d\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
-_encoders: dict[str, "_Pieces"] = {}
-
-
 #: The printable character that byte-level tokenizers write for each byte.
 _BYTE_CHARS = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
 _BYTE_CHARS |= {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _BYTE_CHARS)}
@@ -56,6 +56,13 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def shrink(self) -> None:
+        """Leaves KEPT_ENTRIES at most: those that were first looked up again, so mostly frequent ones."""
+        few = dict(islice(self.items(), KEPT_ENTRIES))
+        self.old = {}
+        self.clear()
+        self.update(few)
+
     def encode(self, piece: str) -> bytes:
         if len(piece) > 2 and piece[-1] in _TAIL and piece[-2].isalpha():  # a sign never joins the letters before it
             return self[piece[:-1]] + self[piece[-1]]
@@ -69,9 +76,11 @@ class _Pieces(dict):
 
 
 def encoder(path: str) -> _Pieces:
-    if path not in _encoders:
-        _encoders[path] = _Pieces(path)
-    return _encoders[path]
+    """The worker's own, made anew if it has done other work meanwhile."""
+    encoders = kept("tokens")
+    if path not in encoders:
+        encoders[path] = _Pieces(path)
+    return encoders[path]
 
 
 def encode_all(pieces: _Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +135,7 @@ def _encode_partition(path: str, end: int):
                     names=["doc_id", "part", "part_start", "n_tokens", "tokens"],
                 )
                 start, lo = int(stop[-1]), hi
-        pieces.old = {}  # the worker may go on to other work
+        pieces.shrink()  # the worker may be idle for long
         give_back()
 
     return run

@@ -99,3 +99,23 @@ def test_kin_give_few_rows_of_buckets(spark):
     rows = [(1, " ".join(base), 1), (2, " ".join([*base[:399], "x"]), 2), (3, "a text of its own", 3)]
     rows = p._buckets(spark.createDataFrame(rows, "doc_id long, text string, h long"))[2].collect()
     assert len(rows) == 2 and rows[0].weight == rows[1].weight > 50
+
+
+def test_keys_are_unpacked_by_spark_alone(spark):
+    """One Python function a task: keys are unpacked by expressions, to the same buckets."""
+    r = np.random.default_rng(7)
+    key, cid = r.integers(-(1 << 63), 1 << 63, 20000), np.repeat(r.integers(-(1 << 63), 1 << 63, 40), 500)
+    key[500:700] = key[:200]
+    batch = p.pack_keys(key, cid, 7)
+    out = p.unpacked(spark.createDataFrame(pa.Table.from_batches([batch])))
+    sizes = lambda pairs: collections.Counter(tuple(sorted(c for _, c in g)) for g in _by_key(pairs).values())
+    assert sizes((x.key, x.cid) for x in out.collect()) == sizes(zip(key.tolist(), cid.tolist(), strict=True))
+    docs = spark.createDataFrame([(1, "a b c d e f", 1)], "doc_id long, text string, h long")
+    plans, write = [], p.written
+    try:
+        p.written = lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name)
+        p._buckets(docs)
+    finally:
+        p.written = write
+    for plan in plans:  # between two shuffles
+        assert all(stage.count("MapInArrow") < 2 for stage in plan.split("Repartition")), plan

@@ -2,10 +2,11 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from barloom.llm import common, token_orc
 from barloom.llm import queries as q
-from barloom.llm import token_orc
 
 
 def footers(spark, path):
@@ -67,3 +68,15 @@ def test_stripes_are_read_side_by_side(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_worker_keeps_few_pieces_and_none_for_other_work():
+    texts = pa.array([" ".join(f"w{k} {k}x" for k in range(30_000))], pa.string())
+    pieces = token_orc.encoder(q.TOKENIZER)
+    before = token_orc.encode_all(pieces, texts)[0].tobytes()
+    assert len(pieces) > token_orc.KEPT_ENTRIES
+    pieces.shrink()
+    assert 0 < len(pieces) <= token_orc.KEPT_ENTRIES and not pieces.old
+    assert token_orc.encoder(q.TOKENIZER) is pieces and token_orc.encode_all(pieces, texts)[0].tobytes() == before
+    list(common.text_slices(pa.array(["another operator's text"])))
+    assert token_orc.encoder(q.TOKENIZER) is not pieces and common._kept.keys() == {"tokens"}
