@@ -311,7 +311,8 @@ def unpacked(packed: DataFrame) -> DataFrame:
     each core, which stays and comes to hold as much as the first.
     """
     cids = F.flatten(F.transform(F.arrays_zip("cids", "counts"), lambda x: F.array_repeat(x["cids"], x["counts"].cast("int"))))
-    each = packed.select("part", "keys", F.posexplode_outer(cids).alias("i", "cid"))
+    # Apart from the list's making, the generator compiles; interpreted, it would copy all bytes for each key.
+    each = packed.select("part", "keys", cids.alias("cids")).select("part", "keys", F.posexplode_outer("cids").alias("i", "cid"))
     return each.select(F.xxhash64("part", F.expr(f"substring(keys, {KEY_BYTES} * i + 1, {KEY_BYTES})")).alias("key"), "cid")
 
 
