@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/barloom"
+#: Whether a query's shuffle files go when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of a filter for each of its keys, and bits in one of its rows.
+FILTER_BITS, FILTER_ROW = 16, 1 << 15
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -31,10 +35,19 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and outlives lost executors."""
+    """``df`` as a table in the shared folder: cuts the lineage and outlives lost executors. What was shuffled for it goes
+    at once, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = workspace(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table
@@ -47,6 +60,20 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def perhaps(rows: DataFrame, keys: DataFrame, on: list[str], many: int) -> DataFrame:
+    """``rows`` with ``__perhaps``: false only where no row of ``keys``, which has ``many``, is equal in ``on``.
+
+    A filter of FILTER_BITS bits a key is broadcast instead of the keys; one row in FILTER_BITS that has no key passes it.
+    """
+    size = -(-FILTER_BITS * many // FILTER_ROW) * FILTER_ROW
+    place = F.pmod(F.xxhash64(*on), F.lit(size))
+    block, bit = F.floor(place / FILTER_ROW).alias("__block"), (place % FILTER_ROW).alias("__bit")
+    bits = keys.select(block, bit).groupBy("__block").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    is_set = F.expr("getbit(cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as bigint), cast(__bit % 8 as int)) = 1")
+    found = rows.withColumns({"__block": block, "__bit": bit}).join(F.broadcast(bits), "__block", "left")
+    return found.withColumn("__perhaps", F.coalesce(is_set, F.lit(False))).drop("__block", "__bit", "__bits")
+
+
 def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but ``used`` under names that meet no others, and what gives a result its columns back."""
     own = [c if c in used else f"__aside{k}" for k, c in enumerate(docs.columns)]

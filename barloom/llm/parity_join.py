@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DARK, discard, mix, partitions, set_aside, text_slices, words, written
+from .common import DARK, discard, mix, partitions, perhaps, set_aside, text_slices, words, written
 
 SHINGLE = 5
 #: Bytes of texts whose shingles are hashed at a time, keys that are passed on in a batch, and keys that are packed together.
@@ -43,6 +43,9 @@ TILE = 2048
 LISTED = 512
 #: Elements of sets in one piece of such a bucket, about.
 TILE_ELEMENTS = 500_000
+#: Classes, about, from which it is estimated how many have a shingle; it is frequent if so many of all have it, and
+#: FREQUENT_SEEN of these. And the most frequent shingles that are told apart. Only the order of keys rests on them.
+SEEN, FREQUENT_FROM, FREQUENT_SEEN, FREQUENT = 1 << 14, 64, 4, 1 << 18
 _LARGEST = 1 << 40
 _M = np.uint64(0xD6E8FEB86659FD93)
 _PACK = "part int, cids array<long>, counts array<byte>, keys binary"
@@ -55,8 +58,8 @@ class Likeness:
     """What links two sets, and the sketches that find such sets.
 
     Sets of ``shingle`` words are linked if den * intersection >= num * union. ``sketches(tokens, off)`` gives a sketch
-    in bytes for each set and, or None, an array of keys for each; ``block_keys(tokens, off, band)`` gives keys and rows
-    if the sketches don't. Linked sets have a key in common. ``matrices(sketches, n)`` arranges sketches for
+    in bytes for each set and, or None, an array of keys for each; ``block_keys(tokens, off, band, frequent)`` gives keys and
+    rows if the sketches don't. Linked sets have a key in common. ``matrices(sketches, n)`` arranges sketches for
     ``may_link(n, matrices, x, y)``, which tells for rows x and y, pair by pair, whether a link is possible.
     """
 
@@ -202,14 +205,16 @@ def _classes(like: Likeness):
     return run
 
 
-def block_keys(tokens: np.ndarray, off: np.ndarray, band_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(tokens: np.ndarray, off: np.ndarray, band_of: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the sparse sketches' blocks that have to be joined, and the rows they are of.
 
     ``band_of``: for each row, the band of the larger set of the pairs to be found: its own or the next, which has none
     for a set whose largest partner is of its own band. With d the
     most elements that its pairs are apart and z its empty blocks of B, a linked set agrees in at least s = B - d - z
     blocks that are not empty. So, of all keys in one common order, the first d + 1 of each set have one in common
-    (the prefix filter); the fullest blocks come first, as they meet least by chance. A row with s < 1, which is
+    (the prefix filter). Blocks of ``frequent`` shingles only (sorted hashes and their levels) come last, as all texts
+    with one line or passage would meet in them; before them the fullest come first, as they meet least by chance. Equal
+    blocks have equal shingles, so the order is a common one whatever is taken for frequent. A row with s < 1, which is
     rare, gives all its keys and one that stands for empty blocks.
     """
     n = np.diff(off)
@@ -230,13 +235,17 @@ def block_keys(tokens: np.ndarray, off: np.ndarray, band_of: np.ndarray) -> tupl
         slot, t = slot[order], t[order]
         head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         parity, count = np.bitwise_xor.reduceat(t, head), np.diff(np.concatenate([head, [len(slot)]]))
+        level = np.zeros(len(head), np.int8)
+        if frequent is not None and len(frequent[0]):
+            at = np.minimum(np.searchsorted(frequent[0], t), len(frequent[0]) - 1)
+            level = np.minimum.reduceat(np.where(frequent[0][at] == t, frequent[1][at], 0), head)
         slot = slot[head]
         doc = np.searchsorted(base, slot, "right") - 1
         where = (slot - base[doc]).astype(np.uint64) + (g[doc].astype(np.uint64) << np.uint64(48))
         key = mix(parity ^ mix(where + _M))
     full = np.bincount(doc, minlength=len(ok))
     sure = full - apart
-    order = np.lexsort((key, -count, doc))
+    order = np.lexsort((key, -count, level, doc))
     doc, key = doc[order], key[order]
     rank = np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full)
     kept = (rank <= apart[doc]) | (sure[doc] < 1)
@@ -246,7 +255,36 @@ def block_keys(tokens: np.ndarray, off: np.ndarray, band_of: np.ndarray) -> tupl
     return np.concatenate([key[kept], empty]).view(np.int64), np.concatenate([ok[doc[kept]], ok[rare]])
 
 
-def _keys(like: Likeness, parts: int):
+def _shingles(like: Likeness):
+    """The shingles of each set."""
+
+    def run(batches):
+        for batch in batches:
+            for _, tokens, _ in shingle_sets(batch.column(0), like.shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["shingle"])
+
+    return run
+
+
+def frequent_shingles(rows: DataFrame, classes: DataFrame, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, sorted, and for each how often it was seen, as a logarithm.
+
+    They are looked for in some SEEN classes, so that this is no more work for more rows. They only order keys: whichever
+    are missed or wrongly taken, the join finds the same links.
+    """
+    share = max(1, classes.count() // SEEN)
+    some = classes.where(F.pmod(F.xxhash64("cid"), F.lit(share)) == 0).select(F.col("first").alias("doc_id"))
+    least = max(FREQUENT_SEEN, FREQUENT_FROM // share)
+    seen = rows.join(F.broadcast(some), "doc_id").select("text").mapInArrow(_shingles(like), "shingle long")
+    seen = written(seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least), "frequent")
+    found = seen.orderBy(F.desc("k"), "shingle").limit(FREQUENT).toArrow()
+    discard(seen)
+    shingle, k = found.column("shingle").to_numpy().view(np.uint64), found.column("k").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], (1 + np.log2(np.maximum(k[order], 1)).astype(np.int64)).astype(np.int8)
+
+
+def _keys(like: Likeness, parts: int, frequent: tuple[np.ndarray, np.ndarray] | None = None):
     """Keys of all sets, packed by the partition they go to."""
 
     def found(batches):
@@ -260,7 +298,7 @@ def _keys(like: Likeness, parts: int):
                 keep = np.repeat(new, np.diff(off))
                 tokens, off = tokens[keep], np.concatenate([[0], np.cumsum(n)])
                 for step in (0, 1):
-                    key, row = like.block_keys(tokens, off, np.maximum(own, 0) + step)
+                    key, row = like.block_keys(tokens, off, np.maximum(own, 0) + step, frequent)
                     yield key, cid[row]
 
     def run(batches):
@@ -516,6 +554,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def texts_of(need: DataFrame, rows: DataFrame) -> DataFrame:
+    """cid and text of the rows that have an id of ``need`` (cid, doc_id), a written table. Where it is too large for a
+    broadcast a filter goes before the shuffle, which then has few texts that are not needed."""
+    many = need.count()
+    if many <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(need), "doc_id").select("cid", "text")
+    return perhaps(rows.select("doc_id", "text"), need, ["doc_id"], many).where("__perhaps").join(need, "doc_id").select("cid", "text")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over ``edges`` (a, b), for all nodes of edges.
 
@@ -558,7 +605,7 @@ def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, like: Likeness
         return pairs
     some = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
     need = written(some.join(classes, "cid").select("cid", F.col("first").alias("doc_id")), "needed")
-    texts = rows.join(small(need), "doc_id").select("cid", "text")
+    texts = texts_of(need, rows)
     left, right = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(like), "a long, b long").distinct(), "links")
 
@@ -614,7 +661,7 @@ def _buckets(rows: DataFrame, like: Likeness = PARITY) -> tuple[DataFrame, DataF
     if not like.block_keys:
         keys = classes.select(F.explode("keys").alias("key"), "cid").repartition(parts, "key").sortWithinPartitions("key", "cid")
         return each, classes, written(keys.mapInArrow(_meetings(False), met), "buckets")
-    packed = rows.select("text").mapInArrow(_keys(like, parts), _PACK).repartitionById(parts, F.col("part"))
+    packed = rows.select("text").mapInArrow(_keys(like, parts, frequent_shingles(rows, classes, like)), _PACK).repartitionById(parts, F.col("part"))
     keys = unpacked(packed).sortWithinPartitions("key", "cid")
     # Kin share many keys, and most of these have the same members.
     buckets = keys.mapInArrow(_meetings(True), met).groupBy("key", "cid").agg(F.min("head").alias("head"), F.sum("weight").alias("weight"))
@@ -669,7 +716,7 @@ def _rest(named: DataFrame, classes: DataFrame, rows: DataFrame, roots: DataFram
         roots = _merged(roots, verify(_compared(few, classes, parts, like).select("a", "b").distinct(), classes, rows, like))
     if not large.isEmpty():
         need = written(large.select("cid").distinct().join(classes, "cid").select("cid", F.col("first").alias("doc_id")), "needed")
-        texts = rows.join(small(need), "doc_id").select("cid", "text")
+        texts = texts_of(need, rows)
         sets = written(texts.mapInArrow(_set_rows(like), "cid long, set binary").dropDuplicates(["cid"]), "sets")
         large = large if roots is None else written(_named(large.select("key", "cid"), roots), "large")
         found = _compared(large, classes, parts, like, forest=True, sets=sets)
@@ -732,7 +779,7 @@ def _clusters(buckets: DataFrame, classes: DataFrame, rows: DataFrame, parts: in
     members = _named(ends.select("cid").distinct(), roots).join(cluster, "comp").select("key", "cid", "comp")
     members = written(members, "members")
     need = written(members.join(classes, "cid").select("cid", F.col("first").alias("doc_id")), "needed")
-    texts = rows.join(small(need), "doc_id").select("cid", "text")
+    texts = texts_of(need, rows)
     sets = written(texts.mapInArrow(_set_rows(like), "cid long, set binary").dropDuplicates(["cid"]), "sets")
     found = _compared(members, classes, parts, like, forest=True, sets=sets)
     return roots if found.isEmpty() else _merged(roots, found.select("a", "b").distinct())
