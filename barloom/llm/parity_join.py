@@ -563,6 +563,16 @@ def texts_of(need: DataFrame, rows: DataFrame) -> DataFrame:
     return perhaps(rows.select("doc_id", "text"), need, ["doc_id"], many).where("__perhaps").join(need, "doc_id").select("cid", "text")
 
 
+def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` but those that are equal to one of ``gone``, a written table, in ``on``. Where it is too large for a
+    broadcast, only rows that a filter doesn't clear are shuffled."""
+    many = gone.count()
+    if many <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(gone), on, "left_anti")
+    marked = perhaps(rows, gone, on, many)
+    return marked.where("not __perhaps").unionByName(marked.where("__perhaps").join(gone, on, "left_anti")).drop("__perhaps")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over ``edges`` (a, b), for all nodes of edges.
 
@@ -852,7 +862,7 @@ def one_of_groups(docs: DataFrame) -> DataFrame:
     doc_id, h = _row_id()
     rows = docs.withColumns({"__id": doc_id, "__h": h})
     named = lambda t: t.withColumnsRenamed({"doc_id": "__id", "h": "__h", "top": "__top"})
-    kept = rows.join(small(named(dropped)), ["__id", "__h"], "left_anti")
+    kept = without(rows, named(dropped), ["__id", "__h"])
     first = groups.where("component_id = doc_id")
     several = first.groupBy("top").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("top")
     again = written(named(first.join(several, "top").select("doc_id", "h", "top").distinct()), "again")
@@ -861,4 +871,4 @@ def one_of_groups(docs: DataFrame) -> DataFrame:
     # Of rows that are equal throughout, any is the first.
     place = F.row_number().over(Window.partitionBy("__top").orderBy(F.col("text").cast("string"), F.to_json(F.struct(*docs.columns))))
     chosen = kept.join(small(again), ["__id", "__h"]).withColumn("__place", place).where("__place = 1")
-    return original(kept.join(small(again), ["__id", "__h"], "left_anti").select(*docs.columns).unionAll(chosen.select(*docs.columns)))
+    return original(without(kept, again, ["__id", "__h"]).select(*docs.columns).unionAll(chosen.select(*docs.columns)))
